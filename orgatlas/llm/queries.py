@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orgatlas.llm import packing, secrets
+from orgatlas.llm import packing, secrets, simhash
 from orgatlas.llm.shared import table
 
 
@@ -22,8 +22,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing}
+    return {"op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
