@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orgatlas.llm import packing, secrets, simhash
+from orgatlas.llm import packing, secrets, simhash, substrings
 from orgatlas.llm.shared import table
 
 
@@ -26,8 +26,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict:
-    return {"op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op8_simhash": op8_simhash}
+    return {"op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op8_simhash": op8_simhash, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
