@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orgatlas.llm import packing, secrets, simhash, substrings
+from orgatlas.llm import decontamination, packing, secrets, simhash, substrings, toxicity
 from orgatlas.llm.shared import table
 
 
@@ -30,8 +30,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {"op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op8_simhash": op8_simhash, "op10_substring_dedup": op10_substring_dedup}
+    return {"op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op8_simhash": op8_simhash, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
