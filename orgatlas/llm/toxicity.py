@@ -32,9 +32,11 @@ MOST_TOXIC = 2_500
 MOST_OTHER = 7_500
 #: Entries of the learned lexicon at most (the strongest are kept).
 MOST_ENTRIES = 2_000
-STEMS = (4, 5)
+STEMS = (4, 5, 6)
 LEAST_EVIDENCE = 20.0
 LEAST_WEIGHT = 2.0
+#: A single word counts for this much at most, so that several matches outweigh one.
+MOST_WEIGHT = 6.5
 LEAST_TOXIC_SCORE = 0.7
 NEGATED_WORDS = 3
 
@@ -155,7 +157,8 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     weight = F.log((F.col("pos") + 0.5) / (F.col("p") + 1)) - F.log((F.col("neg") + 0.5) / (F.col("n") + 1))
     best = rated.select("feature", weight.alias("weight"), evidence.alias("evidence")).where((F.col("weight") >= LEAST_WEIGHT) & (F.col("evidence") >= LEAST_EVIDENCE))
     top = best.orderBy(F.desc("evidence"), "feature").limit(MOST_ENTRIES).collect()
-    return {r["feature"]: r["weight"] for r in top if r["feature"][-1] != "*"}, {r["feature"][:-1]: r["weight"] for r in top if r["feature"][-1] == "*"}
+    found = {r["feature"]: min(MOST_WEIGHT, r["weight"]) for r in top}
+    return {k: w for k, w in found.items() if k[-1] != "*"}, {k[:-1]: w for k, w in found.items() if k[-1] == "*"}
 
 
 def fit(sums: np.ndarray, toxic: np.ndarray) -> tuple[tuple, float]:
