@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orgatlas.llm import decontamination, packing, secrets, simhash, substrings, toxicity
+from orgatlas.llm import decontamination, extraction, packing, secrets, simhash, substrings, toxicity, warc
 from orgatlas.llm.shared import table
 
 
@@ -22,6 +22,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,8 +48,19 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op8_simhash": op8_simhash, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
+    return {"op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op7_html_extraction": op7_html_extraction, "op8_simhash": op8_simhash, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS kept FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+ CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
+FROM k
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": OP5_SQL}
