@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orgatlas.llm import decontamination, extraction, packing, secrets, simhash, substrings, toxicity, warc
+from orgatlas.llm import decontamination, extraction, packing, personal_data, quality, secrets, simhash, substrings, toxicity, warc
 from orgatlas.llm.shared import table
 
 
@@ -14,6 +14,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -48,7 +56,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op7_html_extraction": op7_html_extraction, "op8_simhash": op8_simhash, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op6_personal_data": op6_personal_data, "op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op7_html_extraction": op7_html_extraction, "op8_simhash": op8_simhash, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
 
 
 OP5_SQL = """
@@ -63,4 +71,4 @@ FROM k
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL}
+    return {"op1_quality_rules": quality.SQL, "op5_warc": OP5_SQL}
