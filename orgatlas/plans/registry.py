@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from orgatlas.plans import search_queries, text_queries
+
+PARTS = (search_queries, text_queries)
+
 
 def flagship(spark, sf_dir):
-    return queries()["c16_top_companies"](spark, sf_dir)
+    return search_queries.top_companies(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in PARTS for name, f in part.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
