@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orgatlas.plans import page_queries, profile_queries, search_queries, text_queries
+from orgatlas.plans import history_queries, page_queries, profile_queries, register_queries, search_queries, text_queries
 
-PARTS = (search_queries, text_queries, page_queries, profile_queries)
+PARTS = (search_queries, text_queries, page_queries, profile_queries, register_queries, history_queries)
 
 
 def flagship(spark, sf_dir):
