@@ -151,14 +151,16 @@ def sector_bonus(hits: DataFrame, by: tuple = ()) -> DataFrame:
     return both.withColumn("score", F.when(F.col("tier") == 0, F.col("score") + F.coalesce("_bonus", F.lit(0.0))).otherwise(F.col("score"))).drop("_root", "_bonus")
 
 
-RANK = (F.desc("tier"), F.desc(F.round("score", 9)), F.asc("id"))
+def rank_order() -> tuple:
+    """Best first: tier, score, then id."""
+    return F.desc("tier"), F.desc(F.round("score", 9)), F.asc("id")
 
 
 def one_row_per_company(hits: DataFrame, by: tuple = ()) -> DataFrame:
     """The best-ranked row per company domain, or per name and city where there is none."""
     bare = F.regexp_replace(F.lower("name"), r"(?U)\W", "")
     key = F.when(F.col("site").isNotNull(), F.concat(F.lit("site:"), F.col("site"))).otherwise(F.concat(F.lit("name:"), bare, F.lit("\t"), F.coalesce(F.lower("city"), F.lit(""))))
-    first = Window.partitionBy(*by, "_company").orderBy(*RANK)
+    first = Window.partitionBy(*by, "_company").orderBy(*rank_order())
     return hits.withColumn("_company", key).withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_company", "_place")
 
 
@@ -174,7 +176,7 @@ def facets(companies: DataFrame, most: int = MOST_FACETS) -> DataFrame:
 
 
 def top(companies: DataFrame, limit: int = 50) -> DataFrame:
-    return companies.orderBy(*RANK).limit(limit)
+    return companies.orderBy(*rank_order()).limit(limit)
 
 
 def scored_hits(places: DataFrame, industry: str, country: str, name: str = "", category: str = "") -> DataFrame:
@@ -202,5 +204,5 @@ def company_search_many(places: DataFrame, searches: list[tuple[str, str, str]],
         flags.append(hits.withColumn("query_id", F.lit(query_id)))
     hits = functools.reduce(DataFrame.unionByName, flags)
     found = ranked_companies(hits, ("query_id",))
-    order = Window.partitionBy("query_id").orderBy(*RANK)
+    order = Window.partitionBy("query_id").orderBy(*rank_order())
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)

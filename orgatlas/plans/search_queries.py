@@ -172,7 +172,7 @@ def _(spark, d):
     best = S.top(S.ranked_companies(S.scored_hits(places(spark, d), "alpha", COUNTRY)), 200)  # bounded before it is numbered
     from pyspark.sql import Window
 
-    return best.select("id", F.row_number().over(Window.orderBy(*S.RANK)).cast("long").alias("place"))
+    return best.select("id", F.row_number().over(Window.orderBy(*S.rank_order())).cast("long").alias("place"))
 
 
 @query("c13_one_row_per_company", f"WITH {ALPHA} SELECT id, site, name FROM companies")
