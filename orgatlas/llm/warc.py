@@ -59,7 +59,9 @@ def arc_record(version: int, page_id: int | None, url: str | None, payload: byte
 
 
 def parse_arc(raw: bytes) -> Iterator[tuple[dict, memoryview]]:
-    """(header fields, content block) of each record after the version block."""
+    """(header fields, content block) of each record after the version block; an empty file has none."""
+    if not raw:
+        return
     end = raw.index(b"\n")
     opening = raw[:end].split(b" ")
     length = int(opening[-1])
