@@ -57,7 +57,7 @@ def emails(rows: DataFrame, text: Column, hrefs: Column, *keys: str) -> DataFram
 
 def phone_matches(line: Column) -> Column:
     """Numbers of one line: 8 to 15 digits, no year range, and international, bracketed or of 10 digits at least."""
-    found = F.transform(F.regexp_extract_all(line, F.lit(PHONE), F.lit(0)), F.trim)
+    found = F.transform(F.regexp_extract_all(line, F.lit(PHONE), F.lit(0)), lambda x: F.trim(x))
     length = lambda p: F.length(F.regexp_replace(p, r"\D", ""))
     return F.filter(found, lambda p: length(p).between(8, 15) & ~p.rlike(YEARS) & (p.startswith("+") | p.startswith("(") | (length(p) >= 10)))
 
