@@ -117,28 +117,28 @@ KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '\b(priva
 
 
 @query("m2_candidates", rf"""WITH a AS (SELECT company_id, unnest(string_split({KEY}, ' ')) AS w FROM companies_v), b AS (SELECT company_number AS record_id, unnest(string_split({KEY}, ' ')) AS w FROM registry_v),
-c AS (SELECT w FROM b GROUP BY w HAVING count(*) <= 50), s AS (SELECT company_id, record_id, count(DISTINCT w) AS shared FROM (SELECT DISTINCT * FROM a WHERE w IN (SELECT w FROM c)) JOIN (SELECT DISTINCT * FROM b) USING (w) GROUP BY ALL),
+c AS (SELECT w FROM b GROUP BY w HAVING count(*) <= 4), s AS (SELECT company_id, record_id, count(DISTINCT w) AS shared FROM (SELECT DISTINCT * FROM a WHERE w IN (SELECT w FROM c)) JOIN (SELECT DISTINCT * FROM b) USING (w) GROUP BY ALL),
 f AS (SELECT company_id, record_id, shared + 1 AS shared FROM s)
 SELECT company_id, record_id, shared FROM f""", "companies_v", "registry_v")
 def _(spark, d):
     # every name is one frequent word and a number: the word blocks only together with the number
-    return G2.candidates(companies(spark, d), registry(spark, d), max_token_freq=50).select("company_id", "record_id", "shared")
+    return G2.candidates(companies(spark, d), registry(spark, d), max_token_freq=4).select("company_id", "record_id", "shared")
 
 
 @query("m3_global_matches", """SELECT company_id, company_id AS record_id, CAST(CASE WHEN company_id % 5 = 0 THEN 0.9 ELSE 1.0 END AS DOUBLE) AS match_confidence FROM companies_v""", "companies_v")
 def _(spark, d):
-    return G2.match_register(companies(spark, d), registry(spark, d), 50).select("company_id", "record_id", "match_confidence")
+    return G2.match_register(companies(spark, d), registry(spark, d), 4).select("company_id", "record_id", "match_confidence")
 
 
 @query("m4_lei_matches")
 def _(spark, d):
     names = registry(spark, d).withColumns({"other_names": F.array(F.concat(F.lit("Alias "), "name")), "previous_names": F.array(F.concat(F.lit("Supplier "), "company_number"))})
-    return G2.match_register(companies(spark, d), names, 50, other_names=True).select("company_id", "record_id", "record_name", "match_confidence")
+    return G2.match_register(companies(spark, d), names, 4, other_names=True).select("company_id", "record_id", "record_name", "match_confidence")
 
 
 @query("m5_uk_matches", "SELECT company_id, company_id AS record_id, CAST(CASE WHEN company_id % 5 = 0 THEN 0.9 ELSE 1.0 END AS DOUBLE) AS match_confidence FROM companies_v WHERE country = 'gb'", "companies_v")
 def _(spark, d):
-    return G2.match_uk(companies(spark, d), registry(spark, d), 5).select("company_id", "record_id", "match_confidence")
+    return G2.match_uk(companies(spark, d), registry(spark, d), 4).select("company_id", "record_id", "match_confidence")
 
 
 @query("m6_source_priority", "SELECT s_suppkey AS company_id, CASE WHEN s_suppkey % 3 = 0 THEN 'companieshouse' WHEN s_suppkey % 2 = 0 THEN 'opencorporates' ELSE 'gleif' END AS source FROM supplier")
