@@ -70,5 +70,17 @@ FROM k
 """
 
 
+OP10_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT rid, unnest(range(1, len(words) - 48)) AS k FROM w WHERE len(words) >= 50),
+g AS (SELECT rid, doc_id, k, min(doc_id) OVER (PARTITION BY array_to_string(words[k:k + 49], ' ')) AS first FROM s JOIN w USING (rid)),
+c AS (SELECT DISTINCT rid, unnest(range(k, k + 50)) AS p FROM g WHERE first < doc_id),
+r AS (SELECT rid, list(p) AS gone, count(*) AS n FROM c GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+ sha256(array_to_string(CASE WHEN n IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN r USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL, "op5_warc": OP5_SQL}
+    return {"op1_quality_rules": quality.SQL, "op5_warc": OP5_SQL, "op10_substring_dedup": OP10_SQL}

@@ -15,7 +15,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,7 +50,7 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Deal rows out evenly when the input has fewer partitions than the cluster has cores."""
-    cores = least or df.sparkSession.sparkContext.defaultParallelism
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly when a small input has fewer partitions than the cluster has cores; large ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orgatlas.llm.shared import materialize
+
 MOST_TOXIC = 2_500
 MOST_OTHER = 7_500
 #: Entries of the learned lexicon at most (the strongest are kept).
@@ -149,12 +151,14 @@ def hash_of(a: str, b: str) -> int:
 def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     seen = rows.mapInArrow(_contexts, "feature string, context long, toxic int").distinct()
     counts = seen.groupBy("feature").agg(F.sum("toxic").cast("double").alias("pos"), F.sum(1 - F.col("toxic")).cast("double").alias("neg"))
-    words = counts.where("not endswith(feature, '*')").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    rated = counts.where("pos >= 3").crossJoin(F.broadcast(words))  # one row of totals
-    expected = (F.col("pos") + F.col("neg")) * F.col("p") / (F.col("p") + F.col("n"))
-    other = (F.col("pos") + F.col("neg")) * F.col("n") / (F.col("p") + F.col("n"))
+    counts = materialize(counts)
+    totals = counts.where("not endswith(feature, '*')").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    p, n = F.lit(totals["p"] or 0.0), F.lit(totals["n"] or 0.0)
+    rated = counts.where("pos >= 3")
+    expected = (F.col("pos") + F.col("neg")) * p / (p + n)
+    other = (F.col("pos") + F.col("neg")) * n / (p + n)
     evidence = 2 * (F.col("pos") * F.log(F.col("pos") / expected) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / other)).otherwise(0))
-    weight = F.log((F.col("pos") + 0.5) / (F.col("p") + 1)) - F.log((F.col("neg") + 0.5) / (F.col("n") + 1))
+    weight = F.log((F.col("pos") + 0.5) / (p + 1)) - F.log((F.col("neg") + 0.5) / (n + 1))
     best = rated.select("feature", weight.alias("weight"), evidence.alias("evidence")).where((F.col("weight") >= LEAST_WEIGHT) & (F.col("evidence") >= LEAST_EVIDENCE))
     top = best.orderBy(F.desc("evidence"), "feature").limit(MOST_ENTRIES).collect()
     found = {r["feature"]: min(MOST_WEIGHT, r["weight"]) for r in top}
@@ -177,8 +181,6 @@ def fit(sums: np.ndarray, toxic: np.ndarray) -> tuple[tuple, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
-    from orgatlas.llm.shared import materialize
-
     rows = materialize(training_rows(docs, labels))
     grammar = Grammar(*learn_lexicon(rows))
 
