@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from orgatlas.functions import text as T
 from orgatlas.functions import urls as U
+from orgatlas.sources.staging import staged
 
 #: Fixed values.
 STOP_WORDS = {"and", "the", "of", "for", "in", "&", "companies", "company", "industry", "industries", "business", "businesses"}
@@ -189,6 +190,8 @@ def scored_hits(places: DataFrame, industry: str, country: str, name: str = "",
 
 
 def ranked_companies(hits: DataFrame, by: tuple = ()) -> DataFrame:
+    """Fill, score and rank; the hits are written once, since several steps join them with their own totals."""
+    hits = staged(hits)
     return one_row_per_company(sector_bonus(score_bonus(count_locations(fill_from_siblings(hits, by), by)), by), by)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orgatlas.functions import technology
 from orgatlas.operators import extract as X
 from orgatlas.operators import frontier as N
-from orgatlas.plans.views import table, view, with_views
+from orgatlas.plans.views import table, texts, view, with_views
 from orgatlas.sources.html import parse_pages
 
 Q: dict = {}
@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None, *views: str):
 
 
 def parsed(spark, d):
-    return parse_pages(table(spark, d, "pages"))
+    return parse_pages(texts(spark, d, "pages"))
 
 
 def hrefs():
@@ -67,12 +67,12 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 @query("x4_emails", rf"""WITH e AS (SELECT doc_id, regexp_extract_all(text, '{EMAIL}') AS found FROM documents), u AS (SELECT doc_id, unnest(found) AS value, unnest(range(1, len(found) + 1)) AS pos FROM e),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(value) ORDER BY pos) AS rn FROM u) SELECT doc_id, value FROM k WHERE rn = 1""")
 def _(spark, d):
-    return X.emails(table(spark, d, "documents"), F.col("text"), F.array().cast("array<string>"), "doc_id").select("doc_id", "value")
+    return X.emails(texts(spark, d, "documents"), F.col("text"), F.array().cast("array<string>"), "doc_id").select("doc_id", "value")
 
 
 @query("x5_phones")
 def _(spark, d):
-    return X.phones(table(spark, d, "documents"), F.split("text", r"\r\n|\n|\r"), F.array().cast("array<string>"), "doc_id").select("doc_id", "pos", "value")
+    return X.phones(texts(spark, d, "documents"), F.split("text", r"\r\n|\n|\r"), F.array().cast("array<string>"), "doc_id").select("doc_id", "pos", "value")
 
 
 SOCIAL = ("linkedin.com", "facebook.com", "instagram.com", "twitter.com", "x.com", "youtube.com", "github.com")
@@ -123,12 +123,12 @@ TEST_SIGNATURES = [("Tracker", "Analytics", r"track\(\d+\);?"), ("Adverts", "Adv
 @query("x12_technologies", r"""WITH h AS (SELECT page_id, lower(chr(10) || left(html, 600000)) AS hay FROM pages), s AS (SELECT * FROM (VALUES ('Tracker', 'Analytics', 'track\(\d+\);?'), ('Adverts', 'Advertising', '<div class="ad">|<!-- ad \d+'), ('Feed', 'Syndication', 'utm_source=feed'), ('Article', 'Markup', '<article>')) t(name, category, pattern))
 SELECT page_id, name, category, left(regexp_extract(hay, pattern), 80) AS evidence FROM h, s WHERE regexp_matches(hay, pattern)""")
 def _(spark, d):
-    return technology.detect_tech(table(spark, d, "pages"), TEST_SIGNATURES)
+    return technology.detect_tech(texts(spark, d, "pages"), TEST_SIGNATURES)
 
 
 @query("x12_all_signatures")
 def _(spark, d):
-    return technology.detect_tech(table(spark, d, "pages"))
+    return technology.detect_tech(texts(spark, d, "pages"))
 
 
 PATHS = ("/about", "/our-services/x", "/team/leadership", "/a-very-long-slug-about-company-technology", "/careers/", "/x", "/case-study/one", "/")

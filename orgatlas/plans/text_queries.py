@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orgatlas.functions import mojibake as M
 from orgatlas.functions import text as T
 from orgatlas.functions import urls as U
-from orgatlas.plans.views import table, view, with_views
+from orgatlas.plans.views import table, texts, view, with_views
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -80,12 +80,12 @@ def _(spark, d):
 
 @query("p8_clean", r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS text FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("text"))
+    return texts(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("text"))
 
 
 @query("p9_fix_mojibake")
 def _(spark, d):
-    return M.fix_mojibake(table(spark, d, "documents").select("doc_id", "text"), "text")
+    return M.fix_mojibake(texts(spark, d, "documents").select("doc_id", "text"), "text")
 
 
 WORDS = "SELECT DISTINCT unnest(string_split(lower(name), ' ')) AS word FROM places_v"
