@@ -155,14 +155,22 @@ def crawl_profile(pages: DataFrame, company: Column, category: Column) -> DataFr
 
     parsed = staged(parse_pages(pages).withColumns({"company_id": company, "category": category}))  # many branches read it
     order = Window.partitionBy("company_id").orderBy("page_id")
-    rows = parsed.withColumn("page_ord", F.row_number().over(order)).withColumn("seed_url", F.first("url").over(order))
+    facts = parsed.select("company_id", "page_id", "url", "category", "title", "description", "site_name")
+    rows = staged(facts.withColumn("page_ord", F.row_number().over(order)).withColumn("seed_url", F.first("url").over(order)))
     hrefs = F.transform("links", lambda a: a["href"])
     text = F.array_join("lines", " ")
     links = X.internal_links(parsed)
-    found = {
-        "objects": X.jsonld_objects(parsed).withColumn("pos", F.col("script") * 1000 + F.col("item")), "headings": X.headings(parsed), "emails": X.emails(parsed, text, hrefs, "page_id"),
-        "phones": X.phones(parsed, F.col("lines"), hrefs, "page_id"), "socials": X.social_links(parsed, hrefs, "page_id"), "people": X.people(X.lines_of(parsed)), "addresses": X.addresses(parsed),
-        "certifications": X.certifications(parsed, text, "page_id"), "logos": X.client_logos(parsed),
-        **{f"links:{c}": X.section_children(links, parsed, c).select("page_id", "pos", "label") for c in SECTION_FIELDS},
+    none = F.lit(None).cast("string")
+    parts = {
+        "objects": X.jsonld_objects(parsed).select("page_id", (F.col("script") * 1000 + F.col("item")).alias("pos"), F.to_json("object").alias("value")), "headings": X.headings(parsed),
+        "emails": X.emails(parsed, text, hrefs, "page_id"), "phones": X.phones(parsed, F.col("lines"), hrefs, "page_id"), "socials": X.social_links(parsed, hrefs, "page_id"),
+        "people": X.people(X.lines_of(parsed)).select("page_id", "pos", F.col("name").alias("value"), F.col("title").alias("extra")), "addresses": X.addresses(parsed),
+        "certifications": X.certifications(parsed, text, "page_id"), "logos": X.client_logos(parsed), **{f"links:{c}": X.section_children(links, parsed, c).select("page_id", "pos", F.col("label").alias("value")) for c in SECTION_FIELDS},
     }
+    # one long table, written once: what follows reads it by kind
+    long = staged(union([t.select("page_id", F.lit(kind).alias("kind"), F.col("pos").cast("long").alias("pos"), "value", F.col("extra") if "extra" in t.columns else none.alias("extra")) for kind, t in parts.items()]))
+    found = {kind: long.where(F.col("kind") == kind).select("page_id", "pos", "value") for kind in parts}
+    found["objects"] = found["objects"].select("page_id", "pos", F.parse_json("value").alias("object"))
+    found["people"] = long.where("kind = 'people'").select("page_id", "pos", F.col("value").alias("name"), F.col("extra").alias("title"))
+    found |= {kind: found[kind].withColumnRenamed("value", "label") for kind in parts if kind.startswith("links:")}
     return site_profile(staged(field_candidates(rows, found)))
