@@ -160,23 +160,24 @@ def _locate(batches: Iterator[pa.RecordBatch], width: int, phrase: int) -> Itera
                 segments.append(own)
                 texts.append(b" ".join(words) if own else None)
             digests = [hashlib.sha256(t if t is not None else b" ".join(w)).hexdigest() for t, w in zip(texts, words_of, strict=True)]
+            keys = [int(d[:15], 16) for d in digests]  # tells texts of rows with equal doc_id apart in joins
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(w) for w in words_of], pa.int64()), pa.array(digests), pa.array(texts, pa.binary()), pa.array(segments, pa.list_(segment))],
-                ["doc_id", "n_words", "digest", "line", "segments"],
+                [batch.column(0), pa.array([len(w) for w in words_of], pa.int64()), pa.array(digests), pa.array(keys, pa.int64()), pa.array(texts, pa.binary()), pa.array(segments, pa.list_(segment))],
+                ["doc_id", "n_words", "digest", "body", "line", "segments"],
             )
 
 
 def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, digest, anchor, start, window) for each single window of the given segments."""
+    """(doc_id, body, anchor, start, window) for each single window of the given segments."""
     hashes = WordHashes()
     for batch in batches:
         for row in range(batch.num_rows):
-            doc_id, digest, line, spans = (batch.column(i)[row].as_py() for i in range(4))
+            doc_id, body, line, spans = (batch.column(i)[row].as_py() for i in range(4))
             every = Rolling(hashes.of(line.split())).every(width).view(np.int64)
             starts = np.concatenate([np.arange(s["start"], s["start"] + s["count"]) for s in spans])
             anchors = np.concatenate([np.full(s["count"], s["anchor"], dtype=np.int64) for s in spans])
             n = len(starts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc_id, dtype=np.int64)), pa.array([digest] * n), pa.array(anchors), pa.array(starts, pa.int32()), pa.array(every[starts])], ["doc_id", "digest", "anchor", "start", "window"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc_id, dtype=np.int64)), pa.array(np.full(n, body, dtype=np.int64)), pa.array(anchors), pa.array(starts, pa.int32()), pa.array(every[starts])], ["doc_id", "body", "anchor", "start", "window"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -206,25 +207,25 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE) ->
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
     wanted = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     dealt = rows.join(wanted.hint("shuffle_hash"), "doc_id", "left")
-    located = materialize(dealt.select("doc_id", "raw", "anchors").mapInArrow(lambda b: _locate(b, width, phrase), "doc_id long, n_words long, digest string, line binary, segments array<struct<anchor: long, seg: long, start: int, count: int>>"))
+    located = materialize(dealt.select("doc_id", "raw", "anchors").mapInArrow(lambda b: _locate(b, width, phrase), "doc_id long, n_words long, digest string, body long, line binary, segments array<struct<anchor: long, seg: long, start: int, count: int>>"))
 
-    segments = located.where("line is not null and doc_id is not null").select("doc_id", "digest", F.inline("segments"))
+    segments = located.where("line is not null and doc_id is not null").select("doc_id", "body", F.inline("segments"))
     firsts = materialize(segments.groupBy("anchor", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     several = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    copies = segments.join(firsts.where("first < last").select("anchor", "seg", "first"), ["anchor", "seg"]).where("doc_id > first").select("doc_id", "digest", "start", "count")
+    copies = segments.join(firsts.where("first < last").select("anchor", "seg", "first"), ["anchor", "seg"]).where("doc_id > first").select("doc_id", "body", "start", "count")
 
     chosen = firsts.join(several, "anchor", "left_semi").select("anchor", "seg", F.col("first").alias("doc_id"))
     single = segments.join(chosen, ["anchor", "seg", "doc_id"], "left_semi")
-    spans = single.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("spans"))
-    lines = located.where("line is not null").select("doc_id", "digest", "line")
+    spans = single.groupBy("doc_id", "body").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("spans"))
+    lines = located.where("line is not null").select("doc_id", "body", "line")
     windows = materialize(
-        lines.join(spans, ["doc_id", "digest"]).select("doc_id", "digest", "line", "spans").mapInArrow(lambda b: _windows(b, width), "doc_id long, digest string, anchor long, start int, window long")
+        lines.join(spans, ["doc_id", "body"]).select("doc_id", "body", "line", "spans").mapInArrow(lambda b: _windows(b, width), "doc_id long, body long, anchor long, start int, window long")
     )
     least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor", "window", "first")
-    covered = windows.join(least, ["anchor", "window"]).where("doc_id > first").select("doc_id", "digest", "start", F.lit(1).alias("count"))
+    covered = windows.join(least, ["anchor", "window"]).where("doc_id > first").select("doc_id", "body", "start", F.lit(1).alias("count"))
 
-    cuts = copies.unionByName(covered).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "count")).alias("cuts"))
-    held = located.where("line is not null").select("doc_id", "n_words", "digest", "line").join(cuts, ["doc_id", "digest"], "left").select("doc_id", "n_words", "digest", "line", "cuts")
+    cuts = copies.unionByName(covered).groupBy("doc_id", "body").agg(F.collect_list(F.struct("start", "count")).alias("cuts"))
+    held = located.where("line is not null").select("doc_id", "n_words", "digest", "body", "line").join(cuts, ["doc_id", "body"], "left").select("doc_id", "n_words", "digest", "line", "cuts")
     result = held.mapInArrow(lambda b: _cut(b, width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     rest = located.where("line is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
     return result.unionByName(rest)
