@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orgatlas.llm.shared import small_batches
+
 #: Kinds in listed order, keyword literals (lower case) and anchored patterns.
 BASE_KINDS = ("assign", "access", "hex")
 EXTRA_KINDS = ("github", "npm", "jwt", "private_key", "slack")
@@ -121,7 +123,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: counts of the base kinds, their digest, and all spans. One map stage, no shuffle."""
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scan, RESULT)
+    return small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scan, RESULT)
 
 
 def redact(text: str) -> str:
@@ -145,4 +147,4 @@ def redact_secrets(docs: DataFrame, column: str = "text") -> DataFrame:
             texts = [t if t is None else redact(t) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -12,12 +12,22 @@ from pyspark.sql import functions as F
 #: White space between words, as a Java and as a Python character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: Rows that a Python worker gets at once, at most.
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's rows per Arrow batch where it is larger: with long texts that bounds a worker's memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path under the folder that driver and executors share (spark.checkpoint.dir).
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgatlas.llm.components import components
-from orgatlas.llm.shared import materialize
+from orgatlas.llm.shared import materialize, small_batches
 
 SEED = 42
 MOST_DIFFERENCES = 3
@@ -84,7 +84,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """(doc_id, fp): ``fp`` is the 64-bit fingerprint as a signed long."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
     return rows.mapInArrow(lambda batches: _fingerprint(batches, size), "doc_id long, fp long")
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgatlas.llm.shared import materialize
+from orgatlas.llm.shared import materialize, small_batches
 
 WIDTH = 50
 PHRASE = 10
@@ -202,7 +202,7 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE) -> DataFrame:
     """Per document n_words, n_removed, kept_sha256, and ``kept``: the words left of a document that had candidates (else null: all)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
     anchors = materialize(rows.mapInArrow(lambda b: _anchors(b, width, phrase), "doc_id long, anchor long"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
     wanted = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgatlas.llm.shared import materialize
+from orgatlas.llm.shared import materialize, small_batches
 
 MOST_TOXIC = 2_500
 MOST_OTHER = 7_500
@@ -181,7 +181,7 @@ def fit(sums: np.ndarray, toxic: np.ndarray) -> tuple[tuple, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
-    rows = materialize(training_rows(docs, labels))
+    rows = materialize(training_rows(small_batches(docs), labels))
     grammar = Grammar(*learn_lexicon(rows))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
             scores = [grammar.score(measure(t or "")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= LEAST_TOXIC_SCORE).cast("int").alias("predicted"))
 
 
@@ -220,4 +220,4 @@ def drop_toxic(docs: DataFrame, grammar: Grammar) -> DataFrame:
             keep = [grammar.score(measure(t or "")) < LEAST_TOXIC_SCORE for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgatlas.llm.shared import shared_folder
+from orgatlas.llm.shared import shared_folder, small_batches
 
 ARCHIVE_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
@@ -180,7 +180,7 @@ def write_arc(pages: DataFrame, path: str, version: int | None = None) -> None:
 
         yield from archives(rows_of(batches), opening, record, lambda row: len(row[2] or b""), 1)
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").cast("binary").alias("payload"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").cast("binary").alias("payload"))
     write_archives(rows.mapInArrow(run, "archive binary"), path, "\n")
 
 
