@@ -4,7 +4,8 @@ A page is cut at block-level tags into flat text blocks. Each has its number of
 (share of words inside anchors), the same two of the block before and after, whether it is a heading, and
 what encloses it: a content container (article, main), a boilerplate container (nav, footer, aside, form,
 dialog, or an element whose class, id or role names an advert, menu, notice, sidebar or comments), or
-neither. A decision tree grown from the small labelled table below decides which blocks are the article.
+neither. A name outside any content container may only speak of the page's layout (``content with-sidebar``): an article
+or main element in it is content, unless the page has content outside such wrappers. A main element is content by any name. A decision tree grown from the small labelled table below decides which blocks are the article.
 
 Defined results: null, empty and text-free pages give an empty string; markup left open ends with the page;
 repeated rows give repeated results; other columns are ignored; an empty table gives an empty table.
@@ -32,6 +33,8 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 SKIPPED_TAGS = ("script", "style", "noscript", "template", "svg", "iframe", "object", "head", "textarea", "select", "math", "canvas", "audio", "video")
 CONTENT_TAGS = frozenset(("article", "main"))
 BOILERPLATE_TAGS = frozenset(("nav", "footer", "aside", "form", "dialog", "menu", "button", "fieldset"))
+#: Kind of a content container inside an element that is boilerplate by name only.
+LIFTED = 2
 HEADING_TAGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Words of a class, id or role that name what stands beside an article.
 BOILERPLATE_WORDS = frozenset(
@@ -103,24 +106,25 @@ def is_main(features: tuple) -> bool:
 
 
 def container(tag: str, attributes: str, inside: int) -> int:
-    """1 content, -1 boilerplate, 0 says nothing, for an element inside a container of kind ``inside``."""
+    """1 content, -1 boilerplate by name, -2 boilerplate for good, 0 says nothing, for an element inside a container of kind ``inside``."""
     if tag in BOILERPLATE_TAGS:
-        return -1
+        return -2
     if tag == "header":
-        return 0 if inside == 1 else -1
+        return 0 if inside > 0 else -2
     if tag in WHOLE_PAGE:
         return 0
+    kind = 0
     if attributes:
         for name, value in NAMING.findall(attributes):
             name, value = name.lower(), value.strip("\"' ")
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                return -1
+                return -2
             words = {w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", value)} - {""}
-            if name in ("class", "id", "role") and words & BOILERPLATE_WORDS:
-                return -1
+            if name in ("class", "id", "role") and words & BOILERPLATE_WORDS and tag != "main":
+                kind = -2 if inside > 0 else -1
             if name == "role" and words & CONTENT_ROLES:
-                return 1
-    return 1 if tag in CONTENT_TAGS else 0
+                kind = kind or 1
+    return kind or int(tag in CONTENT_TAGS)
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
@@ -167,7 +171,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             texts.append(" ")
         elif tag == "a":
             links = 0 if closing else 1
-        elif tag in BLOCK_TAGS or (not closing and match[3] and container(tag, match[3], around) == -1) or (closing and any(t == tag for t, _, _ in stack[-4:])):
+        elif tag in BLOCK_TAGS or (not closing and match[3] and container(tag, match[3], around) < 0) or (closing and any(t == tag for t, _, _ in stack[-4:])):
             flush()
             links = 0
             if closing:
@@ -181,10 +185,16 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                     _, around, heading = stack.pop()
                 stack.append((tag, around, heading))
                 kind = container(tag, match[3], around)
-                around = kind if kind and around != -1 else around
+                if around == -1:  # by name only
+                    around = {1: LIFTED, -2: -2}.get(kind, around)
+                elif around == LIFTED:
+                    around = kind if kind < 0 else around
+                elif around != -2:
+                    around = kind or around
                 heading = int(tag in HEADING_TAGS) or heading
     flush()
-    return out
+    lifted = -1 if any(block[4] == 1 for block in out) else 1
+    return [(*block[:4], lifted if block[4] == LIFTED else max(-1, block[4])) for block in out]
 
 
 def main_text(page: str) -> str:

@@ -28,3 +28,11 @@ def test_odd_pages(spark):
     assert len(rows) == 6 and all(r.n_chars == len(r.text) for r in rows)
     assert {r.page_id: r.text for r in rows if r.page_id < 4} == {1: "", 2: "", 3: ""} and max(r.n_chars for r in rows) == 249_999
     assert extraction.extract_main_text(pages.where("page_id = 9")).count() == 0
+
+
+def test_wrappers_named_after_the_layout():
+    story = "<h1>Title</h1><p>One.</p><section id='comments'><p>Great post, I liked it</p></section><aside>Also</aside>"
+    for page in (f"<div class='content with-sidebar'><article>{story}</article></div>", f"<main class='comments-open'><article>{story}</article></main>", f"<main class='comments-open'>{story}</main>", f"<div id='comments-page'><div role='main'>{story}</div></div>"):
+        assert extraction.main_text(f"<html><body>{page}<footer><article><p>Foot</p></article></footer></body></html>").split("\n\n") == ["Title", "One."]
+    for beside in ("<div class='sidebar'><article><p>Related story</p></article></div>", "<nav class='menu'><article><p>Nav</p></article></nav>", "<div class='comments'><aside><article><p>No</p></article></aside></div>"):
+        assert extraction.main_text(f"<body><article>{story}</article>{beside}</body>").split("\n\n") == ["Title", "One."]
