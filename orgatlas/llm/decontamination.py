@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgatlas.llm.shared import small_batches
+from orgatlas.llm.shared import sliced
 
 #: Fixed masks: 1 is compared, 0 ignored. All ask for eight tokens of twelve.
 MASKS = ("110110101101", "101101110011", "111010010111")
@@ -158,14 +158,14 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, length, n_match, item_tokens): one row per document and item it contains."""
     spark = docs.sparkSession
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     found = None
     for items in blocks(benchmark):
         sent = spark.sparkContext.broadcast(items)
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block, hashes = Block(sent.value), TokenHashes()
-            for batch in batches:
+            for batch in sliced(batches):
                 out = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if text:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgatlas.llm.shared import small_batches
+from orgatlas.llm.shared import sliced
 
 CAPACITY = 2048
 BLOCK = 64
@@ -253,4 +253,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block:
         settle(last=True)
         yield taken()
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)

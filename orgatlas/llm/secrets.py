@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgatlas.llm.shared import small_batches
+from orgatlas.llm.shared import sliced
 
 #: Kinds in listed order, keyword literals (lower case) and anchored patterns.
 BASE_KINDS = ("assign", "access", "hex")
@@ -109,7 +109,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         rows = []
         for text in batch.column(1).to_pylist():
             spans = find_secrets(text or "")
@@ -123,7 +123,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: counts of the base kinds, their digest, and all spans. One map stage, no shuffle."""
-    return small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scan, RESULT)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scan, RESULT)
 
 
 def redact(text: str) -> str:
@@ -143,8 +143,8 @@ def redact_secrets(docs: DataFrame, column: str = "text") -> DataFrame:
     at = docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t if t is None else redact(t) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

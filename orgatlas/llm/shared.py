@@ -2,41 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words, as a Java and as a Python character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-#: Rows that a Python worker gets at once, at most.
-BATCH_ROWS = 1_000
+#: Rows that a Python worker handles at once, at most.
+BATCH_ROWS = 500
+#: Parts that the rows of any one key are dealt into in salted joins.
+SALTS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Lowers the session's rows per Arrow batch where it is larger: with long texts that bounds a worker's memory."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, BATCH_ROWS)
-    return df
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of at most ``rows`` rows, so that what a worker makes of one stays small.
 
+    Spark itself bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch).
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path under the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none (tests, local mode) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or the warehouse where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -50,6 +48,16 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salted(left: DataFrame, right: DataFrame, keys: list[str], by: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``left`` joined with ``right`` (few rows per key) where one key may hold a large share of ``left``: its rows are dealt by ``by`` over ``salts`` copies of ``right``.
+
+    ``right`` should be a written table: Spark then knows its size, and broadcasts it if that is small.
+    """
+    one = left.withColumn("own_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    many = right.withColumn("own_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return one.join(many, [*keys, "own_salt"], how).drop("own_salt")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``, inside one expression."""
     return F.element_at(F.transform(F.array(value), body), 1)

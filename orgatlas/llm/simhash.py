@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgatlas.llm.components import components
-from orgatlas.llm.shared import materialize, small_batches
+from orgatlas.llm.shared import materialize, sliced
 
 SEED = 42
 MOST_DIFFERENCES = 3
@@ -64,7 +64,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    for batch in batches:
+    for batch in sliced(batches):
         out = np.zeros(batch.num_rows, dtype=np.uint64)
         for row, raw in enumerate(batch.column(1).to_pylist()):
             words = (raw or b"").lower().split()  # bytes: exactly A-Z and the six white-space characters
@@ -84,7 +84,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """(doc_id, fp): ``fp`` is the 64-bit fingerprint as a signed long."""
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
     return rows.mapInArrow(lambda batches: _fingerprint(batches, size), "doc_id long, fp long")
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgatlas.llm.shared import materialize, small_batches
+from orgatlas.llm.shared import materialize, sliced
 
 WIDTH = 50
 PHRASE = 10
@@ -95,7 +95,7 @@ def anchors_of(phrases: np.ndarray, span: int) -> np.ndarray:
 
 def _anchors(batches: Iterator[pa.RecordBatch], width: int, phrase: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in sliced(batches):
         ids, found = [], []
         for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = (raw or b"").split()
@@ -170,7 +170,7 @@ def _locate(batches: Iterator[pa.RecordBatch], width: int, phrase: int) -> Itera
 def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, body, anchor, start, window) for each single window of the given segments."""
     hashes = WordHashes()
-    for batch in batches:
+    for batch in sliced(batches):
         for row in range(batch.num_rows):
             doc_id, body, line, spans = (batch.column(i)[row].as_py() for i in range(4))
             every = Rolling(hashes.of(line.split())).every(width).view(np.int64)
@@ -181,7 +181,7 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         out = []
         for doc_id, n_words, digest, line, spans in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if not spans:
@@ -202,7 +202,7 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE) -> DataFrame:
     """Per document n_words, n_removed, kept_sha256, and ``kept``: the words left of a document that had candidates (else null: all)."""
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
     anchors = materialize(rows.mapInArrow(lambda b: _anchors(b, width, phrase), "doc_id long, anchor long"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
     wanted = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))

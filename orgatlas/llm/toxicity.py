@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgatlas.llm.shared import materialize, small_batches
+from orgatlas.llm.shared import materialize, sliced
 
 MOST_TOXIC = 2_500
 MOST_OTHER = 7_500
@@ -129,7 +129,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             tokens = [t for t in TOKEN.findall(text.lower()) if t[0].isalpha()]
             around = ["", *tokens, ""]
@@ -181,12 +181,12 @@ def fit(sums: np.ndarray, toxic: np.ndarray) -> tuple[tuple, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
-    rows = materialize(training_rows(small_batches(docs), labels))
+    rows = materialize(training_rows(docs, labels))
     grammar = Grammar(*learn_lexicon(rows))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = grammar.machine()
-        for batch in batches:
+        for batch in sliced(batches):
             sums = [run(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.list_(pa.float64())), batch.column(1)], ["sums", "toxic"])
 
@@ -202,11 +202,11 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = grammar.machine()
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [grammar.score(measure(t or "")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= LEAST_TOXIC_SCORE).cast("int").alias("predicted"))
 
 
@@ -216,8 +216,8 @@ def drop_toxic(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = grammar.machine()
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [grammar.score(measure(t or "")) < LEAST_TOXIC_SCORE for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

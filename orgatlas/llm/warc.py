@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgatlas.llm.shared import shared_folder, small_batches
+from orgatlas.llm.shared import shared_folder, sliced
 
 ARCHIVE_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
@@ -131,7 +131,7 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
+    for batch in sliced(batches):
         for row in range(batch.num_rows):
             yield tuple(column[row].as_py() for column in batch.columns)
 
@@ -180,7 +180,7 @@ def write_arc(pages: DataFrame, path: str, version: int | None = None) -> None:
 
         yield from archives(rows_of(batches), opening, record, lambda row: len(row[2] or b""), 1)
 
-    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").cast("binary").alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").cast("binary").alias("payload"))
     write_archives(rows.mapInArrow(run, "archive binary"), path, "\n")
 
 
@@ -188,7 +188,7 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
     """The records of legacy archives, with synthesised digests; without ``payloads`` that column is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for content in batch.column(0):
                 rows, size = [], 0
                 for fields, block in parse_arc(gzip.decompress(content.as_py())):
@@ -229,7 +229,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of all response and revisit records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for content in batch.column(0):
                 rows = []
                 for headers, block in parse_warc(gzip.decompress(content.as_py())):
