@@ -4,18 +4,19 @@ A window is ``width`` consecutive words of one document. Every window names one
 of ``phrase`` words with the least hash inside it. Equal windows name the same anchor, wherever
 they stand, so only anchors have to meet in a shuffle, about one per twenty words.
 
-1. One map stage gives each document's anchors; those that occur in several documents are kept
-   (least and largest doc_id per anchor, pre-aggregated).
-2. Documents are dealt out with the recurring anchors they hold. Per shard (an Arrow batch) the
-   phrases of these anchors are confirmed in the words and compiled to an Aho-Corasick automaton;
-   all documents of the shard stream through it, which locates every occurrence. Around these the
-   exact check begins: neighbouring windows with one anchor form a segment.
+1. One map stage gives each document's anchors with their words. Phrases that recur in several documents
+   are confirmed: least and largest doc_id per anchor, and one digest of the words, pre-aggregated.
+2. Documents are dealt out with their recurring phrases. Per shard (a slice of documents) these are compiled to
+   Aho-Corasick automata, and all documents of the shard stream through them, which locates every occurrence.
+   A window whose least phrase was located is a candidate; neighbouring ones with one anchor form a segment.
+   (Streaming each document past the phrases of all shards would cost documents times phrases; a document
+   that is not dealt a phrase cannot hold a window that recurs around it.)
 3. Equal segments need one comparison: the least doc_id per (anchor, words of the segment).
    Only where an anchor has different segments, one document of each is compared by single windows.
 4. What is covered is cut from the words.
 
-A hot passage is a row per document and anchor at most; all groupings pre-aggregate to the least
-doc_id and no group is gathered.
+Words are compared by 128 bits: two independent hashes. A hot passage is a row per document and anchor at most; all groupings
+pre-aggregate to the least doc_id, and the rows of hot passages are dealt over copies of their few groups.
 
 Defined results: null and empty texts have no words; rows with equal doc_id never remove each other's
 words (nor do windows repeated inside one document); rows without doc_id keep all words and remove
@@ -26,30 +27,41 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgatlas.llm.shared import materialize, sliced
+from orgatlas.llm.shared import materialize, salted, sliced
 
 WIDTH = 50
 PHRASE = 10
-#: Documents of a shard, which is streamed through one automaton.
+#: Documents of a shard, which is streamed through automata of its own.
 SHARD = 512
+#: Phrases of one automaton at most: their words then have symbols enough.
+PHRASES = 50_000
 WORDS_KEPT = 500_000
+#: Rows of one group from which on they are dealt over copies of the group.
+HOT_ROWS, HOT_SALTS = 4_000, 64
 ODD = 0x9E3779B97F4A7C15
 ODD_INVERSE = pow(ODD, -1, 1 << 64)
+#: Stands between the documents of a slice; no word holds a blank.
+BETWEEN = b" "
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class WordHashes(dict):
     """64-bit hash of a word, remembered; emptied when it holds too many."""
 
+    def __init__(self, seed: int):
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        got = self[word] = xxhash.xxh64_intdigest(word, 7)
+        got = self[word] = xxhash.xxh64_intdigest(word, self.seed)
         return got
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -93,91 +105,130 @@ def anchors_of(phrases: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(best[: len(best) - rest], best[rest:]) if rest else best
 
 
+class Slice:
+    """The words of some documents in one row, so that each step is one array operation for all of them."""
+
+    def __init__(self, raws: list[bytes | None], width: int, phrase: int):
+        self.words = [(raw or b"").split() for raw in raws]
+        self.flat = list(chain.from_iterable([*w, BETWEEN] for w in self.words))
+        self.sizes = np.fromiter(map(len, self.words), dtype=np.int64, count=len(self.words))
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes + 1)))[:-1]
+        count = max(0, len(self.flat) - width + 1)
+        gaps = np.zeros(len(self.flat) + 1, dtype=np.int64)
+        gaps[self.starts + self.sizes + 1] = 1
+        gaps = np.cumsum(gaps)
+        self.row = gaps[:count]  # document of each window
+        self.inside = (gaps[width : width + count] == self.row) & (count > 0)
+        self.width, self.span, self.phrase = width, width - phrase + 1, phrase
+
+    def phrases(self, hashes: WordHashes) -> np.ndarray:
+        return Rolling(hashes.of(self.flat)).every(self.phrase)
+
+
 def _anchors(batches: Iterator[pa.RecordBatch], width: int, phrase: int) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in sliced(batches):
-        ids, found = [], []
-        for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = (raw or b"").split()
-            if len(words) < width or doc_id is None:
-                continue
-            own = np.unique(anchors_of(Rolling(hashes.of(words)).every(phrase), width - phrase + 1))
-            found.append(own)
-            ids.append(np.full(len(own), doc_id, dtype=np.int64))
-        both = (np.concatenate(ids), np.concatenate(found).view(np.int64)) if ids else ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in both], ["doc_id", "anchor"])
+    """(doc_id, anchor, check, phrase): the least phrases of a document's windows, with a second hash and their words."""
+    import xxhash
+
+    hashes, span = WordHashes(7), width - phrase + 1
+    for batch in sliced(batches, SHARD):
+        part = Slice(batch.column(1).to_pylist(), width, phrase)
+        at, every = np.flatnonzero(part.inside), part.phrases(hashes) if part.inside.any() else None
+        if len(at):
+            least = anchors_of(every, span)[at]
+            fresh = np.concatenate(([True], (least[1:] != least[:-1]) | (part.row[at[1:]] != part.row[at[:-1]])))
+            at, least = at[fresh], least[fresh]
+            order = np.lexsort((least, part.row[at]))
+            at, least = at[order], least[order]
+            once = np.concatenate(([True], (least[1:] != least[:-1]) | (part.row[at[1:]] != part.row[at[:-1]])))
+            at, least = at[once], least[once]
+            place = at + np.lib.stride_tricks.sliding_window_view(every, span)[at].argmin(axis=1)
+            texts = [b" ".join(part.flat[p : p + phrase]) for p in place.tolist()]
+        else:
+            least, texts = np.zeros(0, dtype=np.uint64), []
+        checks = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), dtype=np.uint64, count=len(texts))
+        ids = batch.column(0).take(pa.array(part.row[at])) if len(at) else pa.array([], pa.int64())
+        yield pa.RecordBatch.from_arrays([ids, pa.array(least.view(np.int64)), pa.array(checks.view(np.int64)), pa.array(texts, pa.binary())], ["doc_id", "anchor", "check", "phrase"])
 
 
 def symbol(number: int) -> str:
-    """One character for a word of a shard; code points for surrogates are left out."""
-    return chr(number + 1 if number + 1 < 0xD800 else number + 1 + 0x800)
+    """One character for a word of an automaton's phrases; 1 is any other word, and code points for surrogates are left out."""
+    return chr(number + 2 if number + 2 < 0xD800 else number + 2 + 0x800)
 
 
-def _locate(batches: Iterator[pa.RecordBatch], width: int, phrase: int) -> Iterator[pa.RecordBatch]:
-    """Per document its words' digest and, for those with recurring anchors, the segments to check."""
+def located(flat: list[bytes], phrases: set[bytes]) -> np.ndarray:
+    """Where in the words of a shard one of the phrases begins, as its automata say."""
     import ahocorasick
 
-    hashes = WordHashes()
-    segment = pa.struct([("anchor", pa.int64()), ("seg", pa.int64()), ("start", pa.int32()), ("count", pa.int32())])
-    for whole in batches:
-        for at in range(0, whole.num_rows, SHARD):
-            batch = whole.slice(at, SHARD)
-            words_of = [(raw or b"").split() for raw in batch.column(1).to_pylist()]
-            recurring = batch.column(2).to_pylist()
-            letters: dict[bytes, str] = {}
-            lines, rolls, phrases = {}, {}, set()
-            for row, (words, wanted) in enumerate(zip(words_of, recurring, strict=True)):
-                if not wanted or len(words) < width:
-                    continue
-                lines[row] = "".join([letters.get(w) or letters.setdefault(w, symbol(len(letters))) for w in words])
-                rolls[row] = Rolling(hashes.of(words))
-                for start in np.flatnonzero(np.isin(rolls[row].every(phrase).view(np.int64), np.asarray(wanted, dtype=np.int64))).tolist():
-                    phrases.add(lines[row][start : start + phrase])
-            automaton = ahocorasick.Automaton()
-            for number, text in enumerate(phrases):
-                automaton.add_word(text, number)
-            if phrases:
-                automaton.make_automaton()
-            segments, texts = [], []
-            for row, words in enumerate(words_of):
-                own = []
-                if row in lines:
-                    count = len(words) - width + 1
-                    edge = np.zeros(count + 1, dtype=np.int32)  # windows that hold a located phrase
-                    for last, _ in automaton.iter(lines[row]):
-                        edge[max(0, last + 1 - width)] += 1
-                        edge[min(count, last - phrase + 2)] -= 1
-                    anchors = anchors_of(rolls[row].every(phrase), width - phrase + 1).view(np.int64)
-                    held = (np.cumsum(edge)[:count] > 0) & np.isin(anchors, np.asarray(recurring[row], dtype=np.int64))
-                    fresh = held.copy()
-                    fresh[1:] &= ~held[:-1] | (anchors[1:] != anchors[:-1])
-                    starts = np.flatnonzero(fresh)
-                    ends = held.copy()
-                    ends[:-1] &= ~held[1:] | (anchors[1:] != anchors[:-1])
-                    stops = np.flatnonzero(ends) + 1
-                    hashed = rolls[row].some(starts, stops + width - 1).view(np.int64)
-                    own = [{"anchor": a, "seg": h, "start": s, "count": e - s} for a, h, s, e in zip(anchors[starts].tolist(), hashed.tolist(), starts.tolist(), stops.tolist(), strict=True)]
-                segments.append(own)
-                texts.append(b" ".join(words) if own else None)
-            digests = [hashlib.sha256(t if t is not None else b" ".join(w)).hexdigest() for t, w in zip(texts, words_of, strict=True)]
-            keys = [int(d[:15], 16) for d in digests]  # tells texts of rows with equal doc_id apart in joins
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(w) for w in words_of], pa.int64()), pa.array(digests), pa.array(keys, pa.int64()), pa.array(texts, pa.binary()), pa.array(segments, pa.list_(segment))],
-                ["doc_id", "n_words", "digest", "body", "line", "segments"],
-            )
+    found = np.zeros(len(flat), dtype=bool)
+    ordered = sorted(phrases)
+    for first in range(0, len(ordered), PHRASES):
+        letters: dict[bytes, str] = {}
+        automaton = ahocorasick.Automaton()
+        for text in ordered[first : first + PHRASES]:
+            words = text.split()
+            automaton.add_word("".join([letters.get(w) or letters.setdefault(w, symbol(len(letters))) for w in words]), len(words) - 1)
+        automaton.make_automaton()
+        line = "".join([letters.get(w, "\1") for w in flat])
+        hits = [last - back for last, back in automaton.iter(line)]
+        found[hits] = True
+    return found
+
+
+SEGMENT = pa.struct([("anchor", pa.int64()), ("seg", pa.int64()), ("check", pa.int64()), ("start", pa.int32()), ("count", pa.int32())])
+LOCATED = "doc_id long, n_words long, digest string, body long, line binary, segments array<struct<anchor: long, seg: long, check: long, start: int, count: int>>"
+
+
+def _locate(batches: Iterator[pa.RecordBatch], width: int, phrase: int) -> Iterator[pa.RecordBatch]:
+    """Per document its words' digest and, for those with located phrases, the segments to check."""
+    hashes, second = WordHashes(7), WordHashes(8)
+    for batch in sliced(batches, SHARD):
+        part = Slice(batch.column(1).to_pylist(), width, phrase)
+        phrases = {p for own in batch.column(2).to_pylist() if own for p in own}
+        segments: list[list] = [[] for _ in part.words]
+        if phrases and part.inside.any():
+            first = Rolling(hashes.of(part.flat))
+            every = first.every(phrase)
+            seen = located(part.flat, phrases)[: len(every)]
+            anchors = anchors_of(every, part.span)
+            # candidates: the least phrase of the window is one that an automaton located
+            held = part.inside & (anchors_of(np.where(seen, every, NONE), part.span) == anchors) & (anchors != NONE)
+            known = np.array([i is not None for i in batch.column(0).to_pylist()], dtype=bool)
+            held &= known[np.minimum(part.row, len(known) - 1)]
+            if held.any():
+                joint = (anchors[1:] == anchors[:-1]) & (part.row[1:] == part.row[:-1])
+                fresh, ends = held.copy(), held.copy()
+                fresh[1:] &= ~(held[:-1] & joint)
+                ends[:-1] &= ~(held[1:] & joint)
+                starts, stops = np.flatnonzero(fresh), np.flatnonzero(ends) + 1
+                other = Rolling(second.of(part.flat))
+                columns = (anchors[starts].view(np.int64), first.some(starts, stops + width - 1).view(np.int64), other.some(starts, stops + width - 1).view(np.int64), starts - part.starts[part.row[starts]], stops - starts)
+                for row, a, h, c, s, n in zip(part.row[starts].tolist(), *(x.tolist() for x in columns), strict=True):
+                    segments[row].append({"anchor": a, "seg": h, "check": c, "start": s, "count": n})
+        lines = [b" ".join(w) for w in part.words]
+        digests = [hashlib.sha256(x).hexdigest() for x in lines]
+        keys = [int(d[:15], 16) for d in digests]  # tells texts of rows with equal doc_id apart in joins
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(part.sizes), pa.array(digests, pa.string()), pa.array(keys, pa.int64()), pa.array([x if own else None for x, own in zip(lines, segments, strict=True)], pa.binary()), pa.array(segments, pa.list_(SEGMENT))],
+            ["doc_id", "n_words", "digest", "body", "line", "segments"],
+        )
 
 
 def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, body, anchor, start, window) for each single window of the given segments."""
-    hashes = WordHashes()
-    for batch in sliced(batches):
-        for row in range(batch.num_rows):
-            doc_id, body, line, spans = (batch.column(i)[row].as_py() for i in range(4))
-            every = Rolling(hashes.of(line.split())).every(width).view(np.int64)
-            starts = np.concatenate([np.arange(s["start"], s["start"] + s["count"]) for s in spans])
-            anchors = np.concatenate([np.full(s["count"], s["anchor"], dtype=np.int64) for s in spans])
-            n = len(starts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc_id, dtype=np.int64)), pa.array(np.full(n, body, dtype=np.int64)), pa.array(anchors), pa.array(starts, pa.int32()), pa.array(every[starts])], ["doc_id", "body", "anchor", "start", "window"])
+    """(doc_id, body, anchor, start, window, check) for each single window of the given segments."""
+    hashes, second = WordHashes(7), WordHashes(8)
+    for batch in sliced(batches, SHARD):
+        part = Slice(batch.column(2).to_pylist(), width, PHRASE)
+        spans = [(row, s["start"], s["count"], s["anchor"]) for row, own in enumerate(batch.column(3).to_pylist()) for s in own]
+        if not spans:
+            continue
+        row, start, count, anchor = (np.array(x, dtype=np.int64) for x in zip(*spans, strict=True))
+        first = np.repeat(np.cumsum(count) - count, count)
+        inner = np.repeat(start, count) + np.arange(len(first)) - first
+        rows = np.repeat(row, count)
+        at = inner + part.starts[rows]
+        both = [Rolling(h.of(part.flat)).every(width)[at].view(np.int64) for h in (hashes, second)]
+        take = pa.array(rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.repeat(anchor, count)), pa.array(inner.astype(np.int32)), *map(pa.array, both)], ["doc_id", "body", "anchor", "start", "window", "check"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -189,9 +240,9 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
                 continue
             words = line.split()
             edge = np.zeros(len(words) + 1, dtype=np.int32)
-            for s in spans:
-                edge[s["start"]] += 1
-                edge[s["start"] + s["count"] + width - 1] -= 1
+            start, count = np.array([(s["start"], s["count"]) for s in spans], dtype=np.int64).T
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + count + width - 1, -1)
             keep = np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()
             left = b" ".join([words[i] for i in keep])
             out.append((doc_id, n_words, n_words - len(keep), hashlib.sha256(left).hexdigest(), left))
@@ -200,32 +251,42 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
+def later_copies(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose group (``keys``) has a lesser doc_id; ``groups`` has keys, first, n. Rows of large groups are dealt over copies of these groups."""
+    hot = materialize(groups.where(F.col("n") >= HOT_ROWS).select(*keys, "first"))  # at most one in HOT_ROWS of the rows
+    told = salted(rows, hot, keys, F.col("doc_id"), "left", HOT_SALTS)
+    rest = told.where("first is null").drop("first").join(groups.where(F.col("n") < HOT_ROWS).select(*keys, "first"), keys)
+    return told.where("first is not null").select(*rows.columns, "first").unionByName(rest.select(*rows.columns, "first")).where("doc_id > first")
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE) -> DataFrame:
     """Per document n_words, n_removed, kept_sha256, and ``kept``: the words left of a document that had candidates (else null: all)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
-    anchors = materialize(rows.mapInArrow(lambda b: _anchors(b, width, phrase), "doc_id long, anchor long"))
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
-    wanted = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    dealt = rows.join(wanted.hint("shuffle_hash"), "doc_id", "left")
-    located = materialize(dealt.select("doc_id", "raw", "anchors").mapInArrow(lambda b: _locate(b, width, phrase), "doc_id long, n_words long, digest string, body long, line binary, segments array<struct<anchor: long, seg: long, start: int, count: int>>"))
-
-    segments = located.where("line is not null and doc_id is not null").select("doc_id", "body", F.inline("segments"))
-    firsts = materialize(segments.groupBy("anchor", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+    anchors = materialize(rows.where("doc_id is not null").mapInArrow(lambda b: _anchors(b, width, phrase), "doc_id long, anchor long, check long, phrase binary"))
+    shared = anchors.groupBy("anchor", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor", "check")
+    wanted = anchors.join(shared, ["anchor", "check"], "left_semi").groupBy("doc_id").agg(F.collect_list("phrase").alias("phrases"))
+    dealt = rows.where("doc_id is not null").join(wanted.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "raw", "phrases")
+    dealt = dealt.unionByName(rows.where("doc_id is null").select("doc_id", "raw", F.lit(None).cast("array<binary>").alias("phrases")))
+    found = materialize(dealt.mapInArrow(lambda b: _locate(b, width, phrase), LOCATED))
+
+    lines = found.where("line is not null")
+    segments = lines.select("doc_id", "body", F.inline("segments"))
+    same = ["anchor", "seg", "check"]
+    firsts = materialize(segments.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")))
     several = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    copies = segments.join(firsts.where("first < last").select("anchor", "seg", "first"), ["anchor", "seg"]).where("doc_id > first").select("doc_id", "body", "start", "count")
+    copies = later_copies(segments, firsts.where("first < last"), same).select("doc_id", "body", "start", "count")
 
-    chosen = firsts.join(several, "anchor", "left_semi").select("anchor", "seg", F.col("first").alias("doc_id"))
-    single = segments.join(chosen, ["anchor", "seg", "doc_id"], "left_semi")
+    chosen = firsts.join(several, "anchor", "left_semi").select(*same, F.col("first").alias("doc_id"))
+    single = segments.join(chosen, [*same, "doc_id"], "left_semi")
     spans = single.groupBy("doc_id", "body").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("spans"))
-    lines = located.where("line is not null").select("doc_id", "body", "line")
-    windows = materialize(
-        lines.join(spans, ["doc_id", "body"]).select("doc_id", "body", "line", "spans").mapInArrow(lambda b: _windows(b, width), "doc_id long, body long, anchor long, start int, window long")
-    )
-    least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor", "window", "first")
-    covered = windows.join(least, ["anchor", "window"]).where("doc_id > first").select("doc_id", "body", "start", F.lit(1).alias("count"))
+    windows = lines.select("doc_id", "body", "line").join(spans, ["doc_id", "body"]).select("doc_id", "body", "line", "spans")
+    windows = materialize(windows.mapInArrow(lambda b: _windows(b, width), "doc_id long, body long, anchor long, start int, window long, check long"))
+    equal = ["anchor", "window", "check"]
+    least = materialize(windows.groupBy(*equal).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last"))
+    covered = later_copies(windows, least, equal).select("doc_id", "body", "start", F.lit(1).alias("count"))
 
     cuts = copies.unionByName(covered).groupBy("doc_id", "body").agg(F.collect_list(F.struct("start", "count")).alias("cuts"))
-    held = located.where("line is not null").select("doc_id", "n_words", "digest", "body", "line").join(cuts, ["doc_id", "body"], "left").select("doc_id", "n_words", "digest", "line", "cuts")
+    held = lines.select("doc_id", "n_words", "digest", "body", "line").join(cuts, ["doc_id", "body"], "left").select("doc_id", "n_words", "digest", "line", "cuts")
     result = held.mapInArrow(lambda b: _cut(b, width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
-    rest = located.where("line is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
+    rest = found.where("line is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
     return result.unionByName(rest)

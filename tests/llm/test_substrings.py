@@ -54,3 +54,27 @@ def test_equals_brute_force(make_docs):
 def test_odd_rows(make_docs, odd_docs, no_docs):
     check(make_docs, [(r.doc_id, r.text) for r in odd_docs.collect()])
     assert substrings.remove_repeats(no_docs).count() == 0
+
+
+def test_hot_passage_and_many_automata(make_docs, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_ROWS", 3)
+    monkeypatch.setattr(substrings, "PHRASES", 2)
+    rng = random.Random(5)
+    hot = [f"h{i}" for i in range(130)]
+    rows = [(i, " ".join([*(f"a{rng.random()}" for _ in range(rng.randrange(40))), *hot[: rng.choice([130, 130, 130, 90])], *(f"b{rng.random()}" for _ in range(i % 3))])) for i in range(80)]
+    check(make_docs, rows)
+
+
+def test_the_automata_find_what_is_removed(make_docs, monkeypatch):
+    rows = [(i, " ".join(f"w{k}" for k in range(60))) for i in range(2)]
+    removed = lambda: substrings.remove_repeats(make_docs(rows)).agg({"n_removed": "sum"}).first()[0]
+    assert removed() == 60
+    assert substrings.located([b"a", b"b", b"c", b"a", b"b"], {b"a b", b"c a"}).tolist() == [True, False, True, True, False]
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(substrings)
+    monkeypatch.setattr(substrings, "located", lambda flat, phrases: substrings.np.zeros(len(flat), dtype=bool))
+    try:
+        assert removed() == 0
+    finally:
+        cloudpickle.unregister_pickle_by_value(substrings)
