@@ -41,4 +41,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = sign
         edges = materialize(_small_star(_large_star(edges)))
+    else:
+        raise RuntimeError(f"components are not done after {MOST_ROUNDS} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

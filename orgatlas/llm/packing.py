@@ -1,17 +1,16 @@
 """Packing token sequences with Karmarkar-Karp multiway differencing.
 
 Each document becomes token ids plus an end id. Pieces of exactly ``capacity`` ids are cut off and
-fill a sequence by themselves; what is left of each document (shorter than a sequence) is packed in
-blocks of ``block`` tails. In a block the multiway differencing method starts with one partial
-partition per tail, repeatedly takes the two with the largest imbalance and merges them so that the
-largest windows of one meet the smallest of the other. The result is a set of windows of nearly
-equal sums. A block gives as many windows as its ids fill; what does not fill a window is cut off
-and joins the next block. Documents may be cut anywhere, so what a window holds beyond the capacity
-moves to one that has room, and the window count rises where none has: at the last block of a task,
-the only one with padding.
+fill a sequence by themselves; what is left of each document (its tail) is cut evenly into pieces of at most
+``LARGEST`` ids, which are packed in blocks. A block holds the ids of ``BLOCK`` windows but for ``SLACK`` ids each. In it
+the multiway differencing method starts with one partial partition per piece, repeatedly takes the two
+with the largest imbalance and merges them so that the largest windows of one meet the smallest of the
+other. The result is a set of windows of nearly equal sums, and it stands: no piece is cut or moved
+afterwards. Where a window exceeds the capacity all the same, the window count rises by one and the block is
+partitioned again.
 
 Everything happens in one map stage: nothing is shuffled, and a task holds one block and one Arrow
-batch at a time.
+batch at a time. Padding is the slack and the last block of a task.
 
 Defined results: a null text is read as empty and yields one piece with the end id alone; repeated
 rows are packed once each; a null doc_id is passed through; other columns are ignored; an empty
@@ -25,7 +24,7 @@ import functools
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,8 @@ from pyspark.sql import functions as F
 from orgatlas.llm.shared import sliced
 
 CAPACITY = 2048
-BLOCK = 64
+#: Windows of a block, ids of a window that a block leaves free, and ids of a tail's piece at most.
+BLOCK, SLACK, LARGEST = 16, 14, 512
 END_ID = 1
 #: Entries that a worker's cache of encoded words holds at most; it is emptied when full.
 CACHE_ENTRIES = 1_000_000
@@ -85,45 +85,20 @@ def flat(tree) -> list[int]:
     return out
 
 
-def pack_block(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, start, stop) of at most ``capacity`` over all ids of a block.
+def pack_block(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Items of each window; the window count rises as long as one exceeds the capacity."""
+    windows = max(1, -(-sum(sizes) // capacity))
+    while True:
+        groups = differencing(sizes, windows)
+        if all(sum(sizes[i] for i in g) <= capacity for g in groups):
+            return [sorted(g) for g in groups if g]
+        windows += 1
 
-    What a window holds beyond the capacity is cut off and put where a window has room. Only where no
-    room is left the window count rises.
-    """
-    if not sizes:
-        return []
-    windows = [[(i, 0, sizes[i]) for i in sorted(g)] for g in differencing(sizes, max(1, -(-sum(sizes) // capacity)))]
-    over: list[tuple[int, int, int]] = []
-    for window in windows:
-        excess = sum(b - a for _, a, b in window) - capacity
-        while excess > 0:
-            item, a, b = window.pop()
-            cut = max(a, b - excess)
-            if cut > a:
-                window.append((item, a, cut))
-            over.append((item, cut, b))
-            excess -= b - cut
-    for window in windows:
-        room = capacity - sum(b - a for _, a, b in window)
-        while room > 0 and over:
-            item, a, b = over.pop()
-            cut = min(b, a + room)
-            window.append((item, a, cut))
-            room -= cut - a
-            if cut < b:
-                over.append((item, cut, b))
-    while over:  # whole windows of what is left
-        room, window = capacity, []
-        while room > 0 and over:
-            item, a, b = over.pop()
-            cut = min(b, a + room)
-            window.append((item, a, cut))
-            room -= cut - a
-            if cut < b:
-                over.append((item, cut, b))
-        windows.append(window)
-    return [w for w in windows if w]
+
+def evenly(size: int, largest: int) -> list[int]:
+    """Sizes of the fewest pieces of at most ``largest``, as equal as can be."""
+    count = -(-size // largest)
+    return [size // count + (i < size % count) for i in range(count)]
 
 
 class Encoder:
@@ -194,38 +169,40 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
-    """One row per piece of a document, with its place in a sequence of at most ``capacity`` ids."""
+def pack(docs: DataFrame, tokenizer_path: Callable[[], str] | str, capacity: int = CAPACITY) -> DataFrame:
+    """One row per piece of a document, with its place in a sequence of at most ``capacity`` ids.
+
+    ``tokenizer_path`` may be a function, which is then called where the tokenizer is read: on the workers.
+    """
     end = np.asarray([END_ID], dtype="<u4").tobytes()
+    fill = BLOCK * (capacity - min(SLACK, capacity // 8))
+    largest = min(LARGEST, max(1, capacity // 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        encode = encoder(tokenizer_path if isinstance(tokenizer_path, str) else tokenizer_path()).encode
         task = TaskContext.get()
         first = (task.partitionId() if task else 0) << 32
-        count = 0
-        tails: list[tuple] = []  # (doc_id, start, ids, doc_tokens)
+        count, held = 0, 0
+        pieces: list[tuple] = []  # (doc_id, start, ids, doc_tokens)
         rows: list[tuple] = []
 
-        def settle(last: bool) -> None:
-            """Pack the block; all but the last are cut to whole windows, and the rest stays for the next."""
-            nonlocal count
-            kept, rest = [], sum(len(t[2]) // 4 for t in tails) % capacity
-            while not last and rest:
-                doc_id, start, ids, total = tails.pop()
-                if len(ids) // 4 > rest:
-                    cut = len(ids) // 4 - rest
-                    tails.append((doc_id, start, ids[: 4 * cut], total))
-                    ids, start = ids[4 * cut :], start + cut
-                kept.append((doc_id, start, ids, total))
-                rest -= len(ids) // 4
-            for window in pack_block([len(t[2]) // 4 for t in tails], capacity):
+        def settle(over: int) -> None:
+            """Pack the block but for its last ``over`` ids, which stay for the next."""
+            nonlocal count, held
+            kept = []
+            if over:
+                doc_id, start, ids, total = pieces.pop()
+                cut = len(ids) // 4 - over
+                pieces.append((doc_id, start, ids[: 4 * cut], total))
+                kept.append((doc_id, start + cut, ids[4 * cut :], total))
+            for window in pack_block([len(p[2]) // 4 for p in pieces], capacity):
                 offset = 0
-                for item, a, b in window:
-                    doc_id, start, ids, total = tails[item]
-                    rows.append((doc_id, start + a, b - a, zlib.crc32(ids[4 * a : 4 * b]), total, first + count, offset))
-                    offset += b - a
+                for item in window:
+                    doc_id, start, ids, total = pieces[item]
+                    rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), total, first + count, offset))
+                    offset += len(ids) // 4
                 count += 1
-            tails[:] = kept
+            pieces[:], held = kept, over
 
         def taken() -> pa.RecordBatch:
             columns = zip(*rows, strict=True) if rows else [()] * len(NAMES)
@@ -233,24 +210,24 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block:
             rows.clear()
             return out
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, STEP):
-                batch = whole.slice(at, STEP)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    whole_ids = total - total % capacity
-                    for start in range(0, whole_ids, capacity):
-                        rows.append((doc_id, start, capacity, zlib.crc32(ids[4 * start : 4 * (start + capacity)]), total, first + count, 0))
-                        count += 1
-                    if whole_ids < total:
-                        tails.append((doc_id, whole_ids, ids[4 * whole_ids :], total))
-                        if len(tails) >= block:
-                            settle(last=False)
-                if rows:
-                    yield taken()
-        settle(last=True)
+        for batch in sliced(batches, STEP):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                ids += end
+                total = len(ids) // 4
+                at = total - total % capacity
+                for start in range(0, at, capacity):
+                    rows.append((doc_id, start, capacity, zlib.crc32(ids[4 * start : 4 * (start + capacity)]), total, first + count, 0))
+                    count += 1
+                for size in evenly(total - at, largest):
+                    pieces.append((doc_id, at, ids[4 * at : 4 * (at + size)], total))
+                    at, held = at + size, held + size
+                    if held >= fill:
+                        settle(held - fill)
+            if rows:
+                yield taken()
+        if pieces:
+            settle(0)
         yield taken()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)

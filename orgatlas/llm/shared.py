@@ -15,7 +15,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Rows that a Python worker handles at once, at most.
 BATCH_ROWS = 500
 #: Parts that the rows of any one key are dealt into in salted joins.
-SALTS = 16
+SALTS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

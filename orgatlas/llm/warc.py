@@ -79,8 +79,14 @@ def parse_arc(raw: bytes) -> Iterator[tuple[dict, memoryview]]:
 
 
 def http_parts(block: memoryview) -> tuple[str, dict[str, str], memoryview]:
-    raw = bytes(block[: 1 << 16])
-    cut = raw.index(b"\r\n\r\n")
+    """Status, headers and payload of an HTTP response; headers of any length."""
+    size, cut = 1 << 12, -1
+    while cut < 0:
+        raw = bytes(block[:size])
+        cut = raw.find(b"\r\n\r\n")
+        if cut < 0 and size >= len(block):
+            raise ValueError("an HTTP response without the end of its headers")
+        size *= 4
     first, *lines = raw[:cut].decode("latin-1").split("\r\n")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     return first.split(" ")[1], headers, block[cut + 4 :]
