@@ -1,15 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar, learned from labelled rows.
 
-Words fall into classes: insult, threat, target, negation, reporting verb, other. Five small
-transducers run over each clause side by side, as one composed machine: negation holds for the next
-words, reported speech for the rest of the clause, a target for the clause; insult and threat write a
-match, marked with what the others hold. What is scored are these matches per clause, never words alone.
+Words and marks are read as symbols: insult, threat, target, negation, report, quote, colon, stop, break,
+other. Three small transducers are written down by their arcs: negation rewrites an insult or threat within
+the next words, reported speech rewrites those that follow a reporting verb (through colons, and through whole
+quotations), and targeting closes each clause as direct or not. An arc has a weight that scales the
+match it lets through. The transducers are composed, arc by arc over the pairs of their states, into one machine,
+which is what runs over a text. What is scored are the matches that a clause gives when it closes, never
+words alone.
 
 Insult words and stems, with their weights, come from labelled documents: contexts (the two words
 around) in toxic against other documents. Contexts are counted once, so copies of a text count once.
 The weight of each kind of match is fitted by logistic regression around the grammar's own weights.
 Only rows whose crc32(doc_id as text) mod 3 is not 1 are learned from, at most ``MOST_TOXIC`` and
-``MOST_OTHER`` of them, taken in hash order. Labels, language, source and doc_id are never inputs.
+``MOST_OTHER`` of them, taken in hash order; that bounds the lexicon too. Labels, language, source and doc_id are never inputs.
 
 Defined results: null and empty texts get the score of a text without matches; without usable labels the
 grammar's own weights hold and no insult is known; repeated rows score alike; a null doc_id counts as
@@ -19,6 +22,7 @@ not held out; other columns are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import dataclasses
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -32,8 +36,6 @@ from orgatlas.llm.shared import materialize, sliced
 
 MOST_TOXIC = 2_500
 MOST_OTHER = 7_500
-#: Entries of the learned lexicon at most (the strongest are kept).
-MOST_ENTRIES = 2_000
 STEMS = (4, 5, 6)
 LEAST_EVIDENCE = 20.0
 LEAST_WEIGHT = 2.0
@@ -41,21 +43,113 @@ LEAST_WEIGHT = 2.0
 MOST_WEIGHT = 6.5
 LEAST_TOXIC_SCORE = 0.7
 NEGATED_WORDS = 3
-
-#: Words of the closed classes in four languages.
-THREATS = {"kill", "hurt", "destroy", "töten", "umbringen", "vernichten", "tuer", "frapper", "détruire", "matar", "golpear", "destruir"}
-TARGETS = {"you", "your", "they", "them", "du", "dich", "ihr", "euch", "tu", "toi", "vous", "usted", "ustedes", "vosotros"}
-NEGATIONS = {"not", "no", "never", "nicht", "kein", "nie", "pas", "jamais", "nunca", "jamás"}
-REPORTS = {"said", "says", "wrote", "claimed", "quoted", "sagte", "schrieb", "behauptete", "disait", "écrit", "dijo", "escribió"}
-
+WORDS_KEPT = 500_000
+
+#: Words of the closed classes in four languages (English, German, French, Spanish).
+THREATS = {
+    "kill", "kills", "killing", "hurt", "destroy", "beat", "stab", "shoot", "strangle", "burn", "töten", "umbringen", "vernichten", "schlagen", "verprügeln", "erschießen",
+    "tuer", "tuerai", "frapper", "détruire", "étrangler", "brûler", "matar", "mataré", "golpear", "destruir", "quemar", "pegar",
+}
+TARGETS = {
+    "you", "your", "yours", "yourself", "they", "them", "their", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "euer", "tu", "toi", "te", "ton", "ta", "vous", "votre",
+    "usted", "ustedes", "vosotros", "ti", "tus", "os",
+}
+NEGATIONS = {"not", "no", "never", "don", "doesn", "didn", "isn", "aren", "wasn", "cannot", "without", "nicht", "kein", "keine", "keinen", "nie", "niemals", "ohne", "pas", "jamais", "ne", "sans", "nunca", "jamás", "sin"}
+REPORTS = {
+    "said", "says", "wrote", "writes", "claimed", "claims", "quoted", "called", "shouted", "reported", "sagte", "sagt", "schrieb", "schreibt", "behauptete", "rief", "nannte",
+    "disait", "dit", "écrit", "écrivait", "cria", "dijo", "dice", "escribió", "escribe", "gritó", "llamó",
+}
+
+SYMBOLS = ("insult", "threat", "target", "negation", "report", "quote", "colon", "stop", "break", "other")
 #: Kinds of matches and the grammar's own weight of each; then the score without any match.
-KINDS = ("insult", "targeted insult", "negated insult", "reported insult", "targeted threat", "other threat")
-OWN_WEIGHTS = (2.0, 2.4, 0.8, 0.8, 2.0, 0.5)
+KINDS = ("insult", "targeted insult", "negated insult", "reported insult", "targeted threat", "threat", "negated threat", "reported threat")
+OWN_WEIGHTS = (2.0, 2.4, 0.8, 0.8, 2.0, 0.5, 0.2, 0.3)
 OWN_BIAS = -4.0
 #: Precision of the prior around the own weights.
 HOLD = 0.02
 
-TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
+TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n\"\u201c\u201d\u201e\u00ab\u00bb]")
+MARKS = {"\n": "break", ":": "colon", **dict.fromkeys(".!?;", "stop"), **dict.fromkeys("\"\u201c\u201d\u201e\u00ab\u00bb", "quote")}
+
+
+@dataclasses.dataclass(frozen=True)
+class Transducer:
+    """A weighted finite-state transducer that is deterministic: (state, symbol) -> (state, symbol written, weight).
+
+    A symbol without an arc is written as it is, with weight one, and the state stays.
+    """
+
+    arcs: dict
+    start: object = 0
+
+    def step(self, state, symbol: str) -> tuple:
+        return self.arcs.get((state, symbol), (state, symbol, 1.0))
+
+
+def composed(first: Transducer, second: Transducer, symbols: tuple) -> Transducer:
+    """What ``second`` makes of what ``first`` writes, as one transducer over the reachable pairs of states; weights multiply."""
+    start = (first.start, second.start)
+    arcs, todo, seen = {}, [start], {start}
+    while todo:
+        a, b = todo.pop()
+        for symbol in symbols:
+            a_next, middle, a_weight = first.step(a, symbol)
+            b_next, out, b_weight = second.step(b, middle)
+            arcs[(a, b), symbol] = ((a_next, b_next), out, a_weight * b_weight)
+            if (a_next, b_next) not in seen:
+                seen.add((a_next, b_next))
+                todo.append((a_next, b_next))
+    return Transducer(arcs, start)
+
+
+def negation() -> Transducer:
+    """State: words that a negation still reaches."""
+    arcs = {}
+    for left in range(NEGATED_WORDS + 1):
+        after = max(0, left - 1)
+        arcs[left, "negation"] = (NEGATED_WORDS, "negation", 1.0)
+        for symbol in ("target", "report", "other"):
+            arcs[left, symbol] = (after, symbol, 1.0)
+        for symbol in ("insult", "threat"):
+            arcs[left, symbol] = (after, f"negated {symbol}" if left else symbol, 0.6 if left else 1.0)
+        for symbol in ("stop", "break"):
+            arcs[left, symbol] = (0, symbol, 1.0)
+    return Transducer(arcs)
+
+
+def reporting() -> Transducer:
+    """States: plain, reported (to the end of the sentence), quoted (to the closing mark or the end of the line)."""
+    arcs = {("plain", "report"): ("reported", "report", 1.0), ("reported", "quote"): ("quoted", "quote", 1.0), ("quoted", "quote"): ("plain", "quote", 1.0), ("reported", "stop"): ("plain", "stop", 1.0)}
+    for state in ("reported", "quoted"):
+        arcs[state, "break"] = ("plain", "break", 1.0)
+        for symbol in ("insult", "threat"):
+            arcs[state, symbol] = (state, f"reported {symbol}", 0.6)
+            arcs[state, f"negated {symbol}"] = (state, f"negated {symbol}", 0.6)
+    return Transducer(arcs, "plain")
+
+
+def targeting() -> Transducer:
+    """States: whether the clause has named a target; its end is written as ``direct`` or ``end``."""
+    arcs = {("none", "target"): ("named", "target", 1.0)}
+    for symbol in ("stop", "break"):
+        arcs["named", symbol] = ("none", "direct", 1.0)
+        arcs["none", symbol] = ("none", "end", 1.0)
+    return Transducer(arcs, "none")
+
+
+@functools.cache
+def machine() -> tuple[list, list]:
+    """The composed machine as a table, state by symbol -> (state, kind of match or None, weight, closes the clause?, directly?); and its kinds."""
+    whole = composed(composed(negation(), reporting(), SYMBOLS), targeting(), SYMBOLS)
+    numbers = {whole.start: 0}
+    for next_state, _, _ in whole.arcs.values():
+        numbers.setdefault(next_state, len(numbers))
+    table = [[None] * len(SYMBOLS) for _ in numbers]
+    for (state, symbol), (next_state, out, weight) in whole.arcs.items():
+        kind = KINDS.index(out) if out in KINDS else -1
+        table[numbers[state]][SYMBOLS.index(symbol)] = (numbers[next_state], kind, weight, out in ("direct", "end"), out == "direct")
+    aimed = [KINDS.index("targeted " + k) if "targeted " + k in KINDS else i for i, k in enumerate(KINDS)]
+    return table, aimed
 
 
 @dataclasses.dataclass
@@ -65,48 +159,53 @@ class Grammar:
     weights: tuple = OWN_WEIGHTS
     bias: float = OWN_BIAS
 
+    def symbol(self, token: str) -> tuple[int, float]:
+        """The symbol of a token, and the weight of an insult."""
+        if token in MARKS:
+            return SYMBOLS.index(MARKS[token]), 1.0
+        weight = max([self.words.get(token, 0.0), *(self.stems.get(token[:size], 0.0) for size in STEMS if len(token) >= size)])
+        if weight:
+            return SYMBOLS.index("insult"), weight
+        for name, own in (("threat", THREATS), ("negation", NEGATIONS), ("report", REPORTS), ("target", TARGETS)):
+            if token in own:
+                return SYMBOLS.index(name), 1.0
+        return SYMBOLS.index("other"), 1.0
+
     def machine(self):
-        """The composed transducer: text -> sums of match weights per kind."""
+        """text -> sums of match weights per kind."""
         import ahocorasick
 
         literals = ahocorasick.Automaton()
         for word in {*self.words, *self.stems, *THREATS}:
             literals.add_word(word, True)
         literals.make_automaton()
-        words, stems = self.words, self.stems
+        table, aimed = machine()
+        known: dict[str, tuple[int, float]] = {}
+        end = SYMBOLS.index("break")
 
         def run(text: str) -> list[float]:
             sums = [0.0] * len(KINDS)
             lower = text.lower()
             if next(literals.iter(lower), None) is None:
                 return sums
-            clause: list[tuple[bool, float, bool, bool]] = []
-            negated, reported, targeted = 0, False, False
-
-            def close() -> None:
-                for threat, weight, was_negated, was_reported in clause:
-                    kind = (5 - targeted if threat else 2 if was_negated else 3 if was_reported else int(targeted))
-                    sums[kind] += weight
-                clause.clear()
-
-            for token in TOKEN.findall(lower):
-                if not token[0].isalpha():
-                    close()
-                    negated, reported, targeted = 0, False, False
-                    continue
-                weight = words.get(token, 0.0)
-                for size in STEMS:
-                    weight = max(weight, stems.get(token[:size], 0.0)) if len(token) >= size else weight
-                if weight:
-                    clause.append((False, weight, negated > 0, reported))
-                elif token in THREATS:
-                    clause.append((True, 1.0, negated > 0, reported))
-                negated = NEGATED_WORDS if token in NEGATIONS else max(0, negated - 1)
-                reported = reported or token in REPORTS
-                targeted = targeted or token in TARGETS
-            close()
+            if len(known) > WORDS_KEPT:
+                known.clear()
+            clause: list[tuple[int, float]] = []
+            state = 0
+            for token in [*TOKEN.findall(lower), "\n"]:
+                read = known.get(token)
+                if read is None:
+                    read = known[token] = self.symbol(token)
+                state, kind, weight, closes, directly = table[state][read[0]]
+                if kind >= 0:
+                    clause.append((kind, weight * read[1]))
+                elif closes and clause:
+                    for kind, weight in clause:
+                        sums[aimed[kind] if directly else kind] += weight
+                    clause.clear()
             return sums
 
+        assert table[0][end][0] == 0
         return run
 
     def score(self, sums: list[float]) -> float:
@@ -160,8 +259,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     evidence = 2 * (F.col("pos") * F.log(F.col("pos") / expected) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / other)).otherwise(0))
     weight = F.log((F.col("pos") + 0.5) / (p + 1)) - F.log((F.col("neg") + 0.5) / (n + 1))
     best = rated.select("feature", weight.alias("weight"), evidence.alias("evidence")).where((F.col("weight") >= LEAST_WEIGHT) & (F.col("evidence") >= LEAST_EVIDENCE))
-    top = best.orderBy(F.desc("evidence"), "feature").limit(MOST_ENTRIES).collect()
-    found = {r["feature"]: min(MOST_WEIGHT, r["weight"]) for r in top}
+    found = {r["feature"]: min(MOST_WEIGHT, r["weight"]) for r in best.collect()}  # bounded by the labelled rows
     return {k: w for k, w in found.items() if k[-1] != "*"}, {k[:-1]: w for k, w in found.items() if k[-1] == "*"}
 
 

@@ -46,5 +46,40 @@ def test_clauses_decide():
     kind = lambda text: [k for k, s in zip(toxicity.KINDS, run(text), strict=True) if s]
     assert kind("you are an idiot") == ["targeted insult"] and kind("what an idiot") == ["insult"]
     assert kind("that is not an idiot") == ["negated insult"] and kind("she said idiot") == ["reported insult"]
-    assert kind("you there. an idiot") == ["insult"] and kind("i will hurt you") == ["targeted threat"] and kind("storms destroy houses") == ["other threat"]
+    assert kind("you there. an idiot") == ["insult"] and kind("i will hurt you") == ["targeted threat"] and kind("storms destroy houses") == ["threat"]
     assert grammar.score(run("you idiot, you idiot")) > grammar.score(run("no idiot")) > grammar.score(run(""))
+
+
+def test_negation_and_reporting_act_on_threats():
+    grammar = toxicity.Grammar({"idiot": 3.0}, {})
+    run = grammar.machine()
+    kind = lambda text: [k for k, s in zip(toxicity.KINDS, run(text), strict=True) if s]
+    assert kind("I will kill you") == ["targeted threat"] and kind("I will not kill you") == ["negated threat"] and kind("He said I will kill you") == ["reported threat"]
+    assert kind("He said: you idiot") == ["reported insult"] and kind("He said: \u201cYou idiot. I will kill you.\u201d Fine.") == ["reported insult", "reported threat"]
+    assert kind("He said so. You idiot") == ["targeted insult"] and kind('He said: "never mind\nyou idiot') == ["targeted insult"]
+    scores = [grammar.score(run(t)) for t in ("I will kill you", "He said I will kill you", "I will not kill you", "nothing")]
+    assert scores == sorted(scores, reverse=True) and len(set(scores)) == 4
+
+
+def test_composition_equals_the_cascade():
+    """The composed machine writes what the transducers write one after the other, and multiplies their weights."""
+    rng, parts = random.Random(1), [toxicity.negation(), toxicity.reporting(), toxicity.targeting()]
+    whole = toxicity.composed(toxicity.composed(parts[0], parts[1], toxicity.SYMBOLS), parts[2], toxicity.SYMBOLS)
+    state, states = whole.start, [p.start for p in parts]
+    for _ in range(5_000):
+        symbol = rng.choice(toxicity.SYMBOLS)
+        state, out, weight = whole.step(state, symbol)
+        read, product = symbol, 1.0
+        for i, part in enumerate(parts):
+            states[i], read, w = part.step(states[i], read)
+            product *= w
+        assert (out, weight) == (read, product)
+
+
+def test_held_out_rows_of_the_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    rows = toxicity.score(docs, toxicity.learn(docs, labels)).where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    caught = sum(r.predicted for r in rows if r.toxic) / max(1, sum(r.toxic for r in rows))
+    wrong = sum(r.predicted for r in rows if not r.toxic)
+    assert caught >= 0.8 and wrong <= 0.02 * len(rows)
