@@ -1,3 +1,5 @@
+import re
+
 from orgatlas.llm import extraction
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar"><header><a href="/">Home</a></header>
@@ -11,10 +13,36 @@ def test_article_alone_is_kept():
     assert extraction.main_text(PAGE).split("\n\n") == ["Café & more", "First line <x> a < b", "Ti.", "Quoted", "one", "two", "Last € link text."]
 
 
-def test_tree_puts_containers_first():
-    node = extraction.tree()
-    assert extraction.is_main((1, 0.0, 0, 0.0, 0, 0.0, 0, 1)) and not extraction.is_main((300, 0.0, 90, 0.0, 90, 0.0, 0, -1)) and isinstance(node, tuple)
-    assert all(extraction.is_main(row[:-1]) == bool(row[-1]) for row in extraction.LABELLED)
+def used(node):
+    return {node[0]} | used(node[2]) | used(node[3]) if isinstance(node, tuple) else set()
+
+
+def test_tree_uses_neighbours_and_holds_on_other_pages(spark):
+    """Blocks of pages whose containers are taken away: the tree alone has to tell the article."""
+    assert used(extraction.tree()) >= {0, 2, 3, 4}
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html is not null").select("html").collect()]
+    right = total = caught = main = 0
+    for html in pages:
+        bare = re.sub(r"<(/?)(?:article|nav|footer)\b[^>]*>", r"<\1div>", html).replace('<div class="ad">', "<div>")
+        told, blank = extraction.blocks(html), extraction.blocks(bare)
+        if [b[0] for b in told] != [b[0] for b in blank]:
+            continue
+        for i, block in enumerate(told):
+            found = extraction.is_main(extraction.shape(blank, i))
+            right, total = right + (found == (block[4] > 0)), total + 1
+            caught, main = caught + (found and block[4] > 0), main + (block[4] > 0)
+    assert total > 500 and right > 0.95 * total and caught > 0.95 * main
+
+
+def test_names_that_only_sound_like_boilerplate():
+    page = "<article><h1>T</h1><div class='legal-analysis'><p>Law.</p></div><section class='social-policy'><p>Policy.</p></section><div class='share-buttons'>Share</div><div id='relatedArticles'>More</div><p class='noticeable'>End.</p></article>"
+    assert extraction.main_text(page).split("\n\n") == ["T", "Law.", "Policy.", "End."]
+
+
+def test_stray_quotes_end_with_their_tag():
+    page = """<article><p class="a"">First <b>x</b></p><p title='it's'>Second > first</p><p data-x=a"b>Third</p><p a="1>2" b='3>4'>Fourth</p><p class="open>Fifth</p></article>"""
+    assert extraction.main_text(page).split("\n\n")[:4] == ["First x", "Second > first", "Third", "Fourth"]
+    assert extraction.main_text("<article><p>" + "<p a=\"" * 20_000) == ""
 
 
 def test_pages_without_containers():
