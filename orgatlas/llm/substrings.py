@@ -16,7 +16,7 @@ they stand, so only anchors have to meet in a shuffle, about one per twenty word
 4. What is covered is cut from the words.
 
 Words are compared by 128 bits: two independent hashes. A hot passage is a row per document and anchor at most; all groupings
-pre-aggregate to the least doc_id, and the rows of hot passages are dealt over copies of their few groups.
+pre-aggregate to the least doc_id, and rows are told from it by joins that doc_id is part of, so no passage is a hot key.
 
 Defined results: null and empty texts have no words; rows with equal doc_id never remove each other's
 words (nor do windows repeated inside one document); rows without doc_id keep all words and remove
@@ -43,8 +43,6 @@ SHARD = 512
 #: Phrases of one automaton at most: their words then have symbols enough.
 PHRASES = 50_000
 WORDS_KEPT = 500_000
-#: Rows of one group from which on they are dealt over copies of the group.
-HOT_ROWS, HOT_SALTS = 4_000, 64
 ODD = 0x9E3779B97F4A7C15
 ODD_INVERSE = pow(ODD, -1, 1 << 64)
 #: Stands between the documents of a slice; no word holds a blank.
@@ -251,12 +249,13 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
-def later_copies(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` whose group (``keys``) has a lesser doc_id; ``groups`` has keys, first, n. Rows of large groups are dealt over copies of these groups."""
-    hot = materialize(groups.where(F.col("n") >= HOT_ROWS).select(*keys, "first"))  # at most one in HOT_ROWS of the rows
-    told = salted(rows, hot, keys, F.col("doc_id"), "left", HOT_SALTS)
-    rest = told.where("first is null").drop("first").join(groups.where(F.col("n") < HOT_ROWS).select(*keys, "first"), keys)
-    return told.where("first is not null").select(*rows.columns, "first").unionByName(rest.select(*rows.columns, "first")).where("doc_id > first")
+def later_copies(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose group (``keys``) has a lesser doc_id, and the groups with the least of each.
+
+    Joined by keys and doc_id, so that the rows of a large group are dealt over all tasks.
+    """
+    firsts = materialize(rows.groupBy(*keys).agg(F.min("doc_id").alias("doc_id")))
+    return rows.join(firsts, [*keys, "doc_id"], "left_anti"), firsts
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE) -> DataFrame:
@@ -272,18 +271,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE) ->
     lines = found.where("line is not null")
     segments = lines.select("doc_id", "body", F.inline("segments"))
     same = ["anchor", "seg", "check"]
-    firsts = materialize(segments.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")))
+    copies, firsts = later_copies(segments, same)
     several = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    copies = later_copies(segments, firsts.where("first < last"), same).select("doc_id", "body", "start", "count")
-
-    chosen = firsts.join(several, "anchor", "left_semi").select(*same, F.col("first").alias("doc_id"))
-    single = segments.join(chosen, [*same, "doc_id"], "left_semi")
+    single = segments.join(salted(firsts, several, ["anchor"], F.col("seg"), "left_semi"), [*same, "doc_id"], "left_semi")
     spans = single.groupBy("doc_id", "body").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("spans"))
     windows = lines.select("doc_id", "body", "line").join(spans, ["doc_id", "body"]).select("doc_id", "body", "line", "spans")
     windows = materialize(windows.mapInArrow(lambda b: _windows(b, width), "doc_id long, body long, anchor long, start int, window long, check long"))
-    equal = ["anchor", "window", "check"]
-    least = materialize(windows.groupBy(*equal).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last"))
-    covered = later_copies(windows, least, equal).select("doc_id", "body", "start", F.lit(1).alias("count"))
+    covered, _ = later_copies(windows, ["anchor", "window", "check"])
+    copies, covered = copies.select("doc_id", "body", "start", "count"), covered.select("doc_id", "body", "start", F.lit(1).alias("count"))
 
     cuts = copies.unionByName(covered).groupBy("doc_id", "body").agg(F.collect_list(F.struct("start", "count")).alias("cuts"))
     held = lines.select("doc_id", "n_words", "digest", "body", "line").join(cuts, ["doc_id", "body"], "left").select("doc_id", "n_words", "digest", "line", "cuts")

@@ -57,7 +57,6 @@ def test_odd_rows(make_docs, odd_docs, no_docs):
 
 
 def test_hot_passage_and_many_automata(make_docs, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_ROWS", 3)
     monkeypatch.setattr(substrings, "PHRASES", 2)
     rng = random.Random(5)
     hot = [f"h{i}" for i in range(130)]
