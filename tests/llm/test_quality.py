@@ -36,11 +36,25 @@ def test_order_changes_only_the_named_rule(make_docs):
     assert a == b == {0: False, 1: True}
 
 
-def test_cascade_order_and_empty_table(make_docs, no_docs):
-    docs = make_docs([(i, ("## $$ " * 40) if i % 2 else " ".join(f"words{i}z{k}" for k in range(60))) for i in range(400)])
-    order = quality.cascade_order(docs, quality.rules())
-    assert sorted(order) == sorted(quality.rules())
-    assert quality.judge(no_docs).count() == 0
+def test_cascade_order_is_stable(spark, make_docs, no_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    orders = {tuple(quality.cascade_order(docs, quality.rules())) for _ in range(3)}
+    assert len(orders) == 1 and sorted(*orders) == sorted(quality.rules())
+    assert quality.judge(no_docs).count() == 0 and quality.cascade_order(no_docs, quality.rules()) == list(quality.rules())
+
+
+def test_greedy_order_is_conditional():
+    """A rule that rejects only what an earlier one rejects comes last, and costs count."""
+    outcomes = [(True, True, False)] * 60 + [(False, False, True)] * 20 + [(False, False, False)] * 20
+    assert quality.greedy_order(outcomes, [1.0, 1.1, 1.0]) == [0, 2, 1]
+    assert quality.greedy_order(outcomes, [1.0, 1.1, 0.1]) == [2, 0, 1] and quality.greedy_order([], [1.0, 2.0]) == [0, 1]
+
+
+def test_sampling_moves_no_rows(make_docs):
+    docs = make_docs([(i, f"text {i}") for i in range(5_000)])
+    plan = quality.measured(quality.sampled(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "Sample" in plan and "Exchange" not in plan and "Limit" not in plan
+    assert 280 < quality.sampled(docs).count() < 520
 
 
 def test_no_python_in_the_plan(make_docs):
