@@ -89,13 +89,12 @@ SIGNATURES = [
     ("Lever", "Recruiting", r"jobs\.lever\.co"),
     ("Workable", "Recruiting", r"apply\.workable\.com"),
 ]
-MOST_CHARS = 600_000
 MOST_EVIDENCE = 80
 
 
-def detect_tech(pages: DataFrame, signatures: list[tuple[str, str, str]] = SIGNATURES, headers: str | None = None) -> DataFrame:
-    """(page_id, name, category, evidence): signatures that match the lower-cased headers and HTML of a page."""
-    hay = F.lower(F.concat(F.coalesce(headers, F.lit("")) if headers else F.lit(""), F.lit("\n"), F.left("html", F.lit(MOST_CHARS))))
+def detect_tech(pages: DataFrame, signatures: list[tuple[str, str, str]] = SIGNATURES, headers: str | None = None, most_chars: int | None = None) -> DataFrame:
+    """(page_id, name, category, evidence): signatures that match the lower-cased headers and HTML of a page; with ``most_chars`` only so much of the HTML."""
+    hay = F.lower(F.concat(F.coalesce(headers, F.lit("")) if headers else F.lit(""), F.lit("\n"), F.left("html", F.lit(most_chars)) if most_chars else F.col("html")))
     rows = pages.where(F.length("html") > 0).select("page_id", hay.alias("hay"))
 
     def one(name: str, category: str, pattern: str):

@@ -46,7 +46,7 @@ def display_name(name: Column) -> Column:
     bare = F.trim(name)
     turned = F.when(bare.rlike("^[^,]+,[^,]+$"), F.concat(F.trim(F.substring_index(bare, ",", -1)), F.lit(" "), F.trim(F.substring_index(bare, ",", 1)))).otherwise(bare)
     words = F.filter(F.split(turned, r"\s+"), lambda w: w != "")
-    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000)))
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
     return F.array_join(F.transform(words, lambda w: F.when((w == F.upper(w)) | (w == F.lower(w)), capital(w)).otherwise(w)), " ")
 
 

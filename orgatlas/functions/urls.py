@@ -80,7 +80,7 @@ def site_domain(url: Column) -> Column:
 def alternate_urls(url: Column) -> Column:
     """Other spellings of an address: https on the same host, https with or without www, the same scheme with or without www."""
     scheme, host = F.lower(F.regexp_extract(url, "(?i)^([a-z]+)://", 1)), host_of(url)
-    other = F.when(host.startswith("www."), F.substring(host, 5, 10_000)).otherwise(F.concat(F.lit("www."), host))
+    other = F.when(host.startswith("www."), F.substr(host, F.lit(5))).otherwise(F.concat(F.lit("www."), host))
     own = F.concat(scheme, F.lit("://"), host)
     tried = F.array(F.concat(F.lit("https://"), host), F.concat(F.lit("https://"), other), F.concat(scheme, F.lit("://"), other))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.slice(F.array_distinct(F.filter(tried, lambda c: c != own)), 1, 3))

@@ -10,6 +10,8 @@ from orgatlas.functions import urls as U
 
 #: Patterns and word lists.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: The same matches without going back over a long run of letters: a match begins where such a run or the last match ends.
+EMAILS = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?<![\w/.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w/])|(?<![\w/.])\+\d{8,14}(?!\w)"
 YEARS = r"^(19|20)\d{2}[ .-](19|20)?\d{2}$"
 MOST_PHONES = 20
@@ -51,8 +53,8 @@ def jsonld_objects(pages: DataFrame) -> DataFrame:
 
 def emails(rows: DataFrame, text: Column, hrefs: Column, *keys: str) -> DataFrame:
     """Addresses in the text, then those of mailto links in lower case; the first spelling of each."""
-    mailto = F.filter(F.transform(F.filter(hrefs, lambda h: h.startswith("mailto:")), lambda h: F.lower(F.substring_index(F.substring(h, 8, 10_000), "?", 1))), lambda e: e != "")
-    return exploded(rows, T.distinct_labels(F.concat(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), mailto)), *keys)
+    mailto = F.filter(F.transform(F.filter(hrefs, lambda h: h.startswith("mailto:")), lambda h: F.lower(F.substring_index(F.substr(h, F.lit(8)), "?", 1))), lambda e: e != "")
+    return exploded(rows, T.distinct_labels(F.concat(F.when(F.contains(text, F.lit("@")), F.regexp_extract_all(text, F.lit(EMAILS), F.lit(0))).otherwise(F.array().cast("array<string>")), mailto)), *keys)
 
 
 def phone_matches(line: Column) -> Column:
@@ -64,7 +66,7 @@ def phone_matches(line: Column) -> Column:
 
 def phones(rows: DataFrame, lines: Column, hrefs: Column, *keys: str) -> DataFrame:
     """Numbers of tel links (the last first), then of the lines; at most ``MOST_PHONES`` distinct ones."""
-    links = F.reverse(F.transform(F.filter(hrefs, lambda h: h.startswith("tel:")), lambda h: F.trim(F.substring(h, 5, 10_000))))
+    links = F.reverse(F.transform(F.filter(hrefs, lambda h: h.startswith("tel:")), lambda h: F.trim(F.substr(h, F.lit(5)))))
     return exploded(rows, F.slice(T.distinct_labels(F.concat(links, F.flatten(F.transform(lines, phone_matches)))), 1, MOST_PHONES), *keys)
 
 
@@ -105,7 +107,7 @@ def certifications(rows: DataFrame, text: Column, *keys: str) -> DataFrame:
 
 def addresses(pages: DataFrame) -> DataFrame:
     """Marked-up addresses without their phone and e-mail lines; else, on some categories, lines that read like one."""
-    is_contact = lambda x: (F.size(phone_matches(x)) > 0) | x.rlike(EMAIL) | x.rlike(r"^[\d\s()+./-]{7,}$")
+    is_contact = lambda x: (F.size(phone_matches(x)) > 0) | x.rlike(EMAILS) | x.rlike(r"^[\d\s()+./-]{7,}$")
     tagged = F.filter(F.transform("addresses", lambda a: F.array_join(F.filter(F.transform(a, T.clean), lambda x: (x != "") & ~is_contact(x)), ", ")), lambda a: a != "")
     marked = pages.withColumn("_tagged", tagged)
     rest = marked.where((F.size("_tagged") == 0) & F.col("category").isin(*ADDRESS_CATEGORIES))
@@ -113,7 +115,7 @@ def addresses(pages: DataFrame) -> DataFrame:
     lines = lines_of(rest).withColumn("before", F.lag("line").over(order))
     island = F.sum(F.when(F.coalesce(F.col("before").rlike("[,–-]$"), F.lit(False)), 0).otherwise(1)).over(order)
     merged = lines.withColumn("island", island).groupBy("page_id", "island").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ").alias("value"))
-    street = F.length("value").between(15, 220) & (F.length("value") - F.length(F.replace("value", F.lit(","), F.lit(""))) >= 2) & F.col("value").rlike(r"\d") & F.col("value").rlike(STREET) & ~F.col("value").rlike(EMAIL)
+    street = F.length("value").between(15, 220) & (F.length("value") - F.length(F.replace("value", F.lit(","), F.lit(""))) >= 2) & F.col("value").rlike(r"\d") & F.col("value").rlike(STREET) & ~F.col("value").rlike(EMAILS)
     by_line = merged.where(street).groupBy("page_id").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("island", "value"))), lambda x: x["value"]), 1, 10).alias("found"))
     found = marked.where(F.size("_tagged") > 0).select("page_id", F.col("_tagged").alias("found")).unionByName(by_line)
     return exploded(found, T.distinct_labels(F.col("found")), "page_id")

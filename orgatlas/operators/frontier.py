@@ -66,13 +66,13 @@ def discover(pages: DataFrame, seed: Column, limit: int) -> DataFrame:
     links = pages.withColumn("_seed", seed).select("page_id", "_seed", F.posexplode("links").alias("pos", "a"))
     target = U.canonical_link(F.col("_seed"), F.col("a.href"))
     links = links.select("page_id", "_seed", "pos", target.alias("link"), F.col("a.label").alias("label")).where(F.col("link").isNotNull() & U.same_domain(F.col("_seed"), F.col("link")))
-    upgraded = F.when(F.col("_seed").startswith("https://") & F.col("link").startswith("http://"), F.concat(F.lit("https://"), F.substring("link", 8, 10_000))).otherwise(F.col("link"))
+    upgraded = F.when(F.col("_seed").startswith("https://") & F.col("link").startswith("http://"), F.concat(F.lit("https://"), F.substr("link", F.lit(8)))).otherwise(F.col("link"))
     return rank_links(classify_links(links.withColumn("link", upgraded)), limit)
 
 
-def challenge(pages: DataFrame, html: str = "html", text_length: str = "text_length", status: str = "status", final_url: str = "final_url", url: str = "url") -> DataFrame:
-    """Adds ``challenge``: what blocks the page, or an empty string. Widgets count on thin or refused pages only."""
-    head = F.left(F.col(html), F.lit(400_000))
+def challenge(pages: DataFrame, html: str = "html", text_length: str = "text_length", status: str = "status", final_url: str = "final_url", url: str = "url", most_chars: int | None = None) -> DataFrame:
+    """Adds ``challenge``: what blocks the page, or an empty string. Widgets count on thin or refused pages only. With ``most_chars`` only so much of a page is read."""
+    head = F.left(F.col(html), F.lit(most_chars)) if most_chars else F.col(html)
     code = F.coalesce(status, F.lit(0))
     thin, refused = F.coalesce(text_length, F.lit(0)) < 1500, code.isin(*BLOCKING)
     found = None

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def latest_by_key(rows: DataFrame, key: str, version: str) -> DataFrame:
     """Insert-or-replace: the row of the highest version per key."""
-    order = Window.partitionBy(key).orderBy(F.desc(version))
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    newest = F.max_by(F.struct(*rows.columns), F.struct(version))  # pre-aggregated, so a key with very many versions is no hot group
+    return rows.groupBy(F.col(key).alias("_key")).agg(newest.alias("_row")).select("_row.*")
+
+
+def by_id(rows: DataFrame, id: str, key: str, version: str) -> DataFrame:
+    """The latest row of one key, or none."""
+    return latest_by_key(rows.where(F.col(key) == id), key, version)
 
 
 def recent(rows: DataFrame, created: str, key: str, n: int = 30) -> DataFrame:

@@ -62,13 +62,12 @@ def every(conditions: list[Column]) -> Column:
 
 def term_filter(places: DataFrame, terms: list[Term]) -> DataFrame:
     """Every term must begin a word of the name, the category or the category path."""
-    path = F.array_join("hierarchy", " ")
+    return places.where(every([has_term(t) for t in terms]))
 
-    def hit(term: Term) -> Column:
-        pattern = r"(?iu)(^|[^\p{L}\p{N}])(" + "|".join(map(re.escape, term.alternatives)) + ")"
-        return F.coalesce(F.col("name").rlike(pattern), F.lit(False)) | F.coalesce(F.col("category_primary").rlike(pattern), F.lit(False)) | F.coalesce(path.rlike(pattern), F.lit(False))
 
-    return places.where(every([hit(t) for t in terms]))
+def has_term(term: Term) -> Column:
+    pattern = r"(?iu)(^|[^\p{L}\p{N}])(" + "|".join(map(re.escape, term.alternatives)) + ")"
+    return functools.reduce(operator.or_, [F.coalesce(c.rlike(pattern), F.lit(False)) for c in (F.col("name"), F.col("category_primary"), F.array_join("hierarchy", " "))])
 
 
 def name_contains(places: DataFrame, words: str) -> DataFrame:
@@ -77,7 +76,11 @@ def name_contains(places: DataFrame, words: str) -> DataFrame:
 
 def valid_places(places: DataFrame, country: str) -> DataFrame:
     """Named places of the country that are not closed for good; an unknown status counts as open."""
-    return places.where((F.upper("country") == country.upper()) & ~F.coalesce("operating_status", F.lit("open")).isin(*CLOSED) & F.col("name").isNotNull())
+    return places.where(valid_in(country))
+
+
+def valid_in(country: str) -> Column:
+    return (F.upper("country") == country.upper()) & ~F.coalesce("operating_status", F.lit("open")).isin(*CLOSED) & F.col("name").isNotNull()
 
 
 def of_category(places: DataFrame, label: str) -> DataFrame:
@@ -86,8 +89,11 @@ def of_category(places: DataFrame, label: str) -> DataFrame:
 
 def relevance(hits: DataFrame, terms: list[Term]) -> DataFrame:
     """Adds ``tier`` (3 own category, 2 parent or related, 1 related parent, 0 name only) and ``match``."""
-    if not terms:
-        return hits.withColumns({"tier": F.lit(3), "match": F.lit("name")})
+    return graded(hits, [(F.lit(True), terms)])
+
+
+def graded(hits: DataFrame, searches: list[tuple[Column, list[Term]]]) -> DataFrame:
+    """``relevance`` where each row belongs to one of several searches: (whether it does, the terms)."""
     leaf = F.concat(T.tokens(F.col("category_primary")), T.tokens(F.array_join("alternates", " ")))
     middle = F.when(F.size("hierarchy") > 2, T.tokens(F.array_join(F.slice("hierarchy", 2, F.greatest(F.size("hierarchy") - 2, F.lit(0))), " "))).otherwise(F.array().cast("array<string>"))
     hits = hits.withColumn("_leaf", leaf).withColumn("_path", F.concat("_leaf", middle))
@@ -100,16 +106,17 @@ def relevance(hits: DataFrame, terms: list[Term]) -> DataFrame:
         start = "(^| )(" + "|".join(re.escape(a.replace("_", " ")) for a in term.alternatives) + ")"
         return F.array_join(words, " ").rlike(start) | exact(term, words)
 
-    graded = [
-        (every([exact(t, "_leaf") for t in terms]), 3, "category"),
-        (every([exact(t, "_path") for t in terms]), 2, "parent category"),
-        (every([related(t, "_leaf") for t in terms]), 2, "related category"),
-        (every([related(t, "_path") for t in terms]), 1, "related parent category"),
-    ]
-    tier, match = F.when(graded[0][0], graded[0][1]), F.when(graded[0][0], graded[0][2])
-    for condition, grade, why in graded[1:]:
-        tier, match = tier.when(condition, grade), match.when(condition, why)
-    return hits.withColumns({"tier": tier.otherwise(0), "match": match.otherwise("name only")}).drop("_leaf", "_path")
+    grade, why = F.when(F.lit(False), 0), F.when(F.lit(False), "")
+    for own, terms in searches:
+        steps = [(F.lit(True), 3, "name")] if not terms else [
+            (every([exact(t, "_leaf") for t in terms]), 3, "category"),
+            (every([exact(t, "_path") for t in terms]), 2, "parent category"),
+            (every([related(t, "_leaf") for t in terms]), 2, "related category"),
+            (every([related(t, "_path") for t in terms]), 1, "related parent category"),
+        ]
+        for condition, tier, name in steps:
+            grade, why = grade.when(own & condition, tier), why.when(own & condition, name)
+    return hits.withColumns({"tier": grade.otherwise(0), "match": why.otherwise("name only")}).drop("_leaf", "_path")
 
 
 def base_score(hits: DataFrame) -> DataFrame:
@@ -161,8 +168,8 @@ def one_row_per_company(hits: DataFrame, by: tuple = ()) -> DataFrame:
     """The best-ranked row per company domain, or per name and city where there is none."""
     bare = F.regexp_replace(F.lower("name"), r"(?U)\W", "")
     key = F.when(F.col("site").isNotNull(), F.concat(F.lit("site:"), F.col("site"))).otherwise(F.concat(F.lit("name:"), bare, F.lit("\t"), F.coalesce(F.lower("city"), F.lit(""))))
-    first = Window.partitionBy(*by, "_company").orderBy(*rank_order())
-    return hits.withColumn("_company", key).withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_company", "_place")
+    best = F.min_by(F.struct(*hits.columns), F.struct(-F.col("tier"), -F.round("score", 9), "id"))  # the order of rank_order, pre-aggregated: a chain's domain is no hot group
+    return hits.groupBy(*by, key.alias("_company")).agg(best.alias("_row")).select("_row.*")
 
 
 def counts(companies: DataFrame, by: tuple = ()) -> DataFrame:
@@ -200,12 +207,11 @@ def company_search(places: DataFrame, industry: str, country: str, name: str = "
 
 
 def company_search_many(places: DataFrame, searches: list[tuple[str, str, str]], limit: int = 50) -> DataFrame:
-    """Many searches (query_id, industry, country) in one job: the places are read once."""
-    flags = []
-    for query_id, industry, country in searches:
-        hits = scored_hits(places, industry, country)
-        flags.append(hits.withColumn("query_id", F.lit(query_id)))
-    hits = functools.reduce(DataFrame.unionByName, flags)
+    """Many searches (query_id, industry, country) in one job: the places are read once, and each row is dealt out to the searches it answers."""
+    terms = {query_id: parse_industry(industry) for query_id, industry, _ in searches}
+    asked = F.array_compact(F.array(*[F.when(valid_in(country) & every([has_term(t) for t in terms[query_id]]), F.lit(query_id)) for query_id, _, country in searches]))
+    hits = places.withColumn("query_id", F.explode(asked))
+    hits = base_score(graded(hits, [(F.col("query_id") == query_id, own) for query_id, own in terms.items()]))
     found = ranked_companies(hits, ("query_id",))
     order = Window.partitionBy("query_id").orderBy(*rank_order())
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)

@@ -61,6 +61,12 @@ def _(spark, d):
     return H.latest_by_key(view(spark, d, "history_v"), "id", "version").select("id", "version", "status")
 
 
+@query("s15_history_get", f"WITH {LATEST} SELECT id, version, status FROM l WHERE id = (SELECT max(id) FROM history_v)", "history_v")
+def _(spark, d):
+    rows = view(spark, d, "history_v")
+    return H.by_id(rows, rows.agg(F.max("id")).first()[0], "id", "version").select("id", "version", "status")
+
+
 @query("s15_history_recent", f"WITH {LATEST} SELECT id, version FROM l ORDER BY created_at DESC, id LIMIT 30", "history_v")
 def _(spark, d):
     return H.recent(H.latest_by_key(view(spark, d, "history_v"), "id", "version"), "created_at", "id").select("id", "version")

@@ -56,9 +56,22 @@ def _(spark, d):
     return X.headings(parsed(spark, d)).select("page_id", "value")
 
 
-@query("x3_jsonld_objects")
+def before(spark, d, parts: dict[int, str], modulus: int):
+    """Parsed pages with further markup in front, by page_id modulo ``modulus``; # stands for the page_id."""
+    extra = F.lit("")
+    for rest, markup in parts.items():
+        extra = F.when(F.col("page_id") % modulus == rest, F.replace(F.lit(markup), F.lit("#"), F.col("page_id").cast("string"))).otherwise(extra)
+    return texts(spark, d, "pages").withColumn("html", F.concat(extra, "html"))
+
+
+LINKED = '<script type="application/ld+json">%s</script>'
+
+
+@query("x3_jsonld_objects", """SELECT page_id, 0 AS script, 0 AS item, '{"name":"C' || page_id || '"}' AS object FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 0, unnest([0, 1]), '{"n":' || unnest([1, 2]) || '}' FROM pages WHERE page_id % 4 = 1
+UNION ALL SELECT page_id, 1, 0, '{"name":"G' || page_id || '"}' FROM pages WHERE page_id % 4 = 3""")
 def _(spark, d):
-    return X.jsonld_objects(parsed(spark, d)).select("page_id", "script", "item", F.to_json("object").alias("object"))
+    pages = before(spark, d, {0: LINKED % '{"name": "C#"}', 1: LINKED % '[{"n": 1}, {"n": 2}]', 2: LINKED % "{bad", 3: LINKED % "{bad" + LINKED % '{"@graph": [{"name": "G#"}]}'}, 4)
+    return X.jsonld_objects(parse_pages(pages)).select("page_id", "script", "item", F.to_json("object").alias("object"))
 
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -85,9 +98,10 @@ def _(spark, d):
     return X.social_links(view(spark, d, "places_v"), F.array_compact(links), "id").select("id", "value")
 
 
-@query("x7_people")
+@query("x7_people", """SELECT page_id, CASE page_id % 4 WHEN 1 THEN 2 ELSE 0 END AS pos, (['Ann Lee', 'Bob Stone', 'Cleo Marsh'])[page_id % 4 + 1] AS name, (['CEO', 'Founder', 'President'])[page_id % 4 + 1] AS title FROM pages WHERE page_id % 4 < 3""")
 def _(spark, d):
-    return X.people(X.lines_of(parsed(spark, d)))
+    pages = before(spark, d, {0: "<p>Ann Lee, CEO</p>", 1: "<p>Bob</p><p>Stone</p><p>\u2022 Founder</p>", 2: "<p>President</p><p>Cleo Marsh</p>", 3: "<p>Message of the CEO</p><p>Ann Lee</p>"}, 4)
+    return X.people(X.lines_of(parse_pages(pages)))
 
 
 CERT = r"(?i)\b(ISO(?:/IEC)?\s?\d{4,5}(?::\d{4})?|SOC\s?[12](?:\s?Type\s?(?:II|I|2|1))?|CMMI(?:\s?(?:Level|ML)\s?\d)?|HIPAA(?:\s?Compliant)?|GDPR(?:\s?Compliant)?|PCI[\s-]?DSS|(?:AWS|Microsoft|Google Cloud|Salesforce|Shopify|HubSpot|Odoo|Oracle|SAP)\s(?:Advanced|Select|Premier|Gold|Silver|Certified|Registered|Consulting)?\s?(?:Tier\s)?(?:Consulting\s|Services\s|Solutions\s)?Partner)\b"
@@ -101,9 +115,10 @@ def _(spark, d):
     return X.certifications(view(spark, d, "places_v"), text, "id").select("id", "value")
 
 
-@query("x9_addresses")
+@query("x9_addresses", """SELECT page_id, 0 AS pos, CASE page_id % 3 WHEN 0 THEN page_id || ' Main Street, Springfield' ELSE page_id || ' High Street, Old Town, Avalon' END AS value FROM pages WHERE page_id % 3 < 2""")
 def _(spark, d):
-    return X.addresses(parsed(spark, d).withColumn("category", F.lit("homepage")))
+    pages = before(spark, d, {0: "<address># Main Street<br>Springfield<br>info@a.example</address>", 1: "<p># High Street,</p><p>Old Town, Avalon</p>"}, 3)
+    return X.addresses(parse_pages(pages).withColumn("category", F.lit("homepage")))
 
 
 @query("x10_internal_links", r"""WITH a AS (SELECT page_id, lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) AS origin, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS label FROM pages)
@@ -112,23 +127,23 @@ def _(spark, d):
     return X.internal_links(parsed(spark, d)).select("page_id", "link", "label")
 
 
-@query("x11_client_logos")
+@query("x11_client_logos", "SELECT page_id, unnest([0, 1]) AS pos, unnest(['Acme ' || page_id, 'Beta']) AS value FROM pages WHERE page_id % 2 = 0")
 def _(spark, d):
-    return X.client_logos(parsed(spark, d))
+    return X.client_logos(parse_pages(before(spark, d, {0: '<div class="client-logos"><img alt="Acme # logo"><img alt="Beta"><img alt="Beta image"></div>', 1: '<img alt="Gamma logo">'}, 2)))
 
 
 TEST_SIGNATURES = [("Tracker", "Analytics", r"track\(\d+\);?"), ("Adverts", "Advertising", r"<div class=\"ad\">|<!-- ad \d+"), ("Feed", "Syndication", r"utm_source=feed"), ("Article", "Markup", r"<article>")]
 
 
-@query("x12_technologies", r"""WITH h AS (SELECT page_id, lower(chr(10) || left(html, 600000)) AS hay FROM pages), s AS (SELECT * FROM (VALUES ('Tracker', 'Analytics', 'track\(\d+\);?'), ('Adverts', 'Advertising', '<div class="ad">|<!-- ad \d+'), ('Feed', 'Syndication', 'utm_source=feed'), ('Article', 'Markup', '<article>')) t(name, category, pattern))
+@query("x12_technologies", r"""WITH h AS (SELECT page_id, lower(chr(10) || html) AS hay FROM pages), s AS (SELECT * FROM (VALUES ('Tracker', 'Analytics', 'track\(\d+\);?'), ('Adverts', 'Advertising', '<div class="ad">|<!-- ad \d+'), ('Feed', 'Syndication', 'utm_source=feed'), ('Article', 'Markup', '<article>')) t(name, category, pattern))
 SELECT page_id, name, category, left(regexp_extract(hay, pattern), 80) AS evidence FROM h, s WHERE regexp_matches(hay, pattern)""")
 def _(spark, d):
     return technology.detect_tech(texts(spark, d, "pages"), TEST_SIGNATURES)
 
 
-@query("x12_all_signatures")
+@query("x12_all_signatures", "SELECT page_id, (['Vimeo', 'Google Fonts', 'Calendly'])[page_id % 4 + 1] AS name, (['Video', 'Font', 'Scheduling'])[page_id % 4 + 1] AS category, (['player.vimeo.com', 'fonts.googleapis.com', 'calendly.com/'])[page_id % 4 + 1] AS evidence FROM pages WHERE page_id % 4 < 3")
 def _(spark, d):
-    return technology.detect_tech(texts(spark, d, "pages"))
+    return technology.detect_tech(before(spark, d, {0: '<iframe src="https://Player.vimeo.com/1">', 1: '<link href="//fonts.googleapis.com/css">', 2: "see calendly.com/#"}, 4))
 
 
 PATHS = ("/about", "/our-services/x", "/team/leadership", "/a-very-long-slug-about-company-technology", "/careers/", "/x", "/case-study/one", "/")

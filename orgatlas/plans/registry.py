@@ -8,7 +8,7 @@ PARTS = (search_queries, text_queries, page_queries, profile_queries, register_q
 
 
 def flagship(spark, sf_dir):
-    return search_queries.top_companies(spark, sf_dir)
+    return search_queries.top_companies(spark, sf_dir, "machinery", "NATION_19")
 
 
 def queries() -> dict:

@@ -191,8 +191,8 @@ def _(spark, d):
 
 
 @query("c16_top_companies", f"WITH {MACHINERY} SELECT id, name, site, CAST(locations AS BIGINT) AS locations, CAST(tier AS INTEGER) AS tier, round(score, 6) AS score FROM companies ORDER BY tier DESC, round(companies.score, 9) DESC, id LIMIT 50")
-def top_companies(spark, d):
-    return S.company_search(places(spark, d), INDUSTRY, COUNTRY).select("id", "name", "site", F.col("locations").cast("long").alias("locations"), "tier", r6("score"))
+def top_companies(spark, d, industry=INDUSTRY, country=COUNTRY):
+    return S.company_search(places(spark, d), industry, country).select("id", "name", "site", F.col("locations").cast("long").alias("locations"), "tier", r6("score"))
 
 
 def _many() -> str:
