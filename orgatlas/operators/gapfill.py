@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from orgatlas.functions import text as T
 from orgatlas.functions import urls as U
+from orgatlas.sources.staging import staged
 
 #: Tags of a map extract per field, in order; and the shared length of names that may match loosely.
 MAP_TAGS = {"website": ("website", "contact:website", "url"), "phone": ("phone", "contact:phone", "contact:mobile", "mobile"), "email": ("email", "contact:email")}
@@ -42,21 +43,45 @@ def fill(companies: DataFrame, source: DataFrame, fields: tuple = FIELDS, label:
     return both.withColumn("filled_from", noted).withColumns({f: F.coalesce(f, f"_{f}") for f in fields}).drop(*[f"_{f}" for f in fields])
 
 
+def pieces(key: Column, edits: Column) -> Column:
+    """A key cut evenly into one piece more than ``edits``: (number, start, text)."""
+    count = edits + 1
+    cut = lambda i: F.floor(F.length(key) * i / count).cast("int")
+    return F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct(i.alias("piece"), cut(i).alias("at"), F.substring(key, cut(i) + 1, cut(i + 1) - cut(i)).alias("text")))
+
+
+def most_edits(a: Column, b: Column) -> Column:
+    """Letters that stand in one of two keys of these lengths only, at most, when their ratio is ``LIKE`` or more."""
+    return F.floor(F.round((1 - LIKE) * (a + b), 6)).cast("int")
+
+
 def osm_matches(companies: DataFrame, places: DataFrame) -> DataFrame:
-    """(company_id, ord, fields) of map places with the company's name: equal keys, or alike with the same first or last four letters.
+    """(company_id, ord, fields) of map places with the company's name: equal keys, or alike to nine tenths.
 
-    Names that are alike to nine tenths share one of these ends unless both are changed, so the loose part is an equality join too.
+    Alike keys differ by a bounded number of inserted and missing letters, so of one piece more than that at least one stands in both, shifted
+    by no more than the bound. Different keys meet on country, lengths, number, shifted start and text of a piece, which loses no pair; each pair of keys is compared once, whatever number of
+    companies and places have them.
     """
     own = companies.select("company_id", F.lower("country").alias("country"), T.map_key(F.col("name")).alias("key")).where(F.length("key") >= LEAST_KEY)
     theirs = map_fields(places).select(F.lower("country").alias("country"), "ord", *FIELDS, T.map_key(F.col("name")).alias("_key")).where(F.length("_key") >= LEAST_KEY)
     equal = own.join(theirs, (own["country"] == theirs["country"]) & (own["key"] == theirs["_key"])).select("company_id", "ord", *FIELDS)
-    ends = lambda k: F.array(F.concat(F.lit("<"), F.left(k, F.lit(LEAST_KEY))), F.concat(F.lit(">"), F.right(k, F.lit(LEAST_KEY))))
-    a = own.select("company_id", "country", "key", F.explode(ends(F.col("key"))).alias("end"))
-    b = theirs.select("country", "ord", *FIELDS, "_key", F.explode(ends(F.col("_key"))).alias("end"))
-    near = F.abs(F.length("key") - F.length("_key")) <= 0.2 * F.greatest(F.length("key"), F.length("_key")) + 1
-    loose = a.join(b, ["country", "end"]).where((F.col("key") != F.col("_key")) & near).select("company_id", "ord", *FIELDS, "key", "_key").distinct()
-    alike = loose.withColumn("ratio", _ratio("key", "_key")).where(F.col("ratio") >= LIKE).select("company_id", "ord", *FIELDS)
-    return equal.unionByName(alike)
+
+    def lengths(key: str) -> Column:
+        """All lengths that an alike key may have."""
+        n = F.length(key)
+        return F.sequence(F.ceil(F.round(n * LIKE / (2 - LIKE), 6)).cast("int"), F.floor(F.round(n * (2 - LIKE) / LIKE, 6)).cast("int"))
+
+    a = own.select("country", "key").distinct().withColumn("m", F.explode(lengths("key"))).withColumn("d", most_edits(F.length("key"), F.col("m")))
+    a = a.select("country", "key", F.length("key").alias("n"), "m", F.inline(pieces(F.col("key"), F.col("d"))))
+    b = theirs.select("country", "_key").distinct().withColumn("n", F.explode(lengths("_key"))).withColumn("m", F.length("_key")).withColumn("d", most_edits(F.col("n"), F.col("m")))
+    b = b.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumn("at", F.floor(F.col("n") * F.col("piece") / (F.col("d") + 1)).cast("int"))
+    b = b.withColumn("size", F.floor(F.col("n") * (F.col("piece") + 1) / (F.col("d") + 1)).cast("int") - F.col("at"))
+    b = b.withColumn("shift", F.explode(F.sequence(-F.col("d"), F.col("d")))).where("at + shift >= 0 and at + shift + size <= m")
+    b = b.select("country", "_key", "n", "m", "piece", "at", F.substring("_key", F.col("at") + F.col("shift") + 1, F.col("size")).alias("text")).distinct()
+    pairs = staged(a.join(b, ["country", "n", "m", "piece", "at", "text"]).where("key <> _key").select("country", "key", "_key").distinct())
+    alike = pairs.where(_ratio("key", "_key") >= LIKE)
+    loose = own.join(alike, ["country", "key"]).join(theirs, ["country", "_key"]).select("company_id", "ord", *FIELDS)
+    return equal.unionByName(loose)
 
 
 def osm_fill(companies: DataFrame, places: DataFrame) -> DataFrame:

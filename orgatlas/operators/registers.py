@@ -100,27 +100,38 @@ def union_registries(**sources: DataFrame) -> DataFrame:
 
 
 def candidates(companies: DataFrame, registry: DataFrame, max_token_freq: int = 5_000, top: int = 10) -> DataFrame:
-    """Register rows that share name tokens with a company; the ``top`` with most tokens in common.
+    """Register rows that share name tokens with a company: equal names first, then those with the rarest tokens in common.
 
-    ``companies``: company_id, name, country; ``registry``: record_id, name, jurisdiction_code. Tokens in more than
-    ``max_token_freq`` register names only block together with the next token of the name, so no name is lost and
-    no token makes a hot key.
+    ``companies``: company_id, name, country; ``registry``: record_id, name, jurisdiction_code. A token in more than
+    ``max_token_freq`` register names blocks only in pairs, with each other such token of the name in any order (alone where it is the whole name); so
+    names meet that share one rare token, or two frequent ones, or are equal. ``top`` candidates stay per company
+    inside its country and outside of it, and all that tie with the last of them.
     """
     def tokens(rows: DataFrame, key: str) -> DataFrame:
         words = F.filter(F.split(register_key(F.col("name")), " "), lambda w: w != "")
-        return rows.withColumn("_w", words).select(key, F.posexplode("_w").alias("_i", "token"), F.try_element_at("_w", F.col("_i") + 2).alias("next")).select(key, "token", "next")
+        return rows.select(key, F.explode(F.array_distinct(words)).alias("token"))
 
     theirs = tokens(registry, "record_id")
-    frequent = theirs.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > max_token_freq).select("token", F.lit(True).alias("common"))
+    counts = staged(theirs.groupBy("token").agg(F.count("*").alias("n")))
+    total = F.lit(float(max(2, registry.count())))
 
     def blocks(rows: DataFrame, key: str) -> DataFrame:
-        marked = rows.join(frequent, "token", "left")
-        pair = F.concat_ws(" ", "token", F.coalesce("next", F.lit("")))
-        return marked.select(key, F.when(F.col("common"), pair).otherwise(F.col("token")).alias("block")).distinct()
-
-    shared = blocks(tokens(companies, "company_id"), "company_id").join(blocks(theirs, "record_id"), "block").groupBy("company_id", "record_id").agg(F.count("*").alias("shared"))
-    order = Window.partitionBy("company_id").orderBy(F.desc("shared"), "record_id")
-    return shared.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= top)
+        """(key, block, weight): rare tokens and pairs of frequent ones, with their surprise."""
+        marked = rows.join(counts, "token").groupBy(key).agg(F.sort_array(F.collect_set(F.struct("token", "n"))).alias("own"))
+        rare = F.transform(F.filter("own", lambda t: t["n"] <= max_token_freq), lambda t: F.struct(t["token"].alias("block"), F.log(total / t["n"]).alias("weight")))
+        often = F.filter("own", lambda t: t["n"] > max_token_freq)
+        both = lambda a, b: F.struct(F.concat_ws(" ", a["token"], b["token"]).alias("block"), F.log(total / F.least(a["n"], b["n"])).alias("weight"))
+        pairs = F.flatten(F.transform("often", lambda a, i: F.transform(F.filter("often", lambda b, j: j > i), lambda b: both(a, b))))
+        alone = F.when((F.size("often") == 1) & (F.size("own") == 1), F.transform("often", lambda t: F.struct(t["token"].alias("block"), F.log(total / t["n"]).alias("weight")))).otherwise(F.array())
+        return marked.withColumn("often", often).select(key, F.inline(F.concat(rare, pairs, alone)))
+
+    ours = blocks(tokens(companies, "company_id"), "company_id")
+    shared = ours.join(blocks(theirs, "record_id").drop("weight"), "block").groupBy("company_id", "record_id").agg(F.count("*").alias("shared"), F.round(F.sum("weight"), 6).alias("rarity"))
+    own = companies.select("company_id", register_key(F.col("name")).alias("_a"), F.lower("country").alias("_c"))
+    other = registry.select("record_id", register_key(F.col("name")).alias("_b"), T.country_of(F.col("jurisdiction_code")).alias("_d"))
+    told = shared.join(own, "company_id").join(other, "record_id").withColumn("_same", (F.col("_a") == F.col("_b")).cast("int")).withColumn("_home", F.coalesce(F.col("_c") == F.col("_d"), F.lit(False)))
+    order = Window.partitionBy("company_id", "_home").orderBy(F.desc("_same"), F.desc("rarity"))
+    return told.withColumn("ord", F.rank().over(order)).where(F.col("ord") <= top).select("company_id", "record_id", "shared", "ord")
 
 
 def score_matches(cands: DataFrame, companies: DataFrame, registry: DataFrame, other_names: bool = False) -> DataFrame:
@@ -156,11 +167,10 @@ def match_register(companies: DataFrame, registry: DataFrame, max_token_freq: in
     """Best register record per company: by name in the country, by name anywhere, then by the domain's label."""
     site = F.regexp_replace(F.substring_index("domain", ".", 1), "[^A-Za-z]+", " ")
     label = companies.select("company_id", site.alias("name"), "country").where(F.length("name") >= 3)
-    found = staged(candidates(companies, registry, max_token_freq))
+    scored = staged(score_matches(candidates(companies, registry, max_token_freq), companies, registry, other_names))
     country = registry.select("record_id", T.country_of(F.col("jurisdiction_code")).alias("_c"))
-    home = found.join(country, "record_id").join(companies.select("company_id", F.lower("country").alias("_own")), "company_id").where("_c = _own").select(*found.columns)
-    stages = score_matches(home, companies, registry, other_names).withColumn("stage", F.lit(1))
-    stages = stages.unionByName(score_matches(found, companies, registry, other_names).withColumn("stage", F.lit(2)))
+    home = F.coalesce(F.col("_c") == F.lower("country"), F.lit(False))  # the same score holds in both stages
+    stages = scored.join(country, "record_id").withColumn("stage", F.explode(F.when(home, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2))))).drop("_c")
     stages = stages.unionByName(score_matches(candidates(label, registry, max_token_freq), label, registry, other_names).withColumn("stage", F.lit(3)))
     return best_matches(staged(stages))
 

@@ -90,14 +90,16 @@ def _(spark, d):
 
 
 @query("p22_summary_row", """SELECT id AS company_id, name, website, CASE WHEN id % 2 = 0 THEN 'own' || id ELSE email END AS email, CASE WHEN id % 6 = 0 THEN 'Ann Lee' END AS decision_maker, CASE WHEN id % 2 = 0 THEN 'x' || id || ', own' || id ELSE coalesce(email, '') END AS all_emails,
- CASE WHEN id % 4 = 0 AND id % 3 = 0 THEN '+1' || id ELSE '' END AS phones_e164, 'CMS, CDN' AS tech_stack, 'Legal ' || name AS legal_name FROM places_v""", "places_v")
+ CASE WHEN id % 4 = 0 AND id % 3 = 0 THEN '+1' || id ELSE '' END AS phones_e164, 'CMS, CDN' AS tech_stack, 'Legal ' || name AS legal_name, 1990 + id % 30 AS founded_year, CASE WHEN id % 2 = 0 THEN 'mx1.example, mx2.example' END AS mx_records, id % 2 = 0 AS spf, CASE WHEN id % 6 = 0 THEN 'medium' END AS decision_maker_email_status,
+ 'Ann Lee (director)' AS registry_officers, id || ' Road' AS registered_address, CAST(id AS VARCHAR) AS registry_company_number, CAST(NULL AS VARCHAR) AS crawl_error FROM places_v""", "places_v")
 def _(spark, d):
     rows = merged(spark, d).withColumns({
         "category": F.col("category_primary"), "tech": F.array(F.lit("CMS"), F.lit("CDN")), "lead_score": F.lit(50), "lead_grade": F.lit("C"),
-        "people": F.transform("people", lambda p: F.struct(p["name"].alias("name"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("email_guess"))),
-        "registry": F.struct(F.concat(F.lit("Legal "), "name").alias("name"), F.lit(None).cast("string").alias("lei"), F.col("company_id").cast("string").alias("company_number"), F.lit("Active").alias("current_status")),
+        "people": F.transform("people", lambda p: F.struct(p["name"].alias("name"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("email_guess"), F.lit("medium").alias("email_guess_confidence"))),
+        "registry": F.struct(F.concat(F.lit("Legal "), "name").alias("name"), F.lit(None).cast("string").alias("lei"), F.col("company_id").cast("string").alias("company_number"), F.lit("Active").alias("current_status"), F.concat("company_id", F.lit(" Road")).alias("registered_address"), F.array(F.struct(F.lit("Ann Lee").alias("name"), F.lit("director").alias("position"), F.lit(True).alias("current")), F.struct(F.lit("Old Hand").alias("name"), F.lit("clerk").alias("position"), F.lit(False).alias("current"))).alias("officers")),
+        "firmographics": F.struct((1990 + F.col("company_id") % 30).cast("int").alias("founded_year")), "dns": F.when(F.col("company_id") % 2 == 0, F.struct(F.array(F.lit("mx1.example"), F.lit("mx2.example")).alias("mx"), F.lit("v=spf1").alias("spf"))),
     })
-    return summary_row(rows).select("company_id", "name", "website", "email", "decision_maker", "all_emails", "phones_e164", "tech_stack", "legal_name")
+    return summary_row(rows).select("company_id", "name", "website", "email", "decision_maker", "all_emails", "phones_e164", "tech_stack", "legal_name", "founded_year", "mx_records", "spf", "decision_maker_email_status", "registry_officers", "registered_address", "registry_company_number", "crawl_error")
 
 
 @query("st1_page_stream", r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")

@@ -118,10 +118,10 @@ KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '\b(priva
 
 @query("m2_candidates", rf"""WITH a AS (SELECT company_id, unnest(string_split({KEY}, ' ')) AS w FROM companies_v), b AS (SELECT company_number AS record_id, unnest(string_split({KEY}, ' ')) AS w FROM registry_v),
 c AS (SELECT w FROM b GROUP BY w HAVING count(*) <= 4), s AS (SELECT company_id, record_id, count(DISTINCT w) AS shared FROM (SELECT DISTINCT * FROM a WHERE w IN (SELECT w FROM c)) JOIN (SELECT DISTINCT * FROM b) USING (w) GROUP BY ALL),
-f AS (SELECT company_id, record_id, shared + 1 AS shared FROM s)
+f AS (SELECT company_id, record_id, shared FROM s)
 SELECT company_id, record_id, shared FROM f""", "companies_v", "registry_v")
 def _(spark, d):
-    # every name is one frequent word and a number: the word blocks only together with the number
+    # every name is one frequent word and a number: the word would block only with another frequent one
     return G2.candidates(companies(spark, d), registry(spark, d), max_token_freq=4).select("company_id", "record_id", "shared")
 
 

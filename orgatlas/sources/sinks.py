@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 #: Export columns in order, and licence lines by source.
 SUMMARY_COLUMNS = (
-    "name category match city country_code website website_source email email_source phone phone_source decision_maker decision_maker_title decision_maker_email all_emails phones_e164 "
-    "social_linkedin social_facebook social_instagram social_twitter lead_score lead_grade tech_stack legal_name lei registry_status registered_address locations missing crawl_status crawl_error source"
-).split()
+    "name", "category", "match", "city", "country_code", "website", "website_source", "email", "email_source", "phone", "phone_source", "decision_maker", "decision_maker_title",
+    "decision_maker_email", "all_emails", "phones_e164", "social_linkedin", "social_facebook", "social_instagram", "social_twitter", "lead_score", "lead_grade", "tech_stack",
+    "legal_name", "lei", "registry_status", "registered_address", "locations", "missing", "crawl_status", "crawl_error", "source",
+)
 LICENCES = {
     "overture": "Open places: CDLA Permissive 2.0",
     "gleif": "LEI data: CC0 (no restrictions)",

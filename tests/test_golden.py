@@ -182,3 +182,48 @@ def test_mail_setup(spark):
     a = got["a.example"]
     assert (a.email_provider, a.email_senders, a.dmarc_policy, a.txt_verifications, a.accepts_email) == ("Google Workspace", ["Google Workspace", "Mailgun"], "reject", ["google"], True)
     assert not got["b.example"].accepts_email and got["b.example"].email_provider is None
+
+
+def test_alike_map_names_lose_no_pair(spark):
+    """Against all pairs: keys with edits near both ends, inserted and missing letters, short and long keys."""
+    import difflib
+    import random
+
+    from orgatlas.operators import gapfill
+
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(6, 40))) for _ in range(60)] + ["globaltextileindustries", "acme"]
+    edited = []
+    for name in names:
+        for _ in range(4):
+            letters = list(name)
+            for _ in range(rng.randrange(0, 5)):
+                i = rng.randrange(len(letters))
+                rng.choice([lambda: letters.insert(i, "z"), lambda: letters.pop(i) if len(letters) > 5 else None, lambda: letters.__setitem__(i, "y")])()
+            edited.append("".join(letters))
+    edited += ["glabaltextileindustreis"]
+    companies = spark.createDataFrame([(i, n, "gb") for i, n in enumerate(names)], "company_id long, name string, country string")
+    places = spark.createDataFrame([(i, n, "GB", {"website": f"w{i}"}) for i, n in enumerate(edited)], "ord long, name string, country string, tags map<string,string>")
+    found = {(r.company_id, r.ord) for r in gapfill.osm_matches(companies, places).collect()}
+    assert found == {(i, j) for i, a in enumerate(names) for j, b in enumerate(edited) if difflib.SequenceMatcher(None, a, b).ratio() >= 0.9}
+
+
+def test_register_candidates_keep_the_best_match(spark):
+    """With every token frequent: all names that are alike to six tenths and share two words meet, in any word order; recall against all pairs."""
+    import difflib
+    import random
+
+    from orgatlas.operators import registers
+
+    rng = random.Random(4)
+    words = [f"word{c}" for c in "abcdefghijkl"]
+    record = [(str(i), " ".join(rng.sample(words, rng.randrange(2, 5))), "gb", "Active", False) for i in range(400)]
+    record += [("900", "wordb worda", "gb", "Active", False), ("901", "solo", "gb", "Active", False), ("902", "solo", "us_de", "Active", False)]
+    company = [(i, record[i * 7][1], "gb") for i in range(50)] + [(100, "worda wordb", "gb"), (101, "solo", "gb")]
+    companies, registry = spark.createDataFrame(company, "company_id long, name string, country string"), spark.createDataFrame(record, "record_id string, name string, jurisdiction_code string, current_status string, inactive boolean")
+    found = {(r.company_id, r.record_id) for r in registers.candidates(companies, registry, max_token_freq=1).collect()}
+    assert (100, "900") in found and {(101, "901"), (101, "902")} <= found
+    best = {i: max(difflib.SequenceMatcher(None, n, r[1]).ratio() for r in record) for i, n, _ in company}
+    names = {r[0]: r[1] for r in record}
+    hit = [any(difflib.SequenceMatcher(None, n, names[r]).ratio() == best[i] for c, r in found if c == i) for i, n, _ in company]
+    assert sum(hit) >= 0.9 * len(hit)
