@@ -151,7 +151,7 @@ def gray_links(fps: np.ndarray) -> np.ndarray:
             assert len(groups) == len(low)
         return out
 
-    single = singles()
+    single, fresh = singles(), 0
     stack = [(len(levels) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
     while stack:
         level, a, b = stack.pop()
@@ -174,9 +174,11 @@ def gray_links(fps: np.ndarray) -> np.ndarray:
         near = (np.bitwise_count(fps[x] ^ fps[y]) <= MOST_DIFFERENCES) & (labels[x] != labels[y])
         if near.any():
             union.join(x[near].tolist(), y[near].tolist())
-            labels = union.labels()
-            single = singles()
-    return labels
+            fresh += int(near.sum())
+            if fresh > n // 16:  # labels only prune: renewing them pays after enough links
+                labels, fresh = union.labels(), 0
+                single = singles()
+    return union.labels()
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,3 +35,9 @@ def test_archives_are_cut_at_their_size(spark, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
     small = list(warc.archives(iter(rows), lambda n: b"open%d\n" % n, lambda r: r[2].encode() + b"\n", lambda r: len(r[2]), 1))
     assert len(small) > 10 and b"".join(b.column(0)[0].as_py() + b"\n" for b in small).count(b"q" * 500) == 40
+
+
+def test_headers_of_any_length():
+    raw = b"HTTP/1.1 200 OK\r\nX-Long: " + b"a" * 200_000 + b"\r\nX-Page-Id: 7\r\n\r\nbody"
+    status, headers, payload = warc.http_parts(memoryview(raw))
+    assert status == "200" and headers["x-page-id"] == "7" and bytes(payload) == b"body"
