@@ -18,15 +18,18 @@ GENERIC_EMAIL = r"(?i)^(info|contact|hello|sales|business|inquir|enquir)"
 CANDIDATE = ("company_id", "field", "value", "confidence", "source_url", "source_type", "ord")
 
 
-def choose_best(candidates: DataFrame, *keys: str) -> DataFrame:
+def choose_best(candidates: DataFrame, *keys: str, with_evidence: bool = True) -> DataFrame:
     """Per key and field the value of highest confidence, the first on ties, with all candidates as evidence.
 
-    ``candidates``: keys, field, value, confidence, source_url, source_type, ord. Blank values are dropped.
+    ``candidates``: keys, field, value, confidence, source_url, source_type, ord. Blank values are dropped. The evidence of one key is gathered in one row; where a
+    key may have more of it than a row holds, ``with_evidence=False`` gives its number only, all pre-aggregated: the candidates are then the long table of evidence.
     """
     keys = keys or ("company_id", "field")
     text = dict(candidates.dtypes)["value"] == "string"
     usable = candidates.where(T.clean(F.col("value")) != "") if text else candidates.withColumn("value", F.filter(F.transform("value", T.clean), lambda v: v != "")).where("size(value) > 0")
     best = F.max_by(F.struct("value", "confidence", "source_url", "source_type"), F.struct("confidence", -F.col("ord")))
+    if not with_evidence:
+        return usable.groupBy(*keys).agg(best.alias("b"), F.count("*").alias("n_evidence")).select(*keys, "b.*", "n_evidence")
     evidence = F.sort_array(F.collect_list(F.struct("ord", "value", "source_url", "source_type", "confidence")))
     return usable.groupBy(*keys).agg(best.alias("b"), evidence.alias("evidence")).select(*keys, "b.*", "evidence")
 

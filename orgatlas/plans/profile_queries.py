@@ -31,7 +31,7 @@ BEST = "SELECT company_id, field, value, confidence, source_url, source_type, or
 
 @query("a1_choose_best", f"WITH b AS ({BEST}) SELECT company_id, field, value, round(confidence, 6) AS confidence, source_url, source_type, n AS n_evidence FROM b WHERE rn = 1", "evidence_v")
 def _(spark, d):
-    return R.choose_best(view(spark, d, "evidence_v")).select("company_id", "field", "value", r6("confidence"), "source_url", "source_type", F.size("evidence").cast("long").alias("n_evidence"))
+    return R.choose_best(view(spark, d, "evidence_v"), with_evidence=False).select("company_id", "field", "value", r6("confidence"), "source_url", "source_type", "n_evidence")
 
 
 @query("a2_field_candidates")
