@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgatlas.llm.shared import shared_folder, sliced
+from orgatlas.llm.shared import materialize, salted, shared_folder, sliced
 
 ARCHIVE_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
@@ -40,6 +40,8 @@ ARC_FIELDS = {
 }
 RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("captured", pa.string()), ("status", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 RECORD_TYPE = "page_id long, url string, captured string, status string, digest string, payload_bytes long, payload binary"
+PLACE = pa.schema([("path", pa.string()), ("number", pa.int32()), ("page_id", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64())])
+PLACE_TYPE = "path string, number int, page_id long, digest string, payload_bytes long"
 RESULT = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 RESULT_TYPE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -167,7 +169,7 @@ def write_archives(rows: DataFrame, path: str, separator: str) -> None:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def write_arc(pages: DataFrame, path: str, version: int | None = None) -> None:
@@ -190,17 +192,23 @@ def write_arc(pages: DataFrame, path: str, version: int | None = None) -> None:
     write_archives(rows.mapInArrow(run, "archive binary"), path, "\n")
 
 
-def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of legacy archives, with synthesised digests; without ``payloads`` that column is null."""
+def records_of(content: bytes) -> Iterator[tuple]:
+    """(page_id, url, captured, status, digest, payload) of each record of a legacy archive, with synthesised digests."""
+    for fields, block in parse_arc(gzip.decompress(content)):
+        status, headers, payload = http_parts(block)
+        own = headers.get("x-page-id")
+        yield int(own) if own else None, fields["URL"], fields["Archive-date"], fields.get("Result-code", status), hashlib.sha1(payload).hexdigest(), bytes(payload)
+
+
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of legacy archives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            for content in batch.column(0):
+        for batch in batches:
+            for content in batch.column(1):
                 rows, size = [], 0
-                for fields, block in parse_arc(gzip.decompress(content.as_py())):
-                    status, headers, payload = http_parts(block)
-                    own = headers.get("x-page-id")
-                    rows.append((int(own) if own else None, fields["URL"], fields["Archive-date"], fields.get("Result-code", status), hashlib.sha1(payload).hexdigest(), len(payload), bytes(payload) if payloads else None))
+                for *head, payload in records_of(content.as_py()):
+                    rows.append((*head, len(payload), payload))
                     size += len(payload)
                     if size > BATCH_BYTES:
                         yield rows_batch(rows, RECORD)
@@ -210,33 +218,55 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
     return read_archives(spark, path).mapInArrow(run, RECORD_TYPE)
 
 
+def index_arc(spark: SparkSession, path: str) -> DataFrame:
+    """Where each record of legacy archives stands (path, number), whose it is, and its payload's digest and length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield rows_batch([(name, number, r[0], r[4], len(r[5])) for number, r in enumerate(records_of(content.as_py()))], PLACE)
+
+    return read_archives(spark, path).mapInArrow(run, PLACE_TYPE)
+
+
 def rows_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = LEAST_REVISIT) -> None:
-    """Legacy archives under ``arc_path`` become WARC archives under ``warc_path``."""
-    index = read_arc(spark, arc_path, payloads=False).where(F.col("payload_bytes") >= least_bytes)
-    kept = index.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("payload_bytes").alias("bytes"), "kept")
-    records = read_arc(spark, arc_path).alias("r").join(kept.alias("k"), (F.col("r.digest") == F.col("k.digest")) & (F.col("r.payload_bytes") == F.col("k.bytes")), "left")
-    rows = records.select("r.page_id", "r.url", "r.captured", "r.status", "r.digest", "r.payload", F.when(F.coalesce(F.col("r.page_id"), F.lit(-1)) != F.col("k.kept"), F.col("k.kept")).alias("refers_to"))
+    """Legacy archives under ``arc_path`` become WARC archives under ``warc_path``.
+
+    Only the index is shuffled: it gives each archive the list of its records that revisit another one. Payloads stay in their archive until it is converted.
+    """
+    index = materialize(index_arc(spark, arc_path).where(F.col("payload_bytes") >= least_bytes))
+    kept = index.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    known = salted(index, materialize(kept), ["digest", "payload_bytes"], F.struct("path", "number")).where(F.coalesce(F.col("page_id"), F.lit(-1)) != F.col("kept"))
+    lists = materialize(known.groupBy("path").agg(F.collect_list(F.struct("number", "kept")).alias("revisits")))  # as many entries as an archive has records
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for content, revisits in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                refers = {r["number"]: r["kept"] for r in revisits or ()}
+                for number, record in enumerate(records_of(content.as_py())):
+                    yield *record, refers.get(number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def opening(number: int) -> bytes:
             return warc_opening(f"converted-{number}.warc.gz")
 
-        yield from archives(rows_of(batches), opening, lambda row: warc_record(*row), lambda row: len(row[5]), 2)
+        yield from archives(rows(batches), opening, lambda row: warc_record(*row), lambda row: len(row[5]), 2)
 
-    write_archives(rows.mapInArrow(run, "archive binary"), warc_path, "\r\n")
+    whole = read_archives(spark, arc_path).join(lists, "path", "left").select("path", "content", "revisits")
+    write_archives(whole.mapInArrow(run, "archive binary"), warc_path, "\r\n")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of all response and revisit records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            for content in batch.column(0):
+        for batch in batches:
+            for content in batch.column(1):
                 rows = []
                 for headers, block in parse_warc(gzip.decompress(content.as_py())):
                     kind = headers["warc-type"]
