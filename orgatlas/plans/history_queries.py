@@ -110,13 +110,13 @@ def _(spark, d):
     return spark.read.parquet(f"{path}/out").select("page_id", "title").distinct()
 
 
-@query("st2_first_seen_urls")
+@query("st2_first_seen_urls", "SELECT DISTINCT url FROM page_log_v", "page_log_v")
 def _(spark, d):
     path = folder(spark)
     view(spark, d, "page_log_v").select("url", "ts").repartition(1).write.parquet(f"{path}/in")
     stream = jobs.first_seen(spark.readStream.schema("url string, ts timestamp").parquet(f"{path}/in"))
     stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("url string, ts timestamp").parquet(f"{path}/out")
+    return spark.read.schema("url string, ts timestamp").parquet(f"{path}/out").select("url")  # one batch: each URL once, at whichever of its times
 
 
 @query("st3_run_sessions", """WITH g AS (SELECT job_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM page_log_v), s AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts, fresh DESC ROWS UNBOUNDED PRECEDING) AS span FROM g)
