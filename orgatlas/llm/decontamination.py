@@ -44,7 +44,7 @@ RUN = 13
 PENALTY = 1.5
 #: Diagonals that may be bridged by inserted or missing tokens.
 BAND = 4
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 #: Bits of the filter, and how many of them a seed sets.
 FILTER_BITS, PLACES = 25, 3
 

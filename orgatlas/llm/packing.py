@@ -39,7 +39,7 @@ CAPACITY = 2048
 BLOCK, SLACK, LARGEST = 16, 14, 512
 END_ID = 1
 #: Entries that a worker's cache of encoded words holds at most; it is emptied when full.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 #: Documents that are encoded together.
 STEP = 512
 #: Characters that Python's split() takes for white space, but the tokenizer does not.

@@ -42,7 +42,7 @@ PHRASE = 10
 SHARD = 512
 #: Phrases of one automaton at most: their words then have symbols enough.
 PHRASES = 50_000
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 ODD = 0x9E3779B97F4A7C15
 ODD_INVERSE = pow(ODD, -1, 1 << 64)
 #: Stands between the documents of a slice; no word holds a blank.

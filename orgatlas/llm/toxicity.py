@@ -43,7 +43,7 @@ LEAST_WEIGHT = 2.0
 MOST_WEIGHT = 6.5
 LEAST_TOXIC_SCORE = 0.7
 NEGATED_WORDS = 3
-WORDS_KEPT = 500_000
+WORDS_KEPT = 50_000
 
 #: Words of the closed classes in four languages (English, German, French, Spanish).
 THREATS = {
@@ -72,6 +72,10 @@ TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n\"\u201c\u201d\u201e\u00ab\u00bb]")
 MARKS = {"\n": "break", ":": "colon", **dict.fromkeys(".!?;", "stop"), **dict.fromkeys("\"\u201c\u201d\u201e\u00ab\u00bb", "quote")}
 
 
+#: How most words are read: one object for all of them.
+OTHER = (SYMBOLS.index("other"), 1.0)
+
+
 @dataclasses.dataclass(frozen=True)
 class Transducer:
     """A weighted finite-state transducer that is deterministic: (state, symbol) -> (state, symbol written, weight).
@@ -169,7 +173,7 @@ class Grammar:
         for name, own in (("threat", THREATS), ("negation", NEGATIONS), ("report", REPORTS), ("target", TARGETS)):
             if token in own:
                 return SYMBOLS.index(name), 1.0
-        return SYMBOLS.index("other"), 1.0
+        return OTHER
 
     def machine(self):
         """text -> sums of match weights per kind."""
