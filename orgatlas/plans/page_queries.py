@@ -182,7 +182,18 @@ def _(spark, d):
     return N.rank_links(links, 6).select("page_id", "link", "category", F.col("place").cast("long").alias("place"))
 
 
-@query("x14_discover")
+@query("x14_discover", rf"""WITH a AS (SELECT page_id, lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) AS origin, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS ls FROM pages),
+u AS (SELECT page_id, origin, unnest(hs) AS href, unnest(ls) AS label, unnest(range(len(hs))) AS pos FROM a),
+l AS (SELECT page_id, pos, origin || CASE WHEN rtrim(href, '/') = '' THEN '/' ELSE rtrim(href, '/') END AS link, lower(trim(label)) AS label FROM u WHERE starts_with(href, '/')), {WORDS},
+p AS (SELECT *, lower(regexp_extract(link, '^https?://[^/]*([^?#]*)', 1)) AS path FROM l), s AS (SELECT *, regexp_extract(rtrim(path, '/'), '([^/]*)$', 1) AS last FROM p),
+t AS (SELECT page_id, pos, 1 AS step, 0.95 AS score, CASE WHEN len(string_split(last, '-')) <= 3 THEN last ELSE '' END AS text FROM s
+ UNION ALL SELECT page_id, pos, 2, 0.90, CASE WHEN len(string_split(last, '-')) <= 3 THEN path ELSE '' END FROM s UNION ALL SELECT page_id, pos, 3, 0.82, CASE WHEN length(label) <= 40 THEN label ELSE '' END FROM s),
+m AS (SELECT page_id, pos, arg_min(category, step * 100 + n) AS category, arg_min(w.n, step * 100 + n) AS n, CAST(arg_min(score, step * 100 + n) AS DOUBLE) AS score FROM t, w WHERE regexp_matches(text, pattern) GROUP BY page_id, pos),
+c AS (SELECT page_id, pos, link, coalesce(category, 'other') AS category, coalesce(n, 9) AS n, coalesce(score, 0.2) AS score FROM l LEFT JOIN m USING (page_id, pos)),
+b AS (SELECT page_id, link, arg_max(category, score * 1000000 - pos) AS category, arg_max(n, score * 1000000 - pos) AS n, max(score) AS score FROM c GROUP BY page_id, link),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id, category ORDER BY score DESC, length(link), link) AS turn FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY turn, n) AS place FROM k)
+SELECT page_id, link, category, score, CAST(place AS INTEGER) AS place FROM r WHERE place <= 6""")
 def _(spark, d):
     return N.discover(parsed(spark, d), F.col("url"), 6)
 
