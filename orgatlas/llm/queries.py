@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orgatlas.llm import decontamination, extraction, packing, personal_data, quality, secrets, simhash, substrings, toxicity, warc
+from orgatlas.llm import collocations, conversations, decontamination, exact, extraction, packing, personal_data, quality, secrets, simhash, substrings, toxicity, warc
 from orgatlas.llm.shared import table
 
 
@@ -55,8 +55,20 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.shared_starts(table(spark, sf_dir, "conversations"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op6_personal_data": op6_personal_data, "op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op7_html_extraction": op7_html_extraction, "op8_simhash": op8_simhash, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op6_personal_data": op6_personal_data, "op2_secret_scan": op2_secret_scan, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op7_html_extraction": op7_html_extraction, "op8_simhash": op8_simhash, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup, "op11_exact_dedup": op11_exact_dedup, "op12_prefix_trie": op12_prefix_trie, "op13_collocations": op13_collocations}
 
 
 OP5_SQL = """
@@ -83,4 +95,4 @@ FROM w LEFT JOIN r USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL, "op5_warc": OP5_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_quality_rules": quality.SQL, "op5_warc": OP5_SQL, "op10_substring_dedup": OP10_SQL, "op11_exact_dedup": exact.SQL, "op12_prefix_trie": conversations.SQL, "op13_collocations": collocations.SQL}

@@ -16,6 +16,8 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 BATCH_ROWS = 500
 #: Parts that the rows of any one key are dealt into in salted joins.
 SALTS = 8
+#: Keys that are looked up in a broadcast table, at most: each holds at least one row in as many.
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,23 @@ def salted(left: DataFrame, right: DataFrame, keys: list[str], by: Column, how:
     return one.join(many, [*keys, "own_salt"], how).drop("own_salt")
 
 
+def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, by: Column) -> DataFrame:
+    """``rows`` left-joined with ``facts`` (a written table, one row per key), where a few keys may hold most of ``rows``.
+
+    Column ``n`` of ``facts`` is the number of ``rows`` with that key. At most ``HOT_KEYS`` keys can hold a share of 1 / ``HOT_KEYS`` or more: their
+    facts are broadcast, and the rows that found theirs (or have no key) are dealt out by ``by``. All other keys are joined by a shuffle.
+    """
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    values, hot = [c for c in facts.columns if c not in keys], F.col(n) * HOT_KEYS >= total
+    often = facts.where(hot).select(*keys, *[F.col(c).alias(f"own_often_{c}") for c in values], F.lit(1).alias("own_often"))
+    seldom = facts.where(~hot).withColumn("own_deal", F.lit(0))
+    done = F.col("own_often").isNotNull()
+    for key in keys:
+        done = done | F.col(key).isNull()
+    dealt = rows.join(F.broadcast(often), keys, "left").withColumn("own_deal", F.when(done, 1 + F.pmod(F.xxhash64(by), F.lit(HOT_KEYS)).cast("int")).otherwise(0))
+    return dealt.join(seldom, [*keys, "own_deal"], "left").select(*rows.columns, *[F.coalesce(f"own_often_{c}", c).alias(c) for c in values])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``, inside one expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
