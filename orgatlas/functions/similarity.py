@@ -21,10 +21,14 @@ def register_key(name: Column) -> Column:
 
 @pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([round(difflib.SequenceMatcher(None, x, y).ratio(), 3) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([0.0 if x is None or y is None else round(difflib.SequenceMatcher(None, x, y).ratio(), 3) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """1 for equal register keys, 0 for an empty one, else the Ratcliff-Obershelp ratio of both keys."""
+def name_similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """1 for equal register keys, 0 for an empty one, else the Ratcliff-Obershelp ratio of both keys.
+
+    Names whose lengths rule out ``least`` count as 0 and are not compared.
+    """
     x, y = register_key(a), register_key(b)
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(_ratio(x, y))
+    reach = 2 * F.least(F.length(x), F.length(y)) / (F.length(x) + F.length(y)) >= least
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(_ratio(F.when(reach & (x != y), x), y))

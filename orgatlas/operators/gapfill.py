@@ -17,6 +17,8 @@ from orgatlas.sources.staging import staged
 #: Tags of a map extract per field, in order; and the shared length of names that may match loosely.
 MAP_TAGS = {"website": ("website", "contact:website", "url"), "phone": ("phone", "contact:phone", "contact:mobile", "mobile"), "email": ("email", "contact:email")}
 LEAST_KEY, LIKE = 4, 0.9
+#: Letters that may be taken out of each key when alike keys meet on the rest; length of a piece otherwise.
+DEEPEST, PIECE = 2, 3
 FIELDS = ("website", "phone", "email")
 SOCIAL = ("linkedin", "facebook", "instagram", "twitter", "youtube", "x")
 NO_SOURCES = "map<string,string>"
@@ -43,43 +45,102 @@ def fill(companies: DataFrame, source: DataFrame, fields: tuple = FIELDS, label:
     return both.withColumn("filled_from", noted).withColumns({f: F.coalesce(f, f"_{f}") for f in fields}).drop(*[f"_{f}" for f in fields])
 
 
-def pieces(key: Column, edits: Column) -> Column:
-    """A key cut evenly into one piece more than ``edits``: (number, start, text)."""
-    count = edits + 1
-    cut = lambda i: F.floor(F.length(key) * i / count).cast("int")
-    return F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct(i.alias("piece"), cut(i).alias("at"), F.substring(key, cut(i) + 1, cut(i + 1) - cut(i)).alias("text")))
-
-
 def most_edits(a: Column, b: Column) -> Column:
     """Letters that stand in one of two keys of these lengths only, at most, when their ratio is ``LIKE`` or more."""
     return F.floor(F.round((1 - LIKE) * (a + b), 6)).cast("int")
 
 
-def osm_matches(companies: DataFrame, places: DataFrame) -> DataFrame:
-    """(company_id, ord, fields) of map places with the company's name: equal keys, or alike to nine tenths.
+def left_out(a: Column, b: Column) -> tuple[Column, Column]:
+    """How many letters must at most be taken out of each of two alike keys of these lengths, so that the rest is the same."""
+    own = F.floor((most_edits(a, b) + a - b) / 2).cast("int")
+    return own, own - a + b
+
+
+def other_lengths(n: Column) -> Column:
+    """All lengths that a key alike to one of ``n`` letters may have."""
+    return F.sequence(F.ceil(F.round(n * LIKE / (2 - LIKE), 6)).cast("int"), F.floor(F.round(n * (2 - LIKE) / LIKE, 6)).cast("int"))
+
+
+def shallow(a: Column, b: Column) -> Column:
+    own, other = left_out(a, b)
+    return (own <= DEEPEST) & (other <= DEEPEST)
+
+
+def variants(key: Column, count: Column) -> Column:
+    """Hashes of what is left of a key when ``count`` letters (0 to ``DEEPEST``) are taken out, in every way."""
+    n = F.length(key)
+    without = lambda text, i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: without(key, i))
+    two = F.flatten(F.transform(F.sequence(F.lit(2), n), lambda i: F.transform(F.sequence(F.lit(1), i - 1), lambda k: without(without(key, i), k))))
+    return F.transform(F.array_distinct(F.when(count == 0, F.array(key)).when(count == 1, one).otherwise(two)), lambda t: F.xxhash64(t))
+
+
+def by_variants(own: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(country, key, _key): keys that are the same without one or two letters each; only pairs that the bound allows meet."""
+
+    def rows(table: DataFrame, key: str, count: str) -> DataFrame:
+        n = F.length(key)
+        depth = F.transform(F.filter(other_lengths(n), lambda m: shallow(n, m)), lambda m: left_out(n, m)[0])
+        return table.select("country", key, F.explode(F.array_distinct(depth)).alias(count)).select("country", key, count, F.explode(variants(F.col(key), F.col(count))).alias("rest"))
+
+    met = rows(own, "key", "out").join(rows(theirs, "_key", "_out"), ["country", "rest"])
+    a, b = left_out(F.length("key"), F.length("_key"))
+    return met.where((F.col("out") == a) & (F.col("_out") == b) & (F.col("key") != F.col("_key"))).select("country", "key", "_key").distinct()
 
-    Alike keys differ by a bounded number of inserted and missing letters, so of one piece more than that at least one stands in both, shifted
-    by no more than the bound. Different keys meet on country, lengths, number, shifted start and text of a piece, which loses no pair; each pair of keys is compared once, whatever number of
-    companies and places have them.
+
+def strangers(a: Column, b: Column, reach: Column) -> Column:
+    """Letters of ``a`` that do not stand in ``b`` within ``reach`` places: no common subsequence has them."""
+    near = lambda p: F.substring(b, F.greatest(F.lit(1), p - reach), p + reach - F.greatest(F.lit(1), p - reach) + 1)
+    return F.size(F.filter(F.sequence(F.lit(1), F.length(a)), lambda p: ~F.contains(near(p), F.substring(a, p, F.lit(1)))))
+
+
+def by_rare_pieces(own: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(country, key, _key): the other alike keys, whose lengths differ much or are great. Of one separate piece more than there may be edits at least one stands in both.
+
+    A key's pieces are those three letters long that the fewest keys of the other side have, from the best of three ways to cut it; what meets must also stay within the bound on the common letters in a band.
     """
+    n, m = F.length("key"), F.length("_key")
+    deep = lambda a: F.filter(other_lengths(a), lambda b: ~shallow(a, b))
+    grams = lambda key: F.transform(F.sequence(F.lit(1), F.length(key) - (PIECE - 1)), lambda p: F.struct(p.alias("at"), F.substring(key, p, F.lit(PIECE)).alias("text")))
+    places = staged(theirs.where((m >= PIECE) & (F.size(deep(m)) > 0)).select("country", "_key", F.inline(grams("_key"))))
+    often = places.groupBy("country", "text").agg(F.count("*").alias("n"))
+    ours = own.where((n >= PIECE) & (F.size(deep(n)) > 0)).withColumn("edits", F.array_max(F.transform(deep(n), lambda b: most_edits(n, b))))
+    counted = ours.select("country", "key", "edits", F.inline(grams("key"))).join(often, ["country", "text"], "left")
+    listed = counted.groupBy("country", "key", "edits").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "at", "text"))).alias("pieces"))
+    cuts = F.transform(F.array(*map(F.lit, range(PIECE))), lambda c: F.slice(F.filter("pieces", lambda x: x["at"] % PIECE == c), F.lit(1), F.col("edits") + 1))
+    priced = F.transform(F.filter(cuts, lambda c: F.size(c) > F.col("edits")), lambda c: F.struct(F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("cost"), c.alias("chosen")))
+    chosen = listed.select("country", "key", "edits", F.inline(F.array_min(priced)["chosen"])).where("n > 0").withColumnRenamed("at", "_at")
+    met = chosen.join(places, ["country", "text"]).where((F.abs(F.col("at") - F.col("_at")) <= F.col("edits")) & (F.col("key") != F.col("_key")) & F.array_contains(deep(n), m))
+    pairs = met.select("country", "key", "_key").distinct()
+    a, b = left_out(n, m)
+    reach = most_edits(n, m)
+    return pairs.where((strangers(F.col("key"), F.col("_key"), reach) <= a) & (strangers(F.col("_key"), F.col("key"), reach) <= b))
+
+
+def keys_of(companies: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(company_id, country, key) and (country, ord, fields, _key) of names that are long enough."""
     own = companies.select("company_id", F.lower("country").alias("country"), T.map_key(F.col("name")).alias("key")).where(F.length("key") >= LEAST_KEY)
     theirs = map_fields(places).select(F.lower("country").alias("country"), "ord", *FIELDS, T.map_key(F.col("name")).alias("_key")).where(F.length("_key") >= LEAST_KEY)
-    equal = own.join(theirs, (own["country"] == theirs["country"]) & (own["key"] == theirs["_key"])).select("company_id", "ord", *FIELDS)
+    return own, theirs
 
-    def lengths(key: str) -> Column:
-        """All lengths that an alike key may have."""
-        n = F.length(key)
-        return F.sequence(F.ceil(F.round(n * LIKE / (2 - LIKE), 6)).cast("int"), F.floor(F.round(n * (2 - LIKE) / LIKE, 6)).cast("int"))
-
-    a = own.select("country", "key").distinct().withColumn("m", F.explode(lengths("key"))).withColumn("d", most_edits(F.length("key"), F.col("m")))
-    a = a.select("country", "key", F.length("key").alias("n"), "m", F.inline(pieces(F.col("key"), F.col("d"))))
-    b = theirs.select("country", "_key").distinct().withColumn("n", F.explode(lengths("_key"))).withColumn("m", F.length("_key")).withColumn("d", most_edits(F.col("n"), F.col("m")))
-    b = b.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumn("at", F.floor(F.col("n") * F.col("piece") / (F.col("d") + 1)).cast("int"))
-    b = b.withColumn("size", F.floor(F.col("n") * (F.col("piece") + 1) / (F.col("d") + 1)).cast("int") - F.col("at"))
-    b = b.withColumn("shift", F.explode(F.sequence(-F.col("d"), F.col("d")))).where("at + shift >= 0 and at + shift + size <= m")
-    b = b.select("country", "_key", "n", "m", "piece", "at", F.substring("_key", F.col("at") + F.col("shift") + 1, F.col("size")).alias("text")).distinct()
-    pairs = staged(a.join(b, ["country", "n", "m", "piece", "at", "text"]).where("key <> _key").select("country", "key", "_key").distinct())
-    alike = pairs.where(_ratio("key", "_key") >= LIKE)
+
+def alike_candidates(own: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(country, key, _key, way): the pairs of different keys that are compared letter by letter. Both tables: country and key or _key."""
+    a, b = staged(own.select("country", "key").distinct()), staged(theirs.select("country", "_key").distinct())
+    return by_variants(a, b).withColumn("way", F.lit("variants")).unionByName(by_rare_pieces(a, b).withColumn("way", F.lit("pieces")))
+
+
+def osm_matches(companies: DataFrame, places: DataFrame) -> DataFrame:
+    """(company_id, ord, fields) of map places with the company's name: equal keys, or alike to nine tenths.
+
+    Alike keys differ by a bounded number of inserted and missing letters. Where at most two go on each side, the keys meet on what is left without them
+    (only pairs within the bound do, however common their words); the others meet on their rarest pieces. No pair is lost, and each pair of keys is compared once,
+    whatever number of companies and places have them.
+    """
+    own, theirs = keys_of(companies, places)
+    equal = own.join(theirs, (own["country"] == theirs["country"]) & (own["key"] == theirs["_key"])).select("company_id", "ord", *FIELDS)
+    pairs = staged(alike_candidates(own, theirs))
+    alike = pairs.where(_ratio("key", "_key") >= LIKE).drop("way")
     loose = own.join(alike, ["country", "key"]).join(theirs, ["country", "_key"]).select("company_id", "ord", *FIELDS)
     return equal.unionByName(loose)
 

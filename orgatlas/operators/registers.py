@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgatlas.functions import text as T
-from orgatlas.functions.similarity import name_similarity, register_key
+from orgatlas.functions.similarity import name_similarity
+from orgatlas.operators.retrieval import search_names
 from orgatlas.sources.staging import staged
 
 #: Fixed values.
@@ -99,46 +100,21 @@ def union_registries(**sources: DataFrame) -> DataFrame:
     return out.withColumn("record_url", F.coalesce("record_url", "opencorporates_url", "registry_url"))
 
 
-def candidates(companies: DataFrame, registry: DataFrame, max_token_freq: int = 5_000, top: int = 10) -> DataFrame:
-    """Register rows that share name tokens with a company: equal names first, then those with the rarest tokens in common.
+def candidates(companies: DataFrame, registry: DataFrame, max_token_freq: int = 1_000, top: int = 10) -> DataFrame:
+    """The register rows most like a company by the words of the name: the ``top`` best in its country and the ``top`` best anywhere.
 
-    ``companies``: company_id, name, country; ``registry``: record_id, name, jurisdiction_code. A token in more than
-    ``max_token_freq`` register names blocks only in pairs, with each other such token of the name in any order (alone where it is the whole name); so
-    names meet that share one rare token, or two frequent ones, or are equal. ``top`` candidates stay per company
-    inside its country and outside of it, and all that tie with the last of them.
+    ``companies``: company_id, name, country; ``registry``: record_id, name, jurisdiction_code. A word in more than ``max_token_freq`` register names counts as
+    frequent (see ``retrieval``). ``shared``: words in common; ``ord``: the better place of both lists.
     """
-    def tokens(rows: DataFrame, key: str) -> DataFrame:
-        words = F.filter(F.split(register_key(F.col("name")), " "), lambda w: w != "")
-        return rows.select(key, F.explode(F.array_distinct(words)).alias("token"))
-
-    theirs = tokens(registry, "record_id")
-    counts = staged(theirs.groupBy("token").agg(F.count("*").alias("n")))
-    total = F.lit(float(max(2, registry.count())))
-
-    def blocks(rows: DataFrame, key: str) -> DataFrame:
-        """(key, block, weight): rare tokens and pairs of frequent ones, with their surprise."""
-        marked = rows.join(counts, "token").groupBy(key).agg(F.sort_array(F.collect_set(F.struct("token", "n"))).alias("own"))
-        rare = F.transform(F.filter("own", lambda t: t["n"] <= max_token_freq), lambda t: F.struct(t["token"].alias("block"), F.log(total / t["n"]).alias("weight")))
-        often = F.filter("own", lambda t: t["n"] > max_token_freq)
-        both = lambda a, b: F.struct(F.concat_ws(" ", a["token"], b["token"]).alias("block"), F.log(total / F.least(a["n"], b["n"])).alias("weight"))
-        pairs = F.flatten(F.transform("often", lambda a, i: F.transform(F.filter("often", lambda b, j: j > i), lambda b: both(a, b))))
-        alone = F.when((F.size("often") == 1) & (F.size("own") == 1), F.transform("often", lambda t: F.struct(t["token"].alias("block"), F.log(total / t["n"]).alias("weight")))).otherwise(F.array())
-        return marked.withColumn("often", often).select(key, F.inline(F.concat(rare, pairs, alone)))
-
-    ours = blocks(tokens(companies, "company_id"), "company_id")
-    shared = ours.join(blocks(theirs, "record_id").drop("weight"), "block").groupBy("company_id", "record_id").agg(F.count("*").alias("shared"), F.round(F.sum("weight"), 6).alias("rarity"))
-    own = companies.select("company_id", register_key(F.col("name")).alias("_a"), F.lower("country").alias("_c"))
-    other = registry.select("record_id", register_key(F.col("name")).alias("_b"), T.country_of(F.col("jurisdiction_code")).alias("_d"))
-    told = shared.join(own, "company_id").join(other, "record_id").withColumn("_same", (F.col("_a") == F.col("_b")).cast("int")).withColumn("_home", F.coalesce(F.col("_c") == F.col("_d"), F.lit(False)))
-    order = Window.partitionBy("company_id", "_home").orderBy(F.desc("_same"), F.desc("rarity"))
-    return told.withColumn("ord", F.rank().over(order)).where(F.col("ord") <= top).select("company_id", "record_id", "shared", "ord")
+    found = search_names(companies, registry.select("record_id", "name", T.country_of(F.col("jurisdiction_code")).alias("country")), top, max_token_freq)
+    return found.groupBy("company_id", "record_id").agg(F.max("shared").alias("shared"), F.min("ord").alias("ord"))
 
 
 def score_matches(cands: DataFrame, companies: DataFrame, registry: DataFrame, other_names: bool = False) -> DataFrame:
     """Candidates with their score: similarity (of the best name), less for inactive records, more in the company's country."""
     theirs = registry.select("record_id", F.col("name").alias("record_name"), "jurisdiction_code", "current_status", "inactive", *(["other_names", "previous_names"] if other_names else []))
     rows = cands.join(companies.select("company_id", F.col("name").alias("company_name"), "country"), "company_id").join(theirs, "record_id")
-    similarity = name_similarity(F.col("company_name"), F.col("record_name"))
+    similarity = name_similarity(F.col("company_name"), F.col("record_name"), LEAST - COUNTRY_BONUS)
     if other_names:
         keys = [c for c in rows.columns if c not in ("other_names", "previous_names", "record_name")]
         every = F.array_distinct(F.array_compact(F.concat(F.array("record_name"), F.coalesce("other_names", F.array().cast("array<string>")), F.coalesce("previous_names", F.array().cast("array<string>")))))
@@ -163,7 +139,7 @@ def best_matches(scored: DataFrame) -> DataFrame:
     return best.where(F.col("score") >= LEAST).withColumn("match_confidence", F.round(F.least(F.lit(1.0), "score"), 2))
 
 
-def match_register(companies: DataFrame, registry: DataFrame, max_token_freq: int = 5_000, other_names: bool = False) -> DataFrame:
+def match_register(companies: DataFrame, registry: DataFrame, max_token_freq: int = 1_000, other_names: bool = False) -> DataFrame:
     """Best register record per company: by name in the country, by name anywhere, then by the domain's label."""
     site = F.regexp_replace(F.substring_index("domain", ".", 1), "[^A-Za-z]+", " ")
     label = companies.select("company_id", site.alias("name"), "country").where(F.length("name") >= 3)
@@ -175,7 +151,7 @@ def match_register(companies: DataFrame, registry: DataFrame, max_token_freq: in
     return best_matches(staged(stages))
 
 
-def match_uk(companies: DataFrame, registry: DataFrame, max_token_freq: int = 5_000) -> DataFrame:
+def match_uk(companies: DataFrame, registry: DataFrame, max_token_freq: int = 1_000) -> DataFrame:
     """Matches in the UK register, for companies of the UK or of no known country."""
     own = companies.where(F.coalesce(F.lower("country"), F.lit("")).isin(*UNITED_KINGDOM, ""))
     return match_register(own, registry.where(F.startswith("jurisdiction_code", F.lit("gb"))), max_token_freq)

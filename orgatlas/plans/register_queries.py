@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orgatlas.functions.similarity import name_similarity
 from orgatlas.operators import gapfill as G
 from orgatlas.operators import registers as G2
+from orgatlas.operators.retrieval import search_names
 from orgatlas.plans.views import table, view, with_views
 
 Q: dict = {}
@@ -116,29 +117,91 @@ def _(spark, d):
 KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '\b(private|pvt|limited|ltd|llc|l\.l\.c|inc|incorporated|corp|corporation|co|company|plc|gmbh|ag|sa|s\.a|bv|b\.v|nv|pty|pte|llp|lp|smc|fze|fzco|fz-llc)\b\.?', ' ', 'g'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query("m2_candidates", rf"""WITH a AS (SELECT company_id, unnest(string_split({KEY}, ' ')) AS w FROM companies_v), b AS (SELECT company_number AS record_id, unnest(string_split({KEY}, ' ')) AS w FROM registry_v),
-c AS (SELECT w FROM b GROUP BY w HAVING count(*) <= 4), s AS (SELECT company_id, record_id, count(DISTINCT w) AS shared FROM (SELECT DISTINCT * FROM a WHERE w IN (SELECT w FROM c)) JOIN (SELECT DISTINCT * FROM b) USING (w) GROUP BY ALL),
-f AS (SELECT company_id, record_id, shared FROM s)
-SELECT company_id, record_id, shared FROM f""", "companies_v", "registry_v")
+RANKED = """, w AS (SELECT record_id, scope, list_sort(list_distinct(list_filter(string_split(k, ' '), lambda x: x <> ''))) AS tokens FROM (SELECT *, {key} AS k FROM r)),
+q AS (SELECT company_id, scope, list_sort(list_distinct(list_filter(string_split(k, ' '), lambda x: x <> ''))) AS tokens FROM (SELECT *, {key} AS k FROM c)),
+n AS (SELECT token, ln(1 + (SELECT count(DISTINCT record_id) FROM w) / count(DISTINCT record_id)) AS weight FROM (SELECT record_id, unnest(tokens) AS token FROM w) GROUP BY token),
+rt AS (SELECT record_id, scope, token, weight FROM (SELECT record_id, scope, unnest(tokens) AS token FROM w) JOIN n USING (token)), qt AS (SELECT company_id, scope, token, weight FROM (SELECT company_id, scope, unnest(tokens) AS token FROM q) JOIN n USING (token)),
+rn AS (SELECT record_id, scope, round(sqrt(sum(weight * weight)), 9) AS norm FROM rt GROUP BY ALL), qn AS (SELECT company_id, scope, sqrt(sum(weight * weight)) AS norm FROM qt GROUP BY ALL),
+p AS (SELECT company_id, scope, record_id, sum(qt.weight * qt.weight) AS product, count(*) AS shared FROM qt JOIN rt USING (scope, token) GROUP BY ALL),
+s AS (SELECT company_id, scope, record_id, shared, round(product / (qn.norm * rn.norm), 9) AS score FROM p JOIN qn USING (company_id, scope) JOIN rn USING (record_id, scope)),
+o AS (SELECT *, row_number() OVER (PARTITION BY company_id, scope ORDER BY score DESC, record_id) AS ord FROM s)"""
+
+
+def ranked_sql(records: str, companies: str, last: str, key: str) -> str:
+    """All pairs that share a word, scored and ranked. Both selections: id, scope, name."""
+    return f"WITH r AS ({records}), c AS ({companies})" + RANKED.replace("{key}", key) + last
+
+
+BOTH = "SELECT {id}, name, unnest(['', {country}]) AS scope FROM {table}"
+REGISTER_ROWS = BOTH.format(id="company_number AS record_id", country="substr(jurisdiction_code, 1, 2)", table="registry_v")
+
+
+@query("m2_candidates", ranked_sql(REGISTER_ROWS, BOTH.format(id="company_id", country="country", table="companies_v"), " SELECT company_id, record_id, max(shared) AS shared FROM o WHERE ord <= 10 GROUP BY ALL", KEY), "companies_v", "registry_v")
+def _(spark, d):
+    return G2.candidates(companies(spark, d), registry(spark, d), max_token_freq=4).select("company_id", "record_id", F.col("shared").cast("long").alias("shared"))
+
+
+def skewed_records(spark, d):
+    """Register names of few, frequent words: parts, their type and, for one in nine, a word of their own."""
+    k = F.col("p_partkey")
+    own = F.when(k % 9 == 0, F.concat(F.lit(" unit"), F.floor(k / 27).cast("string"))).otherwise("")
+    return table(spark, d, "part").select(k.alias("record_id"), F.concat("p_name", F.lit(" "), F.lower("p_type"), own).alias("name"), F.when(k % 3 == 0, "gb").otherwise("us").alias("country"))
+
+
+def skewed_firms(spark, d):
+    """One in thirty of those records, with its words turned round and one more or one less."""
+    k = F.col("record_id")
+    turned = F.array_join(F.reverse(F.split("name", " ")), " ")
+    changed = F.when(k % 2 == 0, F.concat(turned, F.lit(" steel"))).otherwise(F.regexp_replace(turned, r"^\w+ ", ""))
+    return skewed_records(spark, d).where("record_id % 30 = 0 or record_id % 30 = 1").select(k.alias("company_id"), changed.alias("name"), F.when(k % 4 == 0, "gb").otherwise("us").alias("country"))
+
+
+SKEWED = "SELECT p_partkey AS id, p_name || ' ' || lower(p_type) || CASE WHEN p_partkey % 9 = 0 THEN ' unit' || CAST(p_partkey // 27 AS VARCHAR) ELSE '' END AS name FROM part"
+SKEWED_RECORDS = f"SELECT id AS record_id, name, unnest(['', CASE WHEN id % 3 = 0 THEN 'gb' ELSE 'us' END]) AS scope FROM ({SKEWED})"
+SKEWED_FIRMS = f"""SELECT id AS company_id, CASE WHEN id % 2 = 0 THEN t || ' steel' ELSE regexp_replace(t, '^\w+ ', '') END AS name, unnest(['', CASE WHEN id % 4 = 0 THEN 'gb' ELSE 'us' END]) AS scope
+ FROM (SELECT id, array_to_string(list_reverse(string_split(name, ' ')), ' ') AS t FROM ({SKEWED}) WHERE id % 30 < 2)"""
+
+
+@query("m2_ranked_names", ranked_sql(SKEWED_RECORDS, SKEWED_FIRMS, " SELECT company_id, scope, CAST(ord AS BIGINT) AS ord, score FROM o WHERE ord <= 10", KEY))
 def _(spark, d):
-    # every name is one frequent word and a number: the word would block only with another frequent one
-    return G2.candidates(companies(spark, d), registry(spark, d), max_token_freq=4).select("company_id", "record_id", "shared")
+    # every word is frequent: what is read is bounded by block maxima; equal scores may belong to other records
+    return search_names(skewed_firms(spark, d), skewed_records(spark, d), many=100).select("company_id", "scope", F.col("ord").cast("long").alias("ord"), "score")
 
 
 @query("m3_global_matches", """SELECT company_id, company_id AS record_id, CAST(CASE WHEN company_id % 5 = 0 THEN 0.9 ELSE 1.0 END AS DOUBLE) AS match_confidence FROM companies_v""", "companies_v")
 def _(spark, d):
-    return G2.match_register(companies(spark, d), registry(spark, d), 4).select("company_id", "record_id", "match_confidence")
+    return G2.match_register(companies(spark, d), registry(spark, d)).select("company_id", "record_id", "match_confidence")
+
+
+def unequal(spark, d):
+    """(companies, register) whose names differ by up to three words at the end, so that their ratio follows from their lengths."""
+    own = F.concat(F.lit("x"), F.substring(F.md5(F.col("company_number").cast("string")), 1, 15))
+    more = F.get(F.array(*map(F.lit, ("", " Works", " Trading House Limited", " International of the East", " Overseas Holding and Finance Society"))), (F.col("company_number") % 5).cast("int"))
+    rows = registry(spark, d).withColumn("inactive", F.col("company_number") % 7 == 0).withColumn("current_status", F.lit("Active")).withColumn("name", F.initcap(F.concat(own, more)))
+    firms = rows.select(F.col("company_number").alias("company_id"), F.concat(F.upper(own), F.lit(" Ltd")).alias("name"), F.when(F.col("company_number") % 3 == 0, "gb").otherwise("us").alias("country"), F.lit("none.example").alias("domain"))
+    return firms, rows
+
+
+UNEQUAL = """WITH u AS (SELECT company_number AS id, jurisdiction_code, CASE WHEN company_number % 3 = 0 THEN 'gb' ELSE 'us' END AS country, company_number % 7 = 0 AS inactive,
+ 16 AS a, 16 + (['', ' works', ' trading house', ' international of the east', ' overseas holding and finance society'])[company_number % 5 + 1].length() AS b FROM registry_v),
+s AS (SELECT *, round(CASE WHEN a = b THEN 1.0 ELSE round(2.0 * a / (a + b), 3) END - CASE WHEN inactive THEN 0.15 ELSE 0 END + CASE WHEN starts_with(jurisdiction_code, country) THEN 0.05 ELSE 0 END, 6) AS score FROM u)
+SELECT id AS company_id, id AS record_id, CAST(round(least(1.0, score), 2) AS DOUBLE) AS match_confidence FROM s WHERE score >= 0.6"""
+
+
+@query("m3_unequal_names", UNEQUAL, "registry_v")
+def _(spark, d):
+    return G2.match_register(*unequal(spark, d)).select("company_id", "record_id", "match_confidence")
 
 
 @query("m4_lei_matches")
 def _(spark, d):
     names = registry(spark, d).withColumns({"other_names": F.array(F.concat(F.lit("Alias "), "name")), "previous_names": F.array(F.concat(F.lit("Supplier "), "company_number"))})
-    return G2.match_register(companies(spark, d), names, 4, other_names=True).select("company_id", "record_id", "record_name", "match_confidence")
+    return G2.match_register(companies(spark, d), names, other_names=True).select("company_id", "record_id", "record_name", "match_confidence")
 
 
-@query("m5_uk_matches", "SELECT company_id, company_id AS record_id, CAST(CASE WHEN company_id % 5 = 0 THEN 0.9 ELSE 1.0 END AS DOUBLE) AS match_confidence FROM companies_v WHERE country = 'gb'", "companies_v")
+@query("m5_uk_matches", UNEQUAL + " AND country = 'gb' AND jurisdiction_code = 'gb'", "registry_v")
 def _(spark, d):
-    return G2.match_uk(companies(spark, d), registry(spark, d), 4).select("company_id", "record_id", "match_confidence")
+    return G2.match_uk(*unequal(spark, d)).select("company_id", "record_id", "match_confidence")
 
 
 @query("m6_source_priority", "SELECT s_suppkey AS company_id, CASE WHEN s_suppkey % 3 = 0 THEN 'companieshouse' WHEN s_suppkey % 2 = 0 THEN 'opencorporates' ELSE 'gleif' END AS source FROM supplier")
@@ -194,6 +257,31 @@ def _(spark, d):
     return G.osm_fill(listing(spark, d), osm_places(spark, d)).select("company_id", *G.FIELDS, F.to_json("filled_from").alias("filled_from"))
 
 
+def alike_names(spark, d):
+    """(companies, places): twenty letters, and the same with up to six letters more or four less."""
+    k = F.col("s_suppkey")
+    own = F.substring(F.md5(k.cast("string")), 1, 20)
+    spread = lambda parts: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), parts), "")
+    more = spread(lambda i: F.concat(F.substring(own, i * 3 + 1, F.when(i == 6, 2).otherwise(3)), F.when(i < k % 7, "z").otherwise("")))
+    less = spread(lambda i: F.substring(own, i * 3 + 1, F.when(i == 6, 2).when(i < k % 5, 2).otherwise(3)))
+    rows = table(spark, d, "supplier")
+    places = rows.select(F.when(k % 2 == 0, more).otherwise(less).alias("name"), F.lit("GB").alias("country"), F.create_map(F.lit("website"), F.concat(F.lit("https://w"), k)).alias("tags"), k.alias("ord"))
+    return rows.select(k.alias("company_id"), own.alias("name"), F.lit("gb").alias("country")), places
+
+
+@query("m10_alike_names", """SELECT s_suppkey AS company_id, s_suppkey AS ord FROM supplier
+WHERE CASE WHEN s_suppkey % 2 = 0 THEN 40.0 / (40 + s_suppkey % 7) ELSE 2.0 * (20 - s_suppkey % 5) / (40 - s_suppkey % 5) END >= 0.9""")
+def _(spark, d):
+    return G.osm_matches(*alike_names(spark, d)).select("company_id", "ord")
+
+
+@query("m10_candidates_met")
+def _(spark, d):
+    """How many names each map name is compared with, by the way that they met."""
+    own, theirs = G.keys_of(listing(spark, d), osm_places(spark, d))
+    return G.alike_candidates(own, theirs).groupBy("country", "_key", "way").agg(F.count("*").alias("compared"))
+
+
 @query("m11_guarded_fill", """SELECT id AS company_id, coalesce(website, CASE WHEN id % 2 = 0 THEN 'https://fill/' || id END) AS website, phone, CASE WHEN website IS NULL AND id % 2 = 0 THEN 'map' END AS website_from FROM places_v""", "places_v")
 def _(spark, d):
     rows = listing(spark, d)

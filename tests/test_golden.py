@@ -208,6 +208,24 @@ def test_alike_map_names_lose_no_pair(spark):
     assert found == {(i, j) for i, a in enumerate(names) for j, b in enumerate(edited) if difflib.SequenceMatcher(None, a, b).ratio() >= 0.9}
 
 
+def test_alike_names_of_common_words_meet_few(spark):
+    """Names of two common words and a number: the candidates are few, and the pairs those of all pairs."""
+    import difflib
+    import random
+
+    from orgatlas.operators import gapfill
+
+    rng = random.Random(8)
+    name = lambda: f"{rng.choice(['global', 'national', 'united'])}{rng.choice(['trading', 'textile', 'machinery'])}{rng.choice(['', 'exporthouse'])}{rng.randrange(10**4)}"
+    names, others = sorted({name() for _ in range(300)}), sorted({name() for _ in range(300)})
+    companies = spark.createDataFrame([(i, n, "gb") for i, n in enumerate(names)], "company_id long, name string, country string")
+    places = spark.createDataFrame([(i, n, "GB", {"website": f"w{i}"}) for i, n in enumerate(others)], "ord long, name string, country string, tags map<string,string>")
+    want = {(i, j) for i, a in enumerate(names) for j, b in enumerate(others) if difflib.SequenceMatcher(None, a, b).ratio() >= 0.9}
+    assert {(r.company_id, r.ord) for r in gapfill.osm_matches(companies, places).collect()} == want
+    met = gapfill.alike_candidates(*gapfill.keys_of(companies, places)).count()
+    assert met <= 1.5 * len(want) + len(names)
+
+
 def test_register_candidates_keep_the_best_match(spark):
     """With every token frequent: all names that are alike to six tenths and share two words meet, in any word order; recall against all pairs."""
     import difflib
