@@ -100,14 +100,14 @@ def union_registries(**sources: DataFrame) -> DataFrame:
     return out.withColumn("record_url", F.coalesce("record_url", "opencorporates_url", "registry_url"))
 
 
-def candidates(companies: DataFrame, registry: DataFrame, max_token_freq: int = 1_000, top: int = 10) -> DataFrame:
+def candidates(companies: DataFrame, registry: DataFrame, max_token_freq: int = 1_000, top: int = 10, least: float = 0.2) -> DataFrame:
     """The register rows most like a company by the words of the name: the ``top`` best in its country and the ``top`` best anywhere.
 
     ``companies``: company_id, name, country; ``registry``: record_id, name, jurisdiction_code. A word in more than ``max_token_freq`` register names counts as
-    frequent (see ``retrieval``). ``shared``: words in common; ``ord``: the better place of both lists.
+    frequent (see ``retrieval``). Records whose words make up less than ``least`` of the name by weight (a cosine) are no candidates. ``shared``: rare words and pairs of frequent ones in common; ``ord``: the better place of both lists.
     """
-    found = search_names(companies, registry.select("record_id", "name", T.country_of(F.col("jurisdiction_code")).alias("country")), top, max_token_freq)
-    return found.groupBy("company_id", "record_id").agg(F.max("shared").alias("shared"), F.min("ord").alias("ord"))
+    found = search_names(companies, registry.select("record_id", "name", T.country_of(F.col("jurisdiction_code")).alias("country")), top, max_token_freq, least)
+    return found.groupBy("company_id", "record_id").agg(F.max("telling").cast("long").alias("shared"), F.min("ord").alias("ord"))
 
 
 def score_matches(cands: DataFrame, companies: DataFrame, registry: DataFrame, other_names: bool = False) -> DataFrame:

@@ -80,7 +80,7 @@ def build_index(records: DataFrame, many: int = 1_000) -> NameIndex:
     return NameIndex(terms, staged(blocks), many)
 
 
-def _read(active: DataFrame, index: NameIndex, low: int, high: int, k: int, before: DataFrame | None) -> DataFrame:
+def _read(active: DataFrame, index: NameIndex, low: int, high: int, k: int, least: float, before: DataFrame | None) -> DataFrame:
     """The k best records of each active query among those of blocks ``low`` to ``high`` and those found before."""
     salt = F.when(F.col("often"), F.pmod(F.xxhash64("query"), F.lit(SALTS)).cast("int")).otherwise(0)
     asked = active.select("query", "scope", "own", "norm", F.inline("terms")).withColumn("salt", salt).drop("often", "part").withColumnRenamed("norm", "query_norm")
@@ -89,29 +89,31 @@ def _read(active: DataFrame, index: NameIndex, low: int, high: int, k: int, befo
     hits = asked.join(part, ["scope", "term", "salt"]).select("query", "own", "query_norm", F.inline("postings"))
     met = F.filter("own", lambda t: F.array_contains(F.col("tokens"), t["token"]))
     product = F.aggregate("met", F.lit(0.0), lambda acc, t: acc + t["weight"] * t["weight"])
-    scored = hits.withColumn("met", met).select("query", "record_id", F.round(product / (F.col("query_norm") * F.col("norm")), 9).alias("score"), F.size("met").alias("shared"))
+    common = F.size(F.filter("met", lambda t: t["n"] > index.many))
+    telling = F.size("met") - common + (common * (common - 1) / 2).cast("int")
+    scored = hits.withColumn("met", met).select("query", "record_id", F.round(product / (F.col("query_norm") * F.col("norm")), 9).alias("score"), F.size("met").alias("shared"), telling.alias("telling")).where(F.col("score") >= least)
     every = scored if before is None else scored.unionByName(before.select(*scored.columns))
-    best = every.groupBy("query", "record_id").agg(F.max("score").alias("score"), F.max("shared").alias("shared"))
+    best = every.groupBy("query", "record_id").agg(F.max("score").alias("score"), F.max("shared").alias("shared"), F.max("telling").alias("telling"))
     return staged(best.withColumn("ord", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("record_id")))).where(F.col("ord") <= k))
 
 
-def _unfinished(active: DataFrame, index: NameIndex, high: int, k: int, best: DataFrame) -> DataFrame:
+def _unfinished(active: DataFrame, index: NameIndex, high: int, k: int, least: float, best: DataFrame) -> DataFrame:
     """The active queries for which a block from ``high`` on may hold a better record."""
-    least = best.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("least"))
+    reached = best.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(least).alias("reached"))
     fronts = index.blocks.where(F.col("block") == high).select("scope", "term", "least_norm")
     further = active.select("query", "scope", "norm", F.inline("terms")).join(fronts, ["scope", "term"])  # one row per term
     bound = further.groupBy("query").agg(F.max(F.col("part") / (F.col("norm") * F.col("least_norm"))).alias("bound"))
-    return active.join(bound.join(least, "query").where(F.round("bound", 9) > F.col("least")).select("query"), "query", "left_semi")
+    return active.join(bound.join(reached, "query", "left").where(F.round("bound", 9) > F.coalesce("reached", F.lit(least))).select("query"), "query", "left_semi")
 
 
-def best_records(queries: DataFrame, index: NameIndex, k: int = 10) -> DataFrame:
-    """(query, record_id, score, shared, ord): the k best records of each query (query, scope, tokens)."""
+def best_records(queries: DataFrame, index: NameIndex, k: int = 10, least: float = 0.0) -> DataFrame:
+    """(query, record_id, score, shared, telling, ord): the k best records of each query (query, scope, tokens) among those with a score of ``least`` or more."""
     own = weighted(queries, index.terms, "query").join(queries.select("query", "scope"), "query")
     active = staged(own.select("query", "scope", "own", norm("own").alias("norm"), terms_of("own", index.many).alias("terms")))
     low, high, done, before = 0, max(1, -(-index.many // BLOCK)), None, None
     while True:
-        best = _read(active, index, low, high, k, before)
-        rest = staged(_unfinished(active, index, high, k, best))
+        best = _read(active, index, low, high, k, least, before)
+        rest = staged(_unfinished(active, index, high, k, least, best))
         left = rest.select("query")
         settled = best.join(left, "query", "left_anti")
         done = settled if done is None else done.unionByName(settled)
@@ -120,16 +122,17 @@ def best_records(queries: DataFrame, index: NameIndex, k: int = 10) -> DataFrame
         active, before, low, high = rest, best.join(left, "query", "left_semi"), high, 2 * high
 
 
-def search_names(companies: DataFrame, records: DataFrame, k: int = 10, many: int = 1_000) -> DataFrame:
-    """(company_id, scope, record_id, score, shared, ord): the k best records in a company's country (scope: the country) and the k best anywhere (scope '').
+def search_names(companies: DataFrame, records: DataFrame, k: int = 10, many: int = 1_000, least: float = 0.0) -> DataFrame:
+    """(company_id, scope, record_id, score, shared, telling, ord): the k best records in a company's country (scope: the country) and the k best anywhere (scope '').
 
-    ``companies``: company_id, name, country; ``records``: record_id, name, country.
+    ``companies``: company_id, name, country; ``records``: record_id, name, country. shared: words in common; telling: of the terms in common, those that are
+    no frequent word by itself.
     """
     index = build_index(records, many)
     rows = companies.select("company_id", F.lower("country").alias("country"), words(F.col("name")).alias("tokens")).where(F.size("tokens") > 0)
     scopes = F.when(F.coalesce("country", F.lit(ANYWHERE)) == ANYWHERE, F.array(F.lit(ANYWHERE))).otherwise(F.array(F.lit(ANYWHERE), F.col("country")))
     asked = staged(rows.select("company_id", "tokens", F.explode(scopes).alias("scope")).withColumn("query", F.concat_ws(" ", F.concat("scope", F.lit(":")), F.array_join("tokens", " "))))
     queries = staged(asked.groupBy("query", "scope", "tokens").agg(F.count("*").alias("companies")))
-    found = best_records(queries.drop("companies"), index, k).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("ord", "record_id", "score", "shared"))).alias("found"))  # k of a query
+    found = best_records(queries.drop("companies"), index, k, least).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("ord", "record_id", "score", "shared", "telling"))).alias("found"))  # k of a query
     facts = staged(found.join(queries.select("query", "companies"), "query"))
-    return looked_up(asked.select("company_id", "scope", "query"), facts, ["query"], "companies", F.col("company_id")).select("company_id", "scope", F.inline("found")).select("company_id", "scope", "record_id", "score", "shared", "ord")
+    return looked_up(asked.select("company_id", "scope", "query"), facts, ["query"], "companies", F.col("company_id")).select("company_id", "scope", F.inline("found")).select("company_id", "scope", "record_id", "score", "shared", "telling", "ord")

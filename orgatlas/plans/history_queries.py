@@ -11,7 +11,10 @@ from orgatlas.operators.summary import summary_row
 from orgatlas.plans.register_queries import merged
 from orgatlas.plans.views import table, view, with_views
 from orgatlas.sources import sinks
+from orgatlas.sources.html import parse_pages
+from orgatlas.sources.staging import staged
 from orgatlas.streaming import jobs
+from orgatlas.streaming.state import admitted, close_quiet_runs, stateful_session
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -105,26 +108,66 @@ def _(spark, d):
 @query("st1_page_stream", r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
 def _(spark, d):
     path = folder(spark)
-    table(spark, d, "pages").select("page_id", "url", "html").repartition(2).write.parquet(f"{path}/in")
-    jobs.incremental_extraction(jobs.page_stream(spark, f"{path}/in"), f"{path}/out", f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("page_id", "title").distinct()
+    table(spark, d, "pages").select("page_id", "url", "html").repartition(3).write.parquet(f"{path}/in")
+    jobs.incremental_extraction(jobs.page_stream(spark, f"{path}/in"), f"{path}/out", f"{path}/state", lambda pages: parse_pages(pages).select("page_id", "title")).awaitTermination()
+    return spark.read.schema("page_id long, title string").parquet(f"{path}/out").select("page_id", "title")  # a page written twice would show
+
+
+FILES = 4
+NAIVE = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+
+
+def arriving(rows, path: str, end: str) -> None:
+    """Rows (ts, late or not) written as three batches of ``FILES`` files, every tenth event fifty minutes late, and an event far ahead that lets the watermark pass all others."""
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    bounds = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    slot = F.least(F.lit(2), F.floor(3 * (F.unix_micros("ts") + F.when(F.col("late"), 3_000_000_000).otherwise(0) - F.unix_micros("a")) / (F.unix_micros("b") - F.unix_micros("a") + 1)))
+    told = staged(rows.crossJoin(F.broadcast(bounds)).withColumn("slot", slot).drop("a", "b", "late"))  # bounds: one row
+    for k in range(3):
+        told.where(F.col("slot") == k).drop("slot").repartition(FILES).write.mode("append").parquet(path)
+    told.select([F.lit(end).cast("timestamp").alias(c) if c == "ts" else F.lit("end").cast(t).alias(c) for c, t in told.drop("slot").dtypes]).limit(1).write.mode("append").parquet(path)
+
+
+def appended(frame, path: str):
+    frame.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
 
 
 @query("st2_first_seen_urls", "SELECT DISTINCT url FROM page_log_v", "page_log_v")
 def _(spark, d):
     path = folder(spark)
-    view(spark, d, "page_log_v").select("url", "ts").repartition(1).write.parquet(f"{path}/in")
-    stream = jobs.first_seen(spark.readStream.schema("url string, ts timestamp").parquet(f"{path}/in"))
-    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    view(spark, d, "page_log_v").select("url", "ts").repartition(FILES).write.parquet(f"{path}/in")
+    appended(jobs.first_seen(spark.readStream.schema("url string, ts timestamp").parquet(f"{path}/in")), path)
     return spark.read.schema("url string, ts timestamp").parquet(f"{path}/out").select("url")  # one batch: each URL once, at whichever of its times
 
 
+@query("st2_admitted_urls", """WITH RECURSIVE t AS (SELECT DISTINCT url, ts FROM page_log_v), a AS (SELECT url, min(ts) AS ts FROM t GROUP BY url
+UNION ALL SELECT a.url, min(t.ts) AS ts FROM a JOIN t ON t.url = a.url AND t.ts >= a.ts + INTERVAL 6 HOURS GROUP BY a.url, a.ts) SELECT url, ts FROM a""", "page_log_v")
+def _(spark, d):
+    path, own = folder(spark), stateful_session(spark)
+    arriving(view(spark, d, "page_log_v").select("url", "ts", (F.minute("ts") % 10 == 0).alias("late")), f"{path}/in", "2100-01-01")
+    appended(admitted(own.readStream.schema("url string, ts timestamp").option("maxFilesPerTrigger", FILES).parquet(f"{path}/in"), "6 hours", "1 hour"), path)
+    return spark.read.schema("url string, ts timestamp").parquet(f"{path}/out").where("url <> 'end'").select("url", NAIVE("ts"))
+
+
 @query("st3_run_sessions", """WITH g AS (SELECT job_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM page_log_v), s AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts, fresh DESC ROWS UNBOUNDED PRECEDING) AS span FROM g)
 SELECT job_id, min(ts) AS started, max(ts) + INTERVAL 6 HOURS AS closed, count(*) AS n FROM s GROUP BY job_id, span""", "page_log_v")
 def _(spark, d):
     return jobs.run_sessions(view(spark, d, "page_log_v"), "6 hours")
 
 
+@query("st3_closed_runs", """WITH e AS (SELECT job_id, ts, status = 200 AND challenge = '' AS found, challenge = 'robots' AS finished FROM page_log_v),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts) < INTERVAL 5 HOURS THEN 0 ELSE 1 END AS fresh FROM e),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts, fresh DESC ROWS UNBOUNDED PRECEDING) AS span FROM g)
+SELECT CAST(job_id AS VARCHAR) AS job_id, min(ts) AS started, max(ts) + INTERVAL 5 HOURS AS closed, count(*) AS events, count(*) FILTER (found AND NOT finished) AS companies,
+ CASE WHEN bool_or(finished) OR count(*) FILTER (found AND NOT finished) > 0 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN NOT bool_or(finished) THEN 'interrupted' END AS note FROM s GROUP BY job_id, span""", "page_log_v")
+def _(spark, d):
+    path, own = folder(spark), stateful_session(spark)
+    kind = F.when(F.col("challenge") == "robots", "finished").when((F.col("status") == 200) & (F.col("challenge") == ""), "company").otherwise("page")
+    arriving(view(spark, d, "page_log_v").select(F.col("job_id").cast("string").alias("job_id"), "ts", kind.alias("kind"), (F.minute("ts") % 10 == 0).alias("late")), f"{path}/in", "2100-01-01")
+    appended(close_quiet_runs(own.readStream.schema("job_id string, ts timestamp, kind string").option("maxFilesPerTrigger", FILES).parquet(f"{path}/in"), "5 hours", "1 hour"), path)
+    return spark.read.schema("job_id string, started timestamp, closed timestamp, events long, companies long, status string, note string").parquet(f"{path}/out").where("job_id <> 'end'").select("job_id", NAIVE("started"), NAIVE("closed"), "events", "companies", "status", "note")
+
+
 @query("st4_activity_counts", "SELECT date_trunc('hour', ts) AS started, count(*) AS pages, count(*) FILTER (error <> '') AS failed FROM page_log_v GROUP BY 1", "page_log_v")
 def _(spark, d):
     return jobs.activity_counts(view(spark, d, "page_log_v"))
@@ -133,8 +176,7 @@ def _(spark, d):
 @query("st4_activity_stream", "SELECT date_trunc('hour', ts) AS started, count(*) AS pages, count(*) FILTER (error <> '') AS failed FROM page_log_v GROUP BY 1", "page_log_v")
 def _(spark, d):
     path = folder(spark)
-    view(spark, d, "page_log_v").select("ts", "error").repartition(1).write.parquet(f"{path}/in")
-    counts = jobs.activity_counts(spark.readStream.schema("ts timestamp, error string").parquet(f"{path}/in"))
-    name = f"activity_{uuid.uuid4().hex}"
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    arriving(view(spark, d, "page_log_v").select("ts", "error", (F.minute("ts") % 10 == 0).alias("late")), f"{path}/in", "2100-01-01")
+    stream = spark.readStream.schema("ts timestamp, error string").option("maxFilesPerTrigger", FILES).parquet(f"{path}/in")
+    jobs.keep_activity(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    return jobs.activity_table(spark, f"{path}/out").where("started < timestamp'2100-01-01'").select(NAIVE("started"), "pages", "failed")

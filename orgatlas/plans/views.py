@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from orgatlas.sources.staging import spread
@@ -93,4 +95,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str, *names: str) -> str:
     """DuckDB text in which the named views can be used."""
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names) + (", " + sql.strip()[5:] if sql.strip().upper().startswith("WITH ") else " " + sql)
+    start = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql, re.I)
+    views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    return f"WITH {start[1] or ''}{views}, {sql[start.end():]}" if start else f"WITH {views} {sql}"

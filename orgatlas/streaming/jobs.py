@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,17 +22,18 @@ def page_headings(pages: DataFrame) -> DataFrame:
     return parsed.select("page_id", "title", F.explode_outer(F.col("headings")).alias("heading"))
 
 
-def incremental_extraction(pages: DataFrame, out: str, checkpoint: str):
+def incremental_extraction(pages: DataFrame, out: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame] = page_headings):
     """Append the values of newly arrived pages to a table; each batch is written once (exactly once with the checkpoint)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        page_headings(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        extract(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def first_seen(urls: DataFrame, ts: str = "ts", url: str = "url", ttl: str = "6 hours") -> DataFrame:
-    """Each URL once until it has been unseen for ``ttl``; state is dropped behind the watermark."""
+    """Each URL once, at whichever of its times arrives first; a URL may come again when the watermark has passed it by ``ttl``. For an admission that
+    does not depend on batches see ``state.admitted``."""
     return urls.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([url])
 
 
@@ -47,3 +50,21 @@ def activity_counts(events: DataFrame, width: str = "1 hour", ts: str = "ts", la
     bad = failed if failed is not None else F.coalesce("error", F.lit("")) != ""
     counts = source.groupBy(F.window(ts, width).alias("w")).agg(F.count("*").alias("pages"), F.count_if(bad).alias("failed"))
     return counts.select(F.col("w.start").alias("started"), "pages", "failed")
+
+
+COUNTS = "started timestamp, pages long, failed long, batch long"
+
+
+def keep_activity(events: DataFrame, out: str, checkpoint: str, width: str = "1 hour"):
+    """Write the windows whose counts changed, batch by batch; a batch that is run again replaces its own files."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return activity_counts(events, width).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def activity_table(spark: SparkSession, out: str) -> DataFrame:
+    """The latest counts of every window that ``keep_activity`` wrote."""
+    rows = spark.read.schema(COUNTS).parquet(out)
+    return rows.groupBy("started").agg(F.max_by(F.struct("pages", "failed"), "batch").alias("b")).select("started", "b.*")

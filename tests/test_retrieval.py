@@ -54,7 +54,7 @@ def test_reads_little_of_frequent_lists(spark, monkeypatch):
     index = retrieval.build_index(record, many=32)
     seen = []
     read = retrieval._read
-    monkeypatch.setattr(retrieval, "_read", lambda active, index, low, high, k, before: seen.append((active.count(), high)) or read(active, index, low, high, k, before))
+    monkeypatch.setattr(retrieval, "_read", lambda active, index, low, high, *rest: seen.append((active.count(), high)) or read(active, index, low, high, *rest))
     queries = spark.createDataFrame([(f"q{i}", "", t) for i, t in enumerate([["alpha", "trading"], ["alpha"], ["alpha", "n5", "trading"]])], "query string, scope string, tokens array<string>")
     best = retrieval.best_records(queries, index, 10).collect()
     assert seen == [(3, 2)]
