@@ -183,6 +183,12 @@ def facets(companies: DataFrame, most: int = MOST_FACETS) -> DataFrame:
     return labelled.where("tier >= 1 or _relevant < 10").groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(most)
 
 
+def facet_levels(companies: DataFrame, path: tuple[str, ...], by: tuple = ("query_id",)) -> DataFrame:
+    """Counts along a category path for many searches at once: of every search, of each first step of the path, and so on; deeper steps are null in the sums above them."""
+    sets = [[*by, *path[:n]] for n in range(len(path) + 1)]
+    return companies.groupingSets([[F.col(c) for c in own] for own in sets], *by, *path).agg(F.count("*").alias("n"))
+
+
 def top(companies: DataFrame, limit: int = 50) -> DataFrame:
     return companies.orderBy(*rank_order()).limit(limit)
 
@@ -206,12 +212,74 @@ def company_search(places: DataFrame, industry: str, country: str, name: str = "
     return top(ranked_companies(scored_hits(places, industry, country, name, category)), limit)
 
 
-def company_search_many(places: DataFrame, searches: list[tuple[str, str, str]], limit: int = 50) -> DataFrame:
+#: Lengths of the beginnings of words by which terms and places meet, and how much of a text is looked at from a word on.
+HEADS, HEAD_LENGTH = (1, 2, 3, 4, 5), 40
+SEARCH_COLUMNS = "query_id string, industry string, country string"
+
+
+def parse_terms(text: Column) -> Column:
+    """``parse_industry`` for a column of typed texts: an array of word, prefix and alternatives (the prefix and what it is related to)."""
+    words = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s,/;|]+"), lambda raw: F.regexp_replace(raw, r"(?U)\W", ""))
+    words = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*sorted(STOP_WORDS)))
+    prefix = lambda w: F.when(F.length(w) > 5, F.substring(w, 1, 5)).when(F.length(w) == 5, F.rtrim(w, F.lit("s"))).otherwise(w)
+    single = lambda w: F.when((F.length(w) > 4) & F.endswith(w, F.lit("s")), F.left(w, F.length(w) - 1)).otherwise(w)
+    related = F.create_map(*[x for key, more in RELATED.items() for x in (F.lit(key), F.array(*map(F.lit, more)))])
+    alternatives = lambda start: F.concat(F.array(start), F.coalesce(F.try_element_at(related, start), F.array().cast("array<string>")))
+    return F.transform(words, lambda w: F.struct(single(w).alias("word"), prefix(w).alias("prefix"), alternatives(prefix(w)).alias("alternatives")))
+
+
+def heads(*texts: Column) -> Column:
+    """What the texts say from each of their words on, in lower case: any term that begins a word of them begins one of these."""
+    begin = F.lit(rf"(?s)(?:[^\p{{L}}\p{{N}}]|^)(?=(.{{0,{HEAD_LENGTH}}}))")
+    every_text = [F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), begin, F.lit(1)) for t in texts]
+    return F.filter(F.array_distinct(F.concat(*every_text)), lambda h: h != "")
+
+
+def search_hits(places: DataFrame, searches: DataFrame) -> DataFrame:
+    """Every place with every search that it answers: ``places`` with query_id and terms.
+
+    ``searches``: query_id, industry, country, any number of rows. Terms are rows: they meet the beginnings of a place's words by equality, the rest of a long term is compared after that,
+    and a place answers a search when all its terms were met. The places are read once; searches with the same words in the same country are one search until the end.
+    """
+    asked = searches.select("query_id", F.upper("country").alias("_country"), parse_terms(F.col("industry")).alias("terms")).where(F.size("terms") > 0)
+    asked = staged(asked.withColumn("_ask", F.concat_ws(" ", "_country", F.array_join(F.array_sort(F.array_distinct(F.transform("terms", lambda t: F.concat(t["word"], F.lit("/"), t["prefix"])))), " "))))
+    distinct = staged(asked.groupBy("_ask").agg(F.first("_country").alias("_country"), F.min_by("terms", "query_id").alias("terms")))
+    terms = distinct.select("_ask", "_country", F.size(F.array_distinct(F.transform("terms", lambda t: t["prefix"]))).alias("_needed"), F.explode("terms").alias("t"))
+    terms = terms.select("_ask", "_country", "_needed", F.col("t.prefix").alias("_term"), F.explode("t.alternatives").alias("_start")).distinct().withColumn("_head", F.left("_start", F.lit(HEADS[-1])))
+    open_ = ~F.coalesce("operating_status", F.lit("open")).isin(*CLOSED) & F.col("name").isNotNull()
+    rows = places.where(open_ & F.col("country").isNotNull())
+    rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()))
+    words = rows.select("_row", F.upper("country").alias("_country"), F.explode(heads(F.col("name"), F.col("category_primary"), F.array_join("hierarchy", " "))).alias("_text"))
+    keys = words.select("_row", "_country", "_text", F.explode(F.array_distinct(F.array(*[F.left("_text", F.lit(n)) for n in HEADS]))).alias("_head"))
+    met = keys.join(terms, ["_country", "_head"]).where(F.startswith("_text", F.col("_start")))
+    answered = met.groupBy("_row", "_ask", "_needed").agg(F.count_distinct("_term").alias("_met")).where(F.col("_met") == F.col("_needed"))
+    return rows.join(answered.select("_row", "_ask"), "_row").join(asked.select("_ask", "query_id", "terms"), "_ask").drop("_row", "_ask")
+
+
+def graded_by_terms(hits: DataFrame) -> DataFrame:
+    """``relevance`` where the terms of a row's search stand in its column ``terms``."""
+    leaf = F.concat(T.tokens(F.col("category_primary")), T.tokens(F.array_join("alternates", " ")))
+    middle = F.when(F.size("hierarchy") > 2, T.tokens(F.array_join(F.slice("hierarchy", 2, F.greatest(F.size("hierarchy") - 2, F.lit(0))), " "))).otherwise(F.array().cast("array<string>"))
+    hits = hits.withColumn("_leaf", leaf).withColumn("_path", F.concat("_leaf", middle))
+
+    def exact(words: str):
+        return lambda t: F.exists(words, lambda w: (w == t["word"]) | (w == F.concat(t["word"], F.lit("s"))) | ((F.length(t["word"]) >= 5) & F.startswith(w, t["word"])))
+
+    def related(words: str):
+        line = F.concat(F.lit(" "), F.array_join(words, " "))
+        return lambda t: F.exists(t["alternatives"], lambda a: F.contains(line, F.concat(F.lit(" "), F.replace(a, F.lit("_"), F.lit(" "))))) | exact(words)(t)
+
+    steps = [(exact("_leaf"), 3, "category"), (exact("_path"), 2, "parent category"), (related("_leaf"), 2, "related category"), (related("_path"), 1, "related parent category")]
+    grade, why = F.when(F.lit(False), 0), F.when(F.lit(False), "")
+    for condition, tier, name in steps:
+        grade, why = grade.when(F.forall("terms", condition), tier), why.when(F.forall("terms", condition), name)
+    return hits.withColumns({"tier": grade.otherwise(0), "match": why.otherwise("name only")}).drop("_leaf", "_path")
+
+
+def company_search_many(places: DataFrame, searches: list[tuple[str, str, str]] | DataFrame, limit: int = 50) -> DataFrame:
     """Many searches (query_id, industry, country) in one job: the places are read once, and each row is dealt out to the searches it answers."""
-    terms = {query_id: parse_industry(industry) for query_id, industry, _ in searches}
-    asked = F.array_compact(F.array(*[F.when(valid_in(country) & every([has_term(t) for t in terms[query_id]]), F.lit(query_id)) for query_id, _, country in searches]))
-    hits = places.withColumn("query_id", F.explode(asked))
-    hits = base_score(graded(hits, [(F.col("query_id") == query_id, own) for query_id, own in terms.items()]))
+    rows = searches if isinstance(searches, DataFrame) else places.sparkSession.createDataFrame(searches, SEARCH_COLUMNS)
+    hits = base_score(graded_by_terms(search_hits(places, rows)).drop("terms"))
     found = ranked_companies(hits, ("query_id",))
     order = Window.partitionBy("query_id").orderBy(*rank_order())
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgatlas.operators import search as S
-from orgatlas.plans.views import view, with_views
+from orgatlas.plans.views import table, view, with_views
 from orgatlas.sources import places as P
 
 COUNTRY = "NATION_11"
@@ -205,3 +205,47 @@ def _many() -> str:
 @query("c17_many_searches", _many())
 def _(spark, d):
     return S.company_search_many(places(spark, d), SEARCHES, 20).select("query_id", "id", F.col("place").cast("long").alias("place"))
+
+
+@query("c1_parsed_terms", r"""WITH t AS (SELECT DISTINCT p_type || ' ' || p_name || 's, ' || upper(p_brand) || ' & the Textile Industries/softwares' AS industry FROM (SELECT p_type, p_name, split_part(p_brand, '#', 1) AS p_brand FROM part)),
+w AS (SELECT industry, unnest(list_filter(list_transform(string_split_regex(lower(industry), '[\s,/;|]+'), lambda x: regexp_replace(x, '\W', '', 'g')), lambda x: len(x) >= 2 AND x NOT IN ('and', 'the', 'of', 'for', 'in', '&', 'companies', 'company', 'industry', 'industries', 'business', 'businesses'))) AS w,
+ generate_subscripts(list_filter(list_transform(string_split_regex(lower(industry), '[\s,/;|]+'), lambda x: regexp_replace(x, '\W', '', 'g')), lambda x: len(x) >= 2 AND x NOT IN ('and', 'the', 'of', 'for', 'in', '&', 'companies', 'company', 'industry', 'industries', 'business', 'businesses')), 1) AS k FROM t)
+SELECT industry, CAST(k AS BIGINT) AS k, CASE WHEN len(w) > 4 AND ends_with(w, 's') THEN w[:-2] ELSE w END AS word, CASE WHEN len(w) > 5 THEN w[1:5] WHEN len(w) = 5 THEN rtrim(w, 's') ELSE w END AS prefix,
+ CASE w[1:5] WHEN 'texti' THEN 8 WHEN 'softw' THEN 3 ELSE 1 END AS alternatives FROM w""")
+def _(spark, d):
+    typed = F.concat("p_type", F.lit(" "), "p_name", F.lit("s, "), F.upper(F.substring_index("p_brand", "#", 1)), F.lit(" & the Textile Industries/softwares"))
+    rows = table(spark, d, "part").select(typed.alias("industry")).distinct()
+    parsed = rows.select("industry", F.posexplode(S.parse_terms(F.col("industry"))).alias("k", "t"))
+    return parsed.select("industry", (F.col("k") + 1).cast("long").alias("k"), "t.word", "t.prefix", F.size("t.alternatives").alias("alternatives"))
+
+
+def asked(spark, d):
+    """A search for every market segment, with and without a kind of place, in every nation that customers have: hundreds of them."""
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_mktsegment", "n_name").distinct()
+    kinds = F.explode(F.array(F.lit(""), F.lit(" store"), F.lit(" manufacturing"), F.lit(" delta")))
+    return rows.select(F.lower("c_mktsegment").alias("segment"), "n_name", kinds.alias("kind")).select(F.concat("segment", "kind", F.lit(" in "), "n_name").alias("query_id"), F.concat("segment", "kind").alias("industry"), F.lower("n_name").alias("country"))
+
+
+@query("c17_matched_searches", r"""WITH a AS (SELECT lower(c_mktsegment) || kind || ' in ' || n_name AS query_id, lower(c_mktsegment) AS segment, trim(kind) AS kind, n_name FROM (SELECT DISTINCT c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey), (SELECT unnest(['', ' store', ' manufacturing', ' delta']) AS kind)),
+t AS (SELECT id, country, list_filter(string_split_regex(lower(name || ' ' || category_primary || ' ' || category_root), '[^a-z0-9]+'), lambda x: x <> '') AS words FROM places_v WHERE coalesce(operating_status, 'open') NOT IN ('closed', 'permanently_closed') AND name IS NOT NULL)
+SELECT query_id, id FROM a JOIN t ON t.country = a.n_name WHERE len(list_filter(words, lambda x: starts_with(x, segment[1:5]))) > 0 AND (kind = '' OR len(list_filter(words, lambda x: starts_with(x, kind[1:5]))) > 0)""")
+def _(spark, d):
+    return S.search_hits(places(spark, d), asked(spark, d)).select("query_id", "id")
+
+
+BOXES = "SELECT s_suppkey AS box_id, (s_suppkey * 37) % 360 - 180.0 AS x0, (s_suppkey * 53) % 180 - 90.0 AS y0, (s_suppkey * 37) % 360 - 180.0 + CAST(s_suppkey % 7 AS DOUBLE) * (s_suppkey % 5) AS x1, (s_suppkey * 53) % 180 - 90.0 + CAST(s_suppkey % 11 AS DOUBLE) AS y1 FROM supplier"
+
+
+@query("c17_country_boxes", f"SELECT b.box_id, p.id FROM places_v p JOIN ({BOXES}) b ON p.lon BETWEEN b.x0 AND b.x1 AND p.lat BETWEEN b.y0 AND b.y1")
+def _(spark, d):
+    table(spark, d, "supplier").createOrReplaceTempView("supplier")
+    boxes = spark.sql(BOXES).select("box_id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return P.within_boxes(places(spark, d), boxes).select("box_id", "id")
+
+
+@query("c15_facet_levels", r"""WITH a AS (SELECT lower(c_mktsegment) || ' in ' || n_name AS query_id, lower(c_mktsegment) AS segment, n_name FROM (SELECT DISTINCT c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)),
+m AS (SELECT a.query_id, p.category_root, p.category_primary FROM a JOIN places_v p ON p.country = a.n_name WHERE coalesce(operating_status, 'open') NOT IN ('closed', 'permanently_closed') AND contains(lower(name || ' ' || category_primary), segment[1:5]))
+SELECT query_id, category_root, category_primary, count(*) AS n FROM m GROUP BY GROUPING SETS ((query_id), (query_id, category_root), (query_id, category_root, category_primary))""")
+def _(spark, d):
+    hits = S.search_hits(places(spark, d), asked(spark, d).where(~F.col("query_id").rlike(" (store|manufacturing|delta) in ")))
+    return S.facet_levels(hits.withColumns({"category_root": F.get("hierarchy", F.lit(0))}), ("category_root", "category_primary"))

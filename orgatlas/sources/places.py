@@ -28,6 +28,29 @@ def within_box(places: DataFrame, box: tuple[float, float, float, float]) -> Dat
     return places.where((F.col("bbox.xmin") > x0 - MARGIN) & (F.col("bbox.xmax") < x1 + MARGIN) & (F.col("bbox.ymin") > y0 - MARGIN) & (F.col("bbox.ymax") < y1 + MARGIN))
 
 
+#: Powers of two of degrees that a grid's cells may be wide.
+LEAST_CELL, MOST_CELL = -6, 9
+
+
+def within_boxes(points: DataFrame, boxes: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
+    """Every point with every box (box_id, x0, y0, x1, y1) that it lies in, borders included.
+
+    A box takes the grid whose cells are no narrower than itself, and so touches at most four of them; a point looks into its one cell of every grid that boxes use. They meet by
+    equality, the exact test follows. Rows with a missing coordinate are in no box; a box with crossed bounds holds nothing.
+    """
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    level = F.greatest(F.lit(LEAST_CELL), F.least(F.lit(MOST_CELL), F.ceil(F.log2(F.greatest(side, F.lit(2.0**LEAST_CELL))))))
+    told = boxes.where("x0 <= x1 and y0 <= y1").select("box_id", "x0", "y0", "x1", "y1", level.cast("int").alias("_level"))
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    tiles = told.withColumn("_cx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("_cy", F.explode(F.sequence(cell("y0"), cell("y1"))))
+    used = [r[0] for r in told.select("_level").distinct().collect()]  # at most as many as there are grids
+    if not used:
+        used = [LEAST_CELL]
+    placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_level", F.explode(F.array(*map(F.lit, sorted(used))))).withColumn("_cx", cell(x)).withColumn("_cy", cell(y))
+    met = placed.join(tiles, ["_level", "_cx", "_cy"]).where(F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1")))
+    return met.select(*points.columns, "box_id")
+
+
 def flatten(places: DataFrame) -> DataFrame:
     """One row per place with the first website, phone, e-mail and address."""
     address = F.get("addresses", F.lit(0))
