@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,13 +95,54 @@ SIGNATURES = [
 MOST_EVIDENCE = 80
 
 
+def branches(pattern: str) -> list[str]:
+    """The alternatives of a pattern, outside of its groups and classes."""
+    out, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            out.append(pattern[start:i])
+            start = i + 1
+        i += 2 if c == "\\" else 1
+    return [*out, pattern[start:]]
+
+
+def required(branch: str) -> str:
+    """The longest text that every match of an alternative has in it ('' if none is sure)."""
+    runs, run, i = [], "", 0
+    while i < len(branch):
+        c, step = branch[i], 1
+        if c == "\\" and not branch[i + 1].isalnum():
+            run, step = run + branch[i + 1], 2
+        elif c in "([":
+            close, step = {"(": ")", "[": "]"}[c], 1
+            while branch[i + step] != close:
+                step += 2 if branch[i + step] == "\\" else 1
+            step, run = step + 1, runs.append(run) or ""
+        elif c in "?*{":  # what stands before may be missing
+            step, run = (branch.index("}", i) - i + 1 if c == "{" else 1), runs.append(run[:-1]) or ""
+        elif c in "+.^$\\":
+            step, run = (2 if c == "\\" else 1), runs.append(run) or ""
+        else:
+            run += c
+        i += step
+    return max([*runs, run], key=len)
+
+
 def detect_tech(pages: DataFrame, signatures: list[tuple[str, str, str]] = SIGNATURES, headers: str | None = None, most_chars: int | None = None) -> DataFrame:
-    """(page_id, name, category, evidence): signatures that match the lower-cased headers and HTML of a page; with ``most_chars`` only so much of the HTML."""
+    """(page_id, name, category, evidence): signatures that match the lower-cased headers and HTML of a page; with ``most_chars`` only so much of the HTML.
+
+    A pattern runs only over pages that hold a text which one of its alternatives requires; those texts are looked for in the bytes of the page as they are.
+    """
     hay = F.lower(F.concat(F.coalesce(headers, F.lit("")) if headers else F.lit(""), F.lit("\n"), F.left("html", F.lit(most_chars)) if most_chars else F.col("html")))
     rows = pages.where(F.length("html") > 0).select("page_id", hay.alias("hay"))
 
     def one(name: str, category: str, pattern: str):
         low = pattern.lower()
-        return F.when(F.col("hay").rlike(low), F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"), F.left(F.regexp_substr("hay", F.lit(low)), F.lit(MOST_EVIDENCE)).alias("evidence")))
+        texts = [required(b) for b in branches(low)]
+        may = functools.reduce(operator.or_, [F.contains("hay", F.lit(t)) for t in texts]) if all(texts) else F.lit(True)
+        found = F.when(may, F.regexp_substr("hay", F.lit(low)))
+        return F.when(found.isNotNull(), F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"), F.left(found, F.lit(MOST_EVIDENCE)).alias("evidence")))
 
     return rows.select("page_id", F.inline(F.array_compact(F.array(*[one(*s) for s in signatures]))))

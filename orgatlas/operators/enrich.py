@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orgatlas.functions import text as T
@@ -137,6 +137,65 @@ def regions(companies: DataFrame) -> DataFrame:
     return companies.withColumn("regions", F.array_distinct(F.array_compact(F.array(by_ending, *hints))))
 
 
+#: Numbering plans of some regions. Region, calling code, what a national number begins with, its fewest and most digits, and its kind.
+NUMBER_PLANS = [
+    ("US", "1", "2", 10, 10, "fixed or mobile"), ("US", "1", "3", 10, 10, "fixed or mobile"), ("US", "1", "4", 10, 10, "fixed or mobile"), ("US", "1", "5", 10, 10, "fixed or mobile"), ("US", "1", "6", 10, 10, "fixed or mobile"),
+    ("US", "1", "7", 10, 10, "fixed or mobile"), ("US", "1", "8", 10, 10, "fixed or mobile"), ("US", "1", "9", 10, 10, "fixed or mobile"), ("US", "1", "800", 10, 10, "toll free"), ("US", "1", "888", 10, 10, "toll free"),
+    ("US", "1", "877", 10, 10, "toll free"), ("US", "1", "866", 10, 10, "toll free"), ("US", "1", "900", 10, 10, "premium rate"),
+    ("GB", "44", "1", 9, 10, "fixed"), ("GB", "44", "2", 10, 10, "fixed"), ("GB", "44", "3", 10, 10, "shared"), ("GB", "44", "7", 10, 10, "mobile"), ("GB", "44", "70", 10, 10, "personal"), ("GB", "44", "76", 10, 10, "pager"),
+    ("GB", "44", "7624", 10, 10, "mobile"), ("GB", "44", "800", 9, 10, "toll free"), ("GB", "44", "808", 10, 10, "toll free"), ("GB", "44", "84", 10, 10, "shared"), ("GB", "44", "9", 10, 10, "premium rate"),
+    ("PK", "92", "3", 10, 10, "mobile"), ("PK", "92", "21", 10, 10, "fixed"), ("PK", "92", "42", 10, 10, "fixed"), ("PK", "92", "51", 9, 9, "fixed"), ("PK", "92", "4", 9, 10, "fixed"), ("PK", "92", "5", 9, 9, "fixed"), ("PK", "92", "800", 8, 8, "toll free"),
+    ("IN", "91", "6", 10, 10, "mobile"), ("IN", "91", "7", 10, 10, "mobile"), ("IN", "91", "8", 10, 10, "mobile"), ("IN", "91", "9", 10, 10, "mobile"), ("IN", "91", "11", 10, 10, "fixed"), ("IN", "91", "22", 10, 10, "fixed"),
+    ("IN", "91", "33", 10, 10, "fixed"), ("IN", "91", "44", 10, 10, "fixed"), ("IN", "91", "1800", 10, 13, "toll free"),
+    ("DE", "49", "15", 11, 11, "mobile"), ("DE", "49", "16", 10, 11, "mobile"), ("DE", "49", "17", 10, 11, "mobile"), ("DE", "49", "30", 5, 11, "fixed"), ("DE", "49", "40", 5, 11, "fixed"), ("DE", "49", "69", 5, 11, "fixed"), ("DE", "49", "89", 5, 11, "fixed"),
+    ("DE", "49", "800", 10, 12, "toll free"), ("DE", "49", "900", 10, 10, "premium rate"),
+    ("FR", "33", "1", 9, 9, "fixed"), ("FR", "33", "2", 9, 9, "fixed"), ("FR", "33", "3", 9, 9, "fixed"), ("FR", "33", "4", 9, 9, "fixed"), ("FR", "33", "5", 9, 9, "fixed"), ("FR", "33", "6", 9, 9, "mobile"), ("FR", "33", "7", 9, 9, "mobile"), ("FR", "33", "80", 9, 9, "toll free"),
+    ("AE", "971", "5", 9, 9, "mobile"), ("AE", "971", "2", 8, 8, "fixed"), ("AE", "971", "3", 8, 8, "fixed"), ("AE", "971", "4", 8, 8, "fixed"), ("AE", "971", "6", 8, 8, "fixed"), ("AE", "971", "7", 8, 8, "fixed"), ("AE", "971", "9", 8, 8, "fixed"), ("AE", "971", "800", 5, 12, "toll free"),
+    ("SG", "65", "3", 8, 8, "voip"), ("SG", "65", "6", 8, 8, "fixed"), ("SG", "65", "8", 8, 8, "mobile"), ("SG", "65", "9", 8, 8, "mobile"), ("SG", "65", "800", 10, 10, "toll free"), ("SG", "65", "1800", 11, 11, "toll free"),
+    ("AU", "61", "2", 9, 9, "fixed"), ("AU", "61", "3", 9, 9, "fixed"), ("AU", "61", "4", 9, 9, "mobile"), ("AU", "61", "7", 9, 9, "fixed"), ("AU", "61", "8", 9, 9, "fixed"), ("AU", "61", "13", 6, 10, "shared"), ("AU", "61", "1800", 10, 10, "toll free"),
+    ("ES", "34", "6", 9, 9, "mobile"), ("ES", "34", "7", 9, 9, "mobile"), ("ES", "34", "8", 9, 9, "fixed"), ("ES", "34", "9", 9, 9, "fixed"), ("ES", "34", "80", 9, 9, "shared"), ("ES", "34", "800", 9, 9, "toll free"), ("ES", "34", "900", 9, 9, "toll free"),
+]
+PLAN_COLUMNS = "region string, code string, prefix string, low int, high int, kind string"
+
+
+def number_plans(spark: SparkSession, plans: list[tuple] = NUMBER_PLANS) -> DataFrame:
+    return spark.createDataFrame(plans, PLAN_COLUMNS)
+
+
+def planned_numbers(numbers: DataFrame, plans: DataFrame, number: str = "whole", region: str = "region") -> DataFrame:
+    """``numbers`` with ``valid`` and ``kind`` by the plan of their region: of all plan entries that a number (digits with the calling code) begins with, the longest decides, by its lengths.
+
+    The entries are a prefix tree laid out as rows: a number meets them with each of its own beginnings, by equality. Regions without a plan, and numbers that no entry begins, are not valid.
+    """
+    tree = plans.select(F.col("region").alias("_region"), F.concat("code", "prefix").alias("_start"), (F.col("low") + F.length("code")).alias("_low"), (F.col("high") + F.length("code")).alias("_high"), F.col("kind").alias("_kind"))
+    longest = plans.agg(F.max(F.length(F.concat("code", "prefix")))).first()[0] or 0
+    starts = numbers.select(region, number).where(F.col(region).isNotNull() & (F.length(number) > 0)).distinct()
+    starts = starts.withColumn("_start", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length(number), F.lit(longest))), lambda n: F.left(F.col(number), n)))) if longest else starts.withColumn("_start", F.lit(""))
+    met = starts.join(tree, (starts["_start"] == tree["_start"]) & (starts[region] == tree["_region"])).select(region, number, tree["_start"], "_low", "_high", "_kind")
+    best = met.groupBy(region, number).agg(F.max_by(F.struct("_low", "_high", "_kind"), F.length("_start")).alias("_p"))
+    fits = F.coalesce(F.length(number).between(F.col("_p._low"), F.col("_p._high")), F.lit(False))
+    return numbers.join(best, [region, number], "left").withColumns({"valid": fits, "kind": F.when(fits, F.col("_p._kind"))}).drop("_p")
+
+
+def phone_numbers(phones: DataFrame, company_regions: DataFrame, plans: DataFrame, most: int = 15) -> DataFrame:
+    """``phone_table`` by numbering plans: (company_id, place, raw, e164, valid, region, kind). A number without a calling code is tried in the company's regions in their order,
+    one with a code in the regions that the code belongs to as well; the first region whose plan has it is taken."""
+    codes = plans.select("region", "code").distinct()
+    number = F.regexp_replace("raw", r"\D", "")
+    plus = F.col("raw").startswith("+") | F.col("raw").startswith("00")
+    rows = phones.withColumns({"digits": F.regexp_replace(number, "^0+", ""), "plus": plus})
+    own = rows.join(company_regions.select("company_id", F.posexplode("regions").alias("try", "region")), "company_id").join(F.broadcast(codes), "region")  # one row per region and code
+    own = own.withColumn("whole", F.when(F.col("plus"), F.col("digits")).otherwise(F.concat("code", "digits")))
+    abroad = rows.where("plus").withColumn("code", F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.left("digits", n)))).join(F.broadcast(codes), "code").withColumns({"try": F.lit(1_000), "whole": F.col("digits")})
+    columns = ["company_id", "raw", "ord", "try", "region", "whole"]
+    tried = planned_numbers(own.select(*columns).unionByName(abroad.select(*columns)), plans)
+    best = tried.groupBy("company_id", "raw", "ord").agg(F.min_by(F.struct("whole", "valid", "region", "kind"), F.struct(~F.col("valid"), F.col("try"), F.col("region"))).alias("b"))
+    found = phones.join(best, ["company_id", "raw", "ord"], "left").withColumn("valid", F.coalesce("b.valid", F.lit(False)))
+    picked = found.select("company_id", "raw", "ord", F.when(F.col("valid"), F.concat(F.lit("+"), "b.whole")).alias("e164"), "valid", F.when(F.col("valid"), F.col("b.region")).alias("region"), F.col("b.kind").alias("kind"))
+    once = picked.withColumn("n", F.row_number().over(Window.partitionBy("company_id", F.coalesce("e164", "raw")).orderBy("ord"))).where("n = 1").drop("n")
+    return once.withColumn("place", F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("valid"), "ord"))).where(F.col("place") <= most)
+
+
 def phone_table(phones: DataFrame, company_regions: DataFrame, calling_codes: DataFrame, most: int = 15) -> DataFrame:
     """(company_id, place, raw, e164, valid, region): numbers in international form where a region gives one.
 

@@ -146,6 +146,27 @@ def _(spark, d):
     return technology.detect_tech(before(spark, d, {0: '<iframe src="https://Player.vimeo.com/1">', 1: '<link href="//fonts.googleapis.com/css">', 2: "see calendly.com/#"}, 4))
 
 
+#: What a page holds for the signatures whose first alternative is no plain text.
+SHOWN = {"BigCommerce": "cdn11.bigcommerce.com", "Vue.js": "data-v-0a1b2c3d", "Svelte": 'class="a svelte-1x2y"', "jQuery": "jquery-3.7.1.js", "GSAP": "gsap.min.js", "Bootstrap": "bootstrap.min.css", "Meta Pixel": "connect.facebook.net/en_US/fbevents.js"}
+
+
+def shown(name: str, pattern: str) -> str:
+    return SHOWN.get(name) or technology.branches(pattern)[0].replace("\\", "")
+
+
+EACH = [(k, *signature, shown(signature[0], signature[2])) for k, signature in enumerate(technology.SIGNATURES)]
+EACH_VALUES = ", ".join("({}, '{}', '{}', '{}', '{}')".format(k, *(str(x).replace("'", "''") for x in rest)) for k, *rest in EACH)
+
+
+@query("x12_each_signature", f"""WITH s AS (SELECT * FROM (VALUES {EACH_VALUES}) t(k, name, category, pattern, shown)),
+h AS (SELECT page_id, lower(chr(10) || shown || html) AS hay FROM pages JOIN s ON page_id % {len(EACH)} = k)
+SELECT page_id, name, category, left(regexp_extract(hay, lower(pattern)), 80) AS evidence FROM h, s WHERE regexp_matches(hay, lower(pattern))""")
+def _(spark, d):
+    # every page shows one of the signatures, in turn, before its own content
+    text = F.get(F.array(*[F.lit(e[-1]) for e in EACH]), (F.col("page_id") % len(EACH)).cast("int"))
+    return technology.detect_tech(texts(spark, d, "pages").withColumn("html", F.concat(text, "html")))
+
+
 PATHS = ("/about", "/our-services/x", "/team/leadership", "/a-very-long-slug-about-company-technology", "/careers/", "/x", "/case-study/one", "/")
 LABELS = ("Contact our offices", "", "Meet the people who lead every one of our many companies", "Platform", "Home", "Our work", "Jobs", "News")
 CRAFTED = """SELECT page_id, 'https://h' || page_id % 9 || '.example.com' || (['/about', '/our-services/x', '/team/leadership', '/a-very-long-slug-about-company-technology', '/careers/', '/x', '/case-study/one', '/'])[page_id % 8 + 1] AS link,

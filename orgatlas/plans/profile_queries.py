@@ -154,6 +154,21 @@ def _(spark, d):
     return E.phone_table(phones, where, codes).select("company_id", F.col("place").cast("long").alias("place"), "raw", "e164", "valid")
 
 
+PLANNED = ", ".join(f"('{r}', '{c}{p}', {low + len(c)}, {high + len(c)}, '{kind}')" for r, c, p, low, high, kind in E.NUMBER_PLANS)
+
+
+@query("a12_numbering_plans", f"""WITH t AS (SELECT * FROM (VALUES {PLANNED}) v(region, start, low, high, kind)),
+n AS (SELECT c_custkey AS id, (['US', 'GB', 'PK', 'IN', 'DE', 'FR', 'AE', 'SG', 'AU', 'ES', 'XX'])[c_custkey % 11 + 1] AS region, (['1', '44', '92', '91', '49', '33', '971', '65', '61', '34', '999'])[c_custkey % 11 + 1] || CAST((c_custkey * 7919) % 1000 AS VARCHAR) || substr('2345678901', 1, CAST(c_custkey % 7 + 3 AS INTEGER)) AS whole FROM customer),
+b AS (SELECT id, t.* FROM n JOIN t ON t.region = n.region AND starts_with(whole, start) QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(start) DESC) = 1)
+SELECT n.id, n.whole, coalesce(len(whole) BETWEEN low AND high, false) AS valid, CASE WHEN len(whole) BETWEEN low AND high THEN kind END AS kind FROM n LEFT JOIN b USING (id)""")
+def _(spark, d):
+    k = F.col("c_custkey")
+    pick = lambda *values: F.get(F.array(*map(F.lit, values)), (k % 11).cast("int"))
+    whole = F.concat(pick("1", "44", "92", "91", "49", "33", "971", "65", "61", "34", "999"), (k * 7919 % 1000).cast("string"), F.left(F.lit("2345678901"), (k % 7 + 3).cast("int")))
+    numbers = table(spark, d, "customer").select(k.alias("id"), pick("US", "GB", "PK", "IN", "DE", "FR", "AE", "SG", "AU", "ES", "XX").alias("region"), whole.alias("whole"))
+    return E.planned_numbers(numbers, E.number_plans(spark)).select("id", "whole", "valid", "kind")
+
+
 @query("a13_regions", """WITH c AS (SELECT s_suppkey, 'x.' || (['pk', 'de', 'com'])[s_suppkey % 3 + 1] AS domain, (['Lahore, Pakistan', 'Offices in London and Dubai', 'Austin, TX 78701', 'Nowhere'])[s_suppkey % 4 + 1] AS location_text FROM supplier)
 SELECT s_suppkey, array_to_string(list_filter([CASE s_suppkey % 3 WHEN 0 THEN 'PK' WHEN 1 THEN 'DE' END, CASE s_suppkey % 4 WHEN 0 THEN CASE WHEN s_suppkey % 3 <> 0 THEN 'PK' END WHEN 1 THEN 'GB' WHEN 2 THEN 'US' END, CASE s_suppkey % 4 WHEN 1 THEN 'AE' END], lambda x: x IS NOT NULL), ',') AS regions FROM c""")
 def _(spark, d):

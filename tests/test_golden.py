@@ -245,3 +245,56 @@ def test_register_candidates_keep_the_best_match(spark):
     names = {r[0]: r[1] for r in record}
     hit = [any(difflib.SequenceMatcher(None, n, names[r]).ratio() == best[i] for c, r in found if c == i) for i, n, _ in company]
     assert sum(hit) >= 0.9 * len(hit)
+
+
+def test_phone_numbers_by_numbering_plan(spark):
+    """Well-known numbers of ten regions, written as people write them."""
+    good = [("US", "(212) 736-5000", "+12127365000"), ("GB", "020 7930 4832", "+442079304832"), ("PK", "0300 1234567", "+923001234567"), ("IN", "098200 12345", "+919820012345"), ("DE", "030 227 32152", "+493022732152"),
+            ("FR", "01 40 20 50 50", "+33140205050"), ("AE", "04 366 8888", "+97143668888"), ("SG", "6336 9433", "+6563369433"), ("AU", "(02) 9250 7111", "+61292507111"), ("ES", "913 30 28 00", "+34913302800")]
+    bad = [("US", "736-5000"), ("US", "112 736 5000"), ("GB", "020 7930 48"), ("PK", "0300 12345"), ("FR", "00 40 20 50"), ("SG", "1336 9433"), ("AE", "04 366 88888"), ("ZZ", "12345678")]
+    rows = [(i, raw, 0) for i, (_, raw, _) in enumerate(good)] + [(100 + i, raw, 0) for i, (_, raw) in enumerate(bad)] + [(300, "+33 6 12 34 56 78", 0), (300, "0033612345678", 1), (300, "+999 12345", 2), (300, "020 7930 4832", 3)]
+    where = [(i, [r]) for i, (r, _, _) in enumerate(good)] + [(100 + i, [r]) for i, (r, _) in enumerate(bad)] + [(300, ["PK", "GB"])]
+    phones, regions = spark.createDataFrame(rows, "company_id long, raw string, ord int"), spark.createDataFrame(where, "company_id long, regions array<string>")
+    got = {}
+    for r in E.phone_numbers(phones, regions, E.number_plans(spark)).orderBy("place").collect():
+        got.setdefault(r.company_id, []).append((r.e164, r.valid, r.region, r.kind))
+    assert [got[i][0][:3] for i in range(len(good))] == [(e164, True, region) for region, _, e164 in good]
+    assert all(got[100 + i] == [(None, False, None, None)] for i in range(len(bad)))
+    assert got[300] == [("+33612345678", True, "FR", "mobile"), ("+442079304832", True, "GB", "fixed"), (None, False, None, None)]
+
+
+def test_every_signature_is_found_and_needs_its_texts(spark):
+    from orgatlas.functions import technology
+    from orgatlas.plans.page_queries import EACH
+
+    for _, name, _, pattern, text in EACH:
+        assert __import__("re").search(pattern, text, 2) and any(technology.required(b) in text.lower() for b in technology.branches(pattern.lower())), name
+    assert technology.required(r"react-dom(\.production)?(\.min)?\.js") == "react-dom" and technology.required(r"aw-\d{6,}") == "aw-" and technology.branches(r"a(b|c)|[|]d|e\|f") == ["a(b|c)", "[|]d", r"e\|f"]
+    pages = spark.createDataFrame([(k, f"<p>{text}</p>") for k, *_, text in EACH], "page_id long, html string")
+    found = {(r.page_id, r.name) for r in technology.detect_tech(pages).collect()}
+    assert {(k, name) for k, name, *_ in EACH} <= found
+
+
+def test_search_hits_are_those_of_each_search(spark):
+    """Against one filter per search, with related words, long alternatives and terms inside words."""
+    names = ["Soft Works", "Microsoft Hub", "Machinery & Sons", "the machine-shop", "IT Company", "Information_Technology Ltd", "Knitwear House", "Texture", "Éclair textil", "a x machi", None, ""]
+    rows = [(i, n, ("software_house", "knitwear_shop", None, "builder")[i % 4], (["services", "it_company"], [], ["a", "real_estate_developer"])[i % 3], ("open", "closed", None)[i % 3 if i < 9 else 0], ("PK", "pk", "US")[i % 3]) for i, n in enumerate(names * 3)]
+    table = spark.createDataFrame(rows, "id long, name string, category_primary string, hierarchy array<string>, operating_status string, country string")
+    asked = [("a", "Software", "pk"), ("b", "software", "PK"), ("c", "textile machinery", "us"), ("d", "construction", "us"), ("e", "it", "pk"), ("f", "the companies", "pk"), ("g", "machinery machinery", "us"), ("h", None, "pk"), ("i", "garments", None)]
+    got = {(r.query_id, r.id) for r in S.search_hits(table, spark.createDataFrame(asked, "query_id string, industry string, country string")).collect()}
+    want = {(q, r.id) for q, text, country in asked if country and S.parse_industry(text) for r in S.term_filter(S.valid_places(table, country), S.parse_industry(text)).collect()}
+    assert got == want and {q for q, _ in want} >= {"a", "b", "d", "e"}
+
+
+def test_boxes_hold_what_lies_in_them(spark):
+    import random
+
+    rng = random.Random(5)
+    points = [(i, rng.uniform(-180, 180), rng.uniform(-90, 90)) for i in range(400)] + [(900, None, 1.0), (901, -180.0, -90.0), (902, 0.0, 0.0)]
+    boxes = [(i, x := rng.uniform(-180, 150), y := rng.uniform(-90, 60), x + 10 ** rng.uniform(-3, 2.4), y + 10 ** rng.uniform(-3, 2)) for i in range(60)] + [(70, -180.0, -90.0, 180.0, 90.0), (71, 0.0, 0.0, 0.0, 0.0), (72, 5.0, 5.0, 4.0, 6.0)]
+    found = P.within_boxes(spark.createDataFrame(points, "id long, lon double, lat double"), spark.createDataFrame(boxes, "box_id long, x0 double, y0 double, x1 double, y1 double"))
+    want = {(i, b) for i, x, y in points if x is not None for b, x0, y0, x1, y1 in boxes if x0 <= x <= x1 and y0 <= y <= y1}
+    rows = [(r.id, r.box_id) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
