@@ -3,13 +3,16 @@
 A page is cut at block-level tags into flat text blocks. Each has its number of words, its link density
 (share of words inside anchors), the same two of the block before and after, and whether it is a heading.
 
-Markup that says what a part of the page is settles its blocks: article and main elements are the article; nav, footer,
-aside, form, dialog and header elements are not, nor are elements whose class, id or role names an advert, menu,
-notice, sidebar or comments. A name counts only if it says nothing else: each of its words is such a word or one of
-layout, so ``social-links`` is a name of this kind and ``social-policy`` is not. A name outside any content container may only speak of the page's
+Markup and names are features beside these: whether the block stands in the article (article and main elements), in an element that is none (nav, footer, aside,
+form, dialog, header), or in neither; how plainly a class, id or role around it names an advert, menu, notice, sidebar or comments; and how many words, of them in links, the
+element so named holds in all. Some such names leave no doubt (``comments``, ``ad-slot``, ``cookie-banner``), others are ordinary words of a section too (``discussion``, ``legal``,
+``related``): inside an article the latter count as boilerplate only where little text or mostly links stand in them. A name counts only if it says nothing else: each of its words is such a word or
+one of layout, so ``social-links`` is a name of this kind and ``social-policy`` is not; what a heading is called does not count. A name outside any content container may only speak of the page's
 layout (``content with-sidebar``): an article or main element in it is content, unless the page has content outside such wrappers. A main element is
-content by any name. Every other block is the decision tree's to judge. It is grown from the small table below, blocks of real pages
-with their labels, whose markup was taken away.
+content by any name.
+
+Every block is the decision tree's to judge. It is grown from two small tables: shapes of blocks of real pages whose markup was taken away, with their labels; and
+what a place and a name make of blocks of any shape.
 
 Defined results: null, empty and text-free pages give an empty string; markup left open ends with the page, and stray quotes in a
 tag end with it; repeated rows give repeated results; other columns are ignored; an empty table gives an empty table.
@@ -37,8 +40,10 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 SKIPPED_TAGS = ("script", "style", "noscript", "template", "svg", "iframe", "object", "head", "textarea", "select", "math", "canvas", "audio", "video")
 CONTENT_TAGS = frozenset(("article", "main"))
 BOILERPLATE_TAGS = frozenset(("nav", "footer", "aside", "form", "dialog", "menu", "button", "fieldset"))
-#: Kind of a content container inside an element that is boilerplate by name only.
-LIFTED = 2
+#: Places: in the article, in an element that is none, in neither; and in a content container inside an element that is boilerplate by name only.
+ARTICLE, OUTSIDE, UNKNOWN, LIFTED = 1, -1, 0, 2
+#: How plainly a name speaks of boilerplate.
+PLAIN, PERHAPS = 2, 1
 HEADING_TAGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Words of a class, id or role that name what stands beside an article.
 BOILERPLATE_WORDS = {
@@ -54,8 +59,13 @@ LAYOUT_WORDS = {
     "icons", "id", "inline", "inner", "item", "items", "left", "links", "list", "lower", "main", "mobile", "module", "msg", "outer", "page", "panel", "placeholder", "post", "posts", "primary",
     "right", "row", "secondary", "section", "site", "slot", "space", "stories", "articles", "sticky", "text", "thread", "title", "top", "unit", "upper", "wrap", "wrapper", "zone", "leaderboard",
 }
+#: Of these, the words that are ordinary names of sections as well.
+SECTION_WORDS = {
+    "discussion", "legal", "notice", "notices", "related", "side", "aside", "overlay", "search", "share", "sharing", "banner", "reply", "respond", "social", "login", "alert", "notification",
+    "copyright", "disclaimer", "teaser", "teasers", "recommended", "recommendations", "foot", "skip", "toolbar", "subscription", "dialog", "complementary", "promotion", "promoted", "signup", "consent",
+}
 #: Levels of the tree.
-DEPTH = 5
+DEPTH = 9
 CONTENT_ROLES = frozenset(("main", "article"))
 #: Elements whose class says nothing about a part of the page.
 WHOLE_PAGE = frozenset(("html", "body"))
@@ -88,6 +98,15 @@ LABELLED = (
     (5, 0.0, 2, 0.0, 3, 0.0, 0, 0), (7, 0.4, 4, 0.5, 3, 1.0, 0, 0), (12, 1.0, 5, 1.0, 40, 0.0, 0, 0), (30, 0.95, 9, 1.0, 60, 0.0, 0, 0), (16, 0.7, 60, 0.0, 70, 0.0, 0, 0), (90, 0.8, 30, 0.0, 40, 0.0, 0, 0),
     (70, 0.0, 60, 0.0, 0, 0.0, 0, 1), (35, 0.0, 90, 0.0, 0, 0.0, 0, 1), (120, 0.05, 30, 0.0, 0, 0.0, 0, 1), (55, 0.1, 9, 0.0, 0, 0.0, 0, 1), (40, 0.0, 50, 0.0, 1, 1.0, 0, 1), (28, 0.0, 70, 0.0, 2, 1.0, 0, 1),
 )
+#: Shapes that blocks have anywhere: (words, link density, words before, density before, words after, density after, heading).
+SHAPES = ((1, 0.0, 40, 0.0, 60, 0.0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0), (6, 0.0, 20, 0.0, 70, 0.0, 1), (9, 0.0, 3, 1.0, 0, 0.0, 0), (14, 0.6, 60, 0.0, 9, 0.0, 0), (30, 0.0, 9, 0.0, 30, 0.0, 0), (75, 0.05, 0, 0.0, 45, 0.0, 0), (180, 0.0, 12, 0.0, 2, 1.0, 0))
+#: The labelled table of places: (place, name, words in the named element, link density there, main text?). A block of any shape has the label.
+PLACES = (
+    (ARTICLE, 0, 0, 0.0, 1), (OUTSIDE, 0, 0, 0.0, 0), (OUTSIDE, PERHAPS, 60, 0.0, 0), (OUTSIDE, PLAIN, 60, 0.0, 0), (ARTICLE, PLAIN, 4, 0.0, 0), (ARTICLE, PLAIN, 30, 0.5, 0), (ARTICLE, PLAIN, 90, 0.0, 0), (ARTICLE, PLAIN, 400, 0.1, 0),
+    (UNKNOWN, PLAIN, 5, 1.0, 0), (UNKNOWN, PLAIN, 70, 0.0, 0), (UNKNOWN, PLAIN, 300, 0.1, 0), (UNKNOWN, PERHAPS, 3, 0.0, 0), (UNKNOWN, PERHAPS, 20, 1.0, 0), (UNKNOWN, PERHAPS, 60, 0.0, 0), (UNKNOWN, PERHAPS, 300, 0.0, 0),
+    (ARTICLE, PERHAPS, 1, 0.0, 0), (ARTICLE, PERHAPS, 9, 0.0, 0), (ARTICLE, PERHAPS, 15, 1.0, 0), (ARTICLE, PERHAPS, 18, 0.2, 0), (ARTICLE, PERHAPS, 40, 0.7, 0), (ARTICLE, PERHAPS, 120, 0.9, 0),
+    (ARTICLE, PERHAPS, 26, 0.0, 1), (ARTICLE, PERHAPS, 45, 0.1, 1), (ARTICLE, PERHAPS, 61, 0.0, 1), (ARTICLE, PERHAPS, 90, 0.25, 1), (ARTICLE, PERHAPS, 350, 0.05, 1),
+)
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
@@ -117,7 +136,8 @@ def grow(rows: list[tuple], depth: int = DEPTH) -> tuple | int:
 
 @functools.cache
 def tree() -> tuple | int:
-    return grow(list(LABELLED))
+    shapes = [row[:-1] for row in LABELLED] + list(SHAPES)
+    return grow([(*row[:-1], UNKNOWN, 0, 0, 0.0, row[-1]) for row in LABELLED] + [(*shape, *place) for shape in shapes for place in PLACES])
 
 
 def is_main(features: tuple) -> bool:
@@ -128,39 +148,41 @@ def is_main(features: tuple) -> bool:
 
 
 @functools.lru_cache(10_000)
-def names_boilerplate(name: str) -> bool:
-    """Whether a class, id or role speaks of boilerplate and of nothing but layout besides."""
+def named(name: str) -> int:
+    """How plainly a class, id or role speaks of boilerplate: not at all (0) if it says anything but that and layout besides."""
     words = {w.lower() for w in WORD_CUT.split(name)} - {""}
-    return bool(words & BOILERPLATE_WORDS) and words <= BOILERPLATE_WORDS | LAYOUT_WORDS
-
-
-def container(tag: str, attributes: str, inside: int) -> int:
-    """1 content, -1 boilerplate by name, -2 boilerplate for good, 0 says nothing, for an element inside a container of kind ``inside``."""
-    if tag in BOILERPLATE_TAGS:
-        return -2
-    if tag == "header":
-        return 0 if inside > 0 else -2
-    if tag in WHOLE_PAGE:
+    if not words & BOILERPLATE_WORDS or not words <= BOILERPLATE_WORDS | LAYOUT_WORDS:
         return 0
-    kind = 0
-    if attributes:
-        for name, value in NAMING.findall(attributes):
-            name, value = name.lower(), value.strip("\"' ")
-            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                return -2
-            if name in ("class", "id", "role") and tag != "main" and any(names_boilerplate(v) for v in value.split()):
-                kind = -2 if inside > 0 else -1
-            words = set(value.lower().split())
-            if name == "role" and words & CONTENT_ROLES:
-                kind = kind or 1
-    return kind or int(tag in CONTENT_TAGS)
-
-
-def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, words in links, heading, container) of the flat text blocks of a page."""
-    out: list[tuple[str, int, int, int, int]] = []
-    stack: list[tuple[str, int, int]] = []  # open block elements with the container and heading around them
-    around, heading, links = 0, 0, 0
+    return PLAIN if words & (BOILERPLATE_WORDS - SECTION_WORDS) - {"banner", "banners"} or len(words & BOILERPLATE_WORDS) > 1 and "notice" not in words else PERHAPS
+
+
+def container(tag: str, attributes: str, inside: int) -> tuple[int, int]:
+    """(place, how plainly it is named) that an element inside one of place ``inside`` has by itself; place 0 if it says nothing."""
+    if tag in BOILERPLATE_TAGS or tag == "header" and inside <= 0:
+        return OUTSIDE, 0
+    if tag in WHOLE_PAGE or tag == "header":
+        return UNKNOWN, 0
+    place, name = int(tag in CONTENT_TAGS), 0
+    for key, value in NAMING.findall(attributes) if attributes else ():
+        key, value = key.lower(), value.strip("\"' ")
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
+            return OUTSIDE, 0
+        if key in ("class", "id", "role") and tag != "main" and tag not in HEADING_TAGS:
+            name = max([name, *map(named, value.split())])
+        if key == "role" and set(value.lower().split()) & CONTENT_ROLES:
+            place = ARTICLE
+    return place, name
+
+
+def blocks(page: str) -> list[tuple]:
+    """The flat text blocks of a page: (text, words, words in links, heading, container, place, name, words of the named element, of them in links).
+
+    ``container``: 1 if nothing speaks against the article, -1 if the place or a plain name does, else 0.
+    """
+    out: list[list] = []
+    stack: list[tuple] = []  # open block elements with what was around them
+    parts = [[0, 0]]  # words and words in links of the named elements; the first is none
+    place, name, part, heading, links = UNKNOWN, 0, 0, 0, 0
     texts: list[str] = []
     linked: list[str] = []
 
@@ -169,7 +191,10 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             text = " ".join(entities.unescape("".join(texts)).split())
             if text:
                 in_links = len(entities.unescape(" ".join(linked)).split()) if linked else 0
-                out.append((text, text.count(" ") + 1, in_links, heading, around))
+                words = text.count(" ") + 1
+                parts[part][0] += words
+                parts[part][1] += in_links
+                out.append([text, words, in_links, heading, place, name, part])
             texts.clear()
             linked.clear()
 
@@ -200,41 +225,55 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             texts.append(" ")
         elif tag == "a":
             links = 0 if closing else 1
-        elif tag in BLOCK_TAGS or (not closing and match[3] and container(tag, match[3], around) < 0) or (closing and any(t == tag for t, _, _ in stack[-4:])):
+        elif tag in BLOCK_TAGS or (not closing and match[3] and speaks(container(tag, match[3], place))) or (closing and any(x[0] == tag for x in stack[-4:])):
             flush()
             links = 0
             if closing:
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth][0] == tag:
-                        around, heading = stack[depth][1:]
+                        place, name, part, heading = stack[depth][1:]
                         del stack[depth:]
                         break
             elif tag not in VOID_TAGS:
                 if stack and tag == "p" and stack[-1][0] == "p" or stack and tag == "li" and stack[-1][0] == "li":
-                    _, around, heading = stack.pop()
-                stack.append((tag, around, heading))
-                kind = container(tag, match[3], around)
-                if around == -1:  # by name only
-                    around = {1: LIFTED, -2: -2}.get(kind, around)
-                elif around == LIFTED:
-                    around = kind if kind < 0 else around
-                elif around != -2:
-                    around = kind or around
+                    place, name, part, heading = stack.pop()[1:]
+                stack.append((tag, place, name, part, heading))
+                own, called = container(tag, match[3], place)
+                if place != OUTSIDE:
+                    if own == ARTICLE and place == UNKNOWN and name:  # the name was the wrapper's
+                        place, name, part = LIFTED, 0, 0
+                    elif own == OUTSIDE or own == ARTICLE and place != LIFTED:
+                        place = own
+                    if called and own != LIFTED and not name:
+                        parts.append([0, 0])
+                        part = len(parts) - 1
+                    name = max(name, called)
                 heading = int(tag in HEADING_TAGS) or heading
     flush()
-    lifted = -1 if any(block[4] == 1 for block in out) else 1
-    return [(*block[:4], lifted if block[4] == LIFTED else max(-1, block[4])) for block in out]
+    lifted = OUTSIDE if any(b[4] == ARTICLE for b in out) else ARTICLE
+    found = []
+    for text, words, in_links, head, where, how, index in out:
+        where = lifted if where == LIFTED else where
+        kind = -1 if where == OUTSIDE or how == PLAIN or how and where != ARTICLE else 0 if how else where
+        found.append((text, words, in_links, head, kind, where, how, *(parts[index] if how else (0, 0))))
+    return found
+
+
+def speaks(told: tuple[int, int]) -> bool:
+    """Whether an inline element is a part of its own."""
+    return told[0] == OUTSIDE or told[1] > 0
 
 
 def shape(found: list[tuple], i: int) -> tuple:
-    """Words and link density of a block, of the one before and of the one after, and whether it is a heading."""
+    """Words and link density of a block, of the one before and of the one after, whether it is a heading, its place and name, and words and link density of the named element."""
     around = [found[k] if 0 <= k < len(found) else None for k in (i, i - 1, i + 1)]
-    return *(x for b in around for x in ((b[1], min(1.0, b[2] / b[1])) if b else (0, 0.0))), found[i][3]
+    place, name, words, in_links = found[i][5:]
+    return *(x for b in around for x in ((b[1], min(1.0, b[2] / b[1])) if b else (0, 0.0))), found[i][3], place, name, words, min(1.0, in_links / words) if words else 0.0
 
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    return "\n\n".join(block[0] for i, block in enumerate(found) if block[4] > 0 or (block[4] == 0 and is_main(shape(found, i))))
+    return "\n\n".join(block[0] for i, block in enumerate(found) if is_main(shape(found, i)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,3 +64,23 @@ def test_wrappers_named_after_the_layout():
         assert extraction.main_text(f"<html><body>{page}<footer><article><p>Foot</p></article></footer></body></html>").split("\n\n") == ["Title", "One."]
     for beside in ("<div class='sidebar'><article><p>Related story</p></article></div>", "<nav class='menu'><article><p>Nav</p></article></nav>", "<div class='comments'><aside><article><p>No</p></article></aside></div>"):
         assert extraction.main_text(f"<body><article>{story}</article>{beside}</body>").split("\n\n") == ["Title", "One."]
+
+
+def test_sections_of_an_article_keep_their_text():
+    """Names that are ordinary words of sections, and names of headings, cost no text of an article; without text or full of links they still do."""
+    text = "word " * 60
+    for name in ("discussion", "section-discussion", "legal", "legal-notice", "notice", "related", "side", "overlay", "search", "share", "banner-text", "reply", "social", "login"):
+        page = f"<body><article><h1>Title</h1><p>{text}</p><section class='{name}'><h2 id='{name}'>Part</h2><p>{text}</p></section><h2 id='{name}'>End</h2><p>{text}</p></article></body>"
+        assert extraction.main_text(page).split("\n\n") == ["Title", text.strip(), "Part", text.strip(), "End", text.strip()], name
+    for name in ("related", "share", "social-links", "search-form", "login", "reply"):
+        for inner in ("Short words", "".join(f"<li><a href=x>Other story number {i}</a></li>" for i in range(20))):
+            assert extraction.main_text(f"<article><p>{text}</p><div class='{name}'>{inner}</div></article>") == text.strip(), name
+    for name in ("comments", "ad", "cookie-banner", "newsletter", "sponsored", "sidebar"):
+        assert extraction.main_text(f"<article><p>{text}</p><div class='{name}'><p>{text}</p></div></article>") == text.strip(), name
+    for name in ("notice", "legal", "related"):
+        assert extraction.main_text(f"<article><p>{text}</p></article><div class='{name}'><p>{text}</p></div>") == text.strip(), name
+
+
+def test_every_block_is_judged_by_the_tree(monkeypatch):
+    monkeypatch.setattr(extraction, "is_main", lambda features: False)
+    assert extraction.main_text(PAGE) == ""
