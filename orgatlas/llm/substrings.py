@@ -263,7 +263,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
     anchors = materialize(rows.where("doc_id is not null").mapInArrow(lambda b: _anchors(b, width, phrase), "doc_id long, anchor long, check long, phrase binary"))
     shared = anchors.groupBy("anchor", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor", "check")
-    wanted = anchors.join(shared, ["anchor", "check"], "left_semi").groupBy("doc_id").agg(F.collect_list("phrase").alias("phrases"))
+    wanted = anchors.join(shared, ["anchor", "check"], "left_semi").groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases"))
     dealt = rows.where("doc_id is not null").join(wanted.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "raw", "phrases")
     dealt = dealt.unionByName(rows.where("doc_id is null").select("doc_id", "raw", F.lit(None).cast("array<binary>").alias("phrases")))
     found = materialize(dealt.mapInArrow(lambda b: _locate(b, width, phrase), LOCATED))
@@ -274,13 +274,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE) ->
     copies, firsts = later_copies(segments, same)
     several = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     single = segments.join(salted(firsts, several, ["anchor"], F.col("seg"), "left_semi"), [*same, "doc_id"], "left_semi")
-    spans = single.groupBy("doc_id", "body").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("spans"))
+    spans = single.groupBy("doc_id", "body").agg(F.collect_set(F.struct("anchor", "start", "count")).alias("spans"))
     windows = lines.select("doc_id", "body", "line").join(spans, ["doc_id", "body"]).select("doc_id", "body", "line", "spans")
     windows = materialize(windows.mapInArrow(lambda b: _windows(b, width), "doc_id long, body long, anchor long, start int, window long, check long"))
     covered, _ = later_copies(windows, ["anchor", "window", "check"])
     copies, covered = copies.select("doc_id", "body", "start", "count"), covered.select("doc_id", "body", "start", F.lit(1).alias("count"))
 
-    cuts = copies.unionByName(covered).groupBy("doc_id", "body").agg(F.collect_list(F.struct("start", "count")).alias("cuts"))
+    cuts = copies.unionByName(covered).groupBy("doc_id", "body").agg(F.collect_set(F.struct("start", "count")).alias("cuts"))
     held = lines.select("doc_id", "n_words", "digest", "body", "line").join(cuts, ["doc_id", "body"], "left").select("doc_id", "n_words", "digest", "line", "cuts")
     result = held.mapInArrow(lambda b: _cut(b, width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     rest = found.where("line is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))

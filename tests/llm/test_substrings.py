@@ -77,3 +77,14 @@ def test_the_automata_find_what_is_removed(make_docs, monkeypatch):
         assert removed() == 0
     finally:
         cloudpickle.unregister_pickle_by_value(substrings)
+
+
+def test_many_repeated_rows_cost_no_square(spark, make_docs):
+    """Thousands of rows with one doc_id and one text that an earlier document has as well."""
+    import time
+
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = make_docs([(1, text)] + [(2, text)] * 8_000)
+    start = time.time()
+    counts = substrings.remove_repeats(docs).groupBy("doc_id", "n_removed").count().collect()
+    assert {(r.doc_id, r.n_removed, r["count"]) for r in counts} == {(1, 0, 1), (2, 60, 8_000)} and time.time() - start < 60
