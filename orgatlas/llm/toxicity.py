@@ -222,13 +222,14 @@ def held_out(doc_id):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the bounded sample."""
+    """(text, toxic) of the bounded sample: one text of each chosen doc_id, the least, however many rows have it."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     marked = marked.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("order"))
     chosen = marked.where("toxic = 1").orderBy(order, "doc_id").limit(MOST_TOXIC).unionByName(marked.where("toxic = 0").orderBy(order, "doc_id").limit(MOST_OTHER))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most MOST_TOXIC + MOST_OTHER rows of two numbers
+    found = texts.join(F.broadcast(chosen), "doc_id")  # broadcast: MOST_TOXIC + MOST_OTHER rows of two numbers
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

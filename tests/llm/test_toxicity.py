@@ -83,3 +83,12 @@ def test_held_out_rows_of_the_tables(spark):
     caught = sum(r.predicted for r in rows if r.toxic) / max(1, sum(r.toxic for r in rows))
     wrong = sum(r.predicted for r in rows if not r.toxic)
     assert caught >= 0.8 and wrong <= 0.02 * len(rows)
+
+
+def test_sample_is_bounded_by_ids_not_rows(spark, make_docs):
+    """A labelled doc_id that many rows hold is one training text; rows without doc_id are none."""
+    docs = make_docs([(3, f"text {i}") for i in range(500)] + [(None, "nobody")] + [(6, "other")])
+    labels = spark.createDataFrame([(3, 1, 1), (3, 1, 0), (6, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(docs, labels).collect()
+    assert sorted((r.text, r.toxic) for r in rows if r.text != "other") == ([("text 0", 1)] if any(r.toxic for r in rows) else [])
+    assert len(rows) <= 2
