@@ -56,14 +56,14 @@ def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
 
 
-def bit_places(hashes: np.ndarray) -> list[np.ndarray]:
-    steps = [np.uint64(k * (64 - FILTER_BITS) // (PLACES - 1)) for k in range(PLACES)]
-    return [(hashes >> step) & np.uint64((1 << FILTER_BITS) - 1) for step in steps]
+def bit_places(hashes: np.ndarray, filter_bits: int) -> list[np.ndarray]:
+    steps = [np.uint64(k * (64 - filter_bits) // (PLACES - 1)) for k in range(PLACES)]
+    return [(hashes >> step) & np.uint64((1 << filter_bits) - 1) for step in steps]
 
 
 def passes(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     out = np.ones(len(hashes), dtype=bool)
-    for place in bit_places(hashes):
+    for place in bit_places(hashes, (64 * len(bits)).bit_length() - 1):
         out &= ((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
     return out
 
@@ -77,26 +77,26 @@ def phrase_hashes(lang: str, phrases: list[str]) -> np.ndarray:
     return hashes
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bits(batches: Iterator[pa.RecordBatch], filter_bits: int) -> Iterator[pa.RecordBatch]:
     """Bits that the phrases (lang, phrase) of a table set."""
     for batch in sliced(batches, 100_000):
         by_lang = defaultdict(list)
         for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             by_lang[lang].append(phrase)
         for lang, phrases in by_lang.items():
-            places = np.unique(np.concatenate(bit_places(phrase_hashes(lang, phrases))))
+            places = np.unique(np.concatenate(bit_places(phrase_hashes(lang, phrases), filter_bits)))
             yield pa.RecordBatch.from_arrays([pa.array((places >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (places & np.uint64(63))).view(np.int64))], ["word", "bits"])
 
 
-def bit_filter(phrases: DataFrame) -> np.ndarray:
+def bit_filter(phrases: DataFrame, filter_bits: int) -> np.ndarray:
     """The filter over (lang, phrase) rows: as many bits at any size."""
-    words = phrases.select("lang", "phrase").mapInArrow(_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    words = phrases.select("lang", "phrase").mapInArrow(lambda batches: _bits(batches, filter_bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (filter_bits - 6), dtype=np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[str, bytes]]:
     """(lang, text) in blocks; each text is followed by an end of a piece, and a very long one is cut at such ends only."""
     held: dict[str, list[bytes]] = defaultdict(list)
     size = 0
@@ -104,12 +104,12 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             data = (text or "").encode().lower().translate(ONE_KIND)
             start = 0
-            while len(data) - start > BLOCK_BYTES and (cut := data.find(b".", start + BLOCK_BYTES // 2)) >= 0:
+            while len(data) - start > block_bytes and (cut := data.find(b".", start + block_bytes // 2)) >= 0:
                 yield lang, data[start:cut]
                 start = cut + 1
             held[lang].append(data[start:])
             size += len(data) - start
-            if size > BLOCK_BYTES:
+            if size > block_bytes:
                 yield from ((own, b".".join(texts)) for own, texts in held.items())
                 held, size = defaultdict(list), 0
     yield from ((own, b".".join(texts)) for own, texts in held.items())
@@ -160,9 +160,10 @@ def stripes_of(lang: str, block: bytes, words: int, bits: np.ndarray | None, hot
     )
 
 
-def _stripes(batches: Iterator[pa.RecordBatch], words: int, bits: np.ndarray | None, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for lang, block in blocks(batches):
-        yield from sliced([stripes_of(lang, block, words, bits, hot)], 20_000)
+def _stripes(batches: Iterator[pa.RecordBatch], words: int, bits: np.ndarray | None, hot: np.ndarray, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    for lang, block in blocks(batches, block_bytes):
+        made = stripes_of(lang, block, words, bits, hot)
+        yield from (made.slice(at, 20_000) for at in range(0, made.num_rows, 20_000))
 
 
 def merged(stripes: DataFrame) -> DataFrame:
@@ -173,7 +174,7 @@ def merged(stripes: DataFrame) -> DataFrame:
     return entries.groupBy("lang", "prefix", "shard", "next").agg(F.sum("f").alias("f"))
 
 
-def levels(docs: DataFrame, most_words: int, least: int) -> list[DataFrame]:
+def levels(docs: DataFrame, most_words: int, least: int, block_bytes: int = BLOCK_BYTES, filter_bits: int = FILTER_BITS) -> list[DataFrame]:
     """For each length of prefix, from none: (lang, prefix, next, f) of the phrases with ``least`` occurrences or more, and of the prefixes themselves with next ''."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text <> ''")
     context = docs.sparkSession.sparkContext
@@ -181,13 +182,13 @@ def levels(docs: DataFrame, most_words: int, least: int) -> list[DataFrame]:
     for words in range(most_words):
 
         def count(batches: Iterator[pa.RecordBatch], words: int = words, sent=sent, hot: np.ndarray = hot) -> Iterator[pa.RecordBatch]:
-            return _stripes(batches, words, sent.value if sent else None, hot)
+            return _stripes(batches, words, sent.value if sent else None, hot, block_bytes)
 
         found = materialize(merged(rows.mapInArrow(count, STRIPES)).where((F.col("f") >= least) | (F.col("next") == "")).drop("shard"))
         out.append(found)
         if words + 1 < most_words:
             often = found.where("next <> ''").select("lang", phrase(), "f")
-            sent = context.broadcast(bit_filter(often))
+            sent = context.broadcast(bit_filter(often, filter_bits))
             most = out[0].where("next = ''").agg(F.sum("f")).first()[0] or 0
             share = often.where(F.col("f") * HOT_KEYS >= most).select("lang", "phrase").collect()  # at most HOT_KEYS phrases
             hot = np.array(sorted(int(phrase_hashes(lang, [text])[0]) for lang, text in share), dtype=np.uint64)
@@ -205,12 +206,17 @@ def known(rows: DataFrame, column: str, counts: DataFrame, name: str) -> DataFra
     return looked_up(rows, facts, ["lang", column], "asked", F.col("phrase")).drop("asked")
 
 
-def collocations(docs: DataFrame, most_words: int = 3, least: int = 10, top: int = 2000, subsumed: int = 50) -> DataFrame:
+def exact_score() -> Column:
+    """floor(1000000 * a * a / (l * r)) of whole numbers up to 10**13."""
+    return F.expr("(cast(a as decimal(13,0)) * cast(a as decimal(13,0)) * cast(1000000 as decimal(7,0))) div (cast(l as decimal(13,0)) * cast(r as decimal(13,0)))")
+
+
+def collocations(docs: DataFrame, most_words: int = 3, least: int = 10, top: int = 2000, subsumed: int = 50, block_bytes: int = BLOCK_BYTES, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Each language's first ``top`` phrases of 2 to ``most_words`` words: lang, rank, phrase, a, l, r, n, score.
 
     A phrase with ``least`` occurrences or more is a candidate; one is dropped if a longer candidate around it has ``subsumed`` percent of its occurrences or more.
     """
-    found = levels(docs, most_words, least)
+    found = levels(docs, most_words, least, block_bytes, filter_bits)
     entries = [level.where("next <> ''") for level in found]
     counts, longer = entries[0].select("lang", phrase(), "f"), None
     for level in entries[1:-1]:
@@ -235,8 +241,7 @@ def collocations(docs: DataFrame, most_words: int = 3, least: int = 10, top: int
     cuts = materialize(candidates.select("lang", "phrase", "a", "l", F.inline(F.concat(whole, inner))))
     both = known(known(cuts, "right", counts, "r"), "left", counts, "other")
     both = both.withColumn("l", F.when(F.col("left").isNull(), F.col("l")).otherwise(F.col("other")))
-    score = F.expr("(cast(a as decimal(13,0)) * cast(a as decimal(13,0)) * cast(1000000 as decimal(7,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
-    best = both.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b")).select("lang", "phrase", "a", "b.score", "b.l", "b.r")
+    best = both.withColumn("score", exact_score()).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b")).select("lang", "phrase", "a", "b.score", "b.l", "b.r")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     first = best.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_IN)))
     first = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
@@ -247,7 +252,8 @@ def collocations(docs: DataFrame, most_words: int = 3, least: int = 10, top: int
 
 SQL = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 w AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS words FROM p),
 o AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
 g AS (SELECT lang, unnest([1, 2, 3]) AS size, words, i FROM o),
