@@ -14,9 +14,10 @@ from orgatlas.functions import urls as U
 
 #: Fixed values.
 ROLE_LOCALS = (
-    "info contact hello sales support admin office hr careers jobs marketing press media billing accounts enquiries inquiries team help service business partners privacy legal noreply no-reply webmaster "
-    "acquisitions investors ir finance procurement recruitment talent events community security compliance dpo customercare orders"
-).split()
+    "info", "contact", "hello", "sales", "support", "admin", "office", "hr", "careers", "jobs", "marketing", "press", "media", "billing", "accounts", "enquiries", "inquiries", "team",
+    "help", "service", "business", "partners", "privacy", "legal", "noreply", "no-reply", "webmaster", "acquisitions", "investors", "ir", "finance", "procurement", "recruitment",
+    "talent", "events", "community", "security", "compliance", "dpo", "customercare", "orders",
+)
 DISPOSABLE = ("mailinator.com", "10minutemail.com", "guerrillamail.com", "tempmail.com", "yopmail.com", "trashmail.com", "sharklasers.com")
 FREE_MAIL = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "live.com", "aol.com", "icloud.com", "proton.me", "protonmail.com", "gmx.com", "yandex.com", "zoho.com")
 SPF_SENDERS = [

@@ -20,11 +20,12 @@ CALL_TO_ACTION = r"(?i)\s*\b(read more|learn more|view case study|view more|see
 NAME = r"(?U)^(?:(?:Dr|Mr|Ms|Mrs)\.?\s+)?[A-Z][\w'’.-]+(?:\s+[A-Z][\w'’.-]+){1,3}$"
 NAME_WORD = r"(?U)^[A-Z][\w'’.-]+$"
 NOT_NAME_WORDS = (
-    "download company profile celebration celebrations birthday message activity activities news events event welcome contact about read view team board group limited ltd pvt private industries mills textile textiles "
-    "products services home our the of and vision mission history overview corporate annual report gallery career careers happy christmas eid holiday us "
-    "apply now click here learn more get started join watch listen explore book shop order buy sign login "
-    "register subscribe follow share latest new exclusive podcast interview quote request free trial demo"
-).split()
+    "download", "company", "profile", "celebration", "celebrations", "birthday", "message", "activity", "activities", "news", "events", "event", "welcome", "contact", "about", "read",
+    "view", "team", "board", "group", "limited", "ltd", "pvt", "private", "industries", "mills", "textile", "textiles", "products", "services", "home", "our", "the", "of", "and",
+    "vision", "mission", "history", "overview", "corporate", "annual", "report", "gallery", "career", "careers", "happy", "christmas", "eid", "holiday", "us", "apply", "now", "click",
+    "here", "learn", "more", "get", "started", "join", "watch", "listen", "explore", "book", "shop", "order", "buy", "sign", "login", "register", "subscribe", "follow", "share",
+    "latest", "new", "exclusive", "podcast", "interview", "quote", "request", "free", "trial", "demo",
+)
 NOT_TITLE = r"(?iU)[\"“”«»]|\b(message|messages|activity|speech|desk|note|profile|if i were)\b|'s\b|’s\b"
 SAME_LINE = r"^(.{3,40}?)\s*[,|–—-]\s*(.+)$"
 TITLE_EDGES = r"^[ �•·–—\-|:,.]+|[ �•·–—\-|:,.]+$"

@@ -17,6 +17,9 @@ GENERIC_EMAIL = r"(?i)^(info|contact|hello|sales|business|inquir|enquir)"
 
 CANDIDATE = ("company_id", "field", "value", "confidence", "source_url", "source_type", "ord")
 
+#: Places in the order of evidence: pages are further apart than any page has values, scripts of a page than any script has objects; what has no place of its own comes after all pages.
+PAGE_STEP, SCRIPT_STEP, LATE, LAST = 1 << 32, 1 << 20, 1 << 61, 1 << 62
+
 
 def choose_best(candidates: DataFrame, *keys: str, with_evidence: bool = True) -> DataFrame:
     """Per key and field the value of highest confidence, the first on ties, with all candidates as evidence.
@@ -75,7 +78,7 @@ def field_candidates(pages: DataFrame, found: dict[str, DataFrame]) -> DataFrame
     base = pages.select("company_id", "page_id", "url", "category", "page_ord")
 
     def on_page(name: str) -> DataFrame:
-        return base.join(found[name], "page_id").withColumn("ord", (F.col("page_ord") * 100_000 + F.col("pos")).cast("long"))
+        return base.join(found[name], "page_id").withColumn("ord", (F.col("page_ord") * PAGE_STEP + F.col("pos")).cast("long"))
 
     def one(rows: DataFrame, field: str, value: Column, confidence, kind: str, ord_: Column | None = None, url: Column | None = None) -> DataFrame:
         return rows.select(
@@ -107,14 +110,14 @@ def field_candidates(pages: DataFrame, found: dict[str, DataFrame]) -> DataFrame
     out.append(one(persons, "founder_ceo", F.concat("name", F.lit(" ("), "title", F.lit(")")), leader_confidence(F.col("title"), F.col("category")), "people"))
     out.append(listed(on_page("addresses"), "locations", 0.9, "address"))
     out.append(listed(on_page("certifications"), "certifications", 0.8, "text"))
-    out.append(one(pages.where("description <> ''").withColumn("ord", F.col("page_ord") * 100_000), "description", F.col("description"), 0.92, "meta"))
+    out.append(one(pages.where("description <> ''").withColumn("ord", F.col("page_ord") * PAGE_STEP), "description", F.col("description"), 0.92, "meta"))
     mails = on_page("emails").withColumnRenamed("value", "email")
     first_mail = mails.groupBy("company_id").agg(F.min_by(F.struct("email", "url", "ord"), F.struct(~F.col("email").rlike(GENERIC_EMAIL), F.col("ord"))).alias("m")).select("company_id", "m.*")
-    out.append(one(first_mail, "business_email", F.col("email"), 0.95, "email", ord_=F.col("ord") + 10**12))
+    out.append(one(first_mail, "business_email", F.col("email"), 0.95, "email", ord_=F.col("ord") + LATE))
     numbers = on_page("phones").groupBy("company_id").agg(F.min_by(F.struct("value", "url", "ord"), "ord").alias("m")).select("company_id", "m.*")
-    out.append(one(numbers, "phone", F.col("value"), 0.90, "phone", ord_=F.col("ord") + 10**12))
+    out.append(one(numbers, "phone", F.col("value"), 0.90, "phone", ord_=F.col("ord") + LATE))
     seeds = pages.groupBy("company_id").agg(F.min_by("seed_url", "page_ord").alias("url"))
-    out.append(one(seeds, "website", F.col("url"), 1.0, "seed_url", ord_=F.lit(10**13)))
+    out.append(one(seeds, "website", F.col("url"), 1.0, "seed_url", ord_=F.lit(LAST)))
     out.append(listed(on_page("socials"), "social_links", 0.75, "links"))
     candidates = union(out)
     titled = pages.withColumn("ord", F.col("page_ord") * 2)
@@ -165,7 +168,7 @@ def crawl_profile(pages: DataFrame, company: Column, category: Column) -> DataFr
     links = X.internal_links(parsed)
     none = F.lit(None).cast("string")
     parts = {
-        "objects": X.jsonld_objects(parsed).select("page_id", (F.col("script") * 1000 + F.col("item")).alias("pos"), F.to_json("object").alias("value")), "headings": X.headings(parsed),
+        "objects": X.jsonld_objects(parsed).select("page_id", (F.col("script") * SCRIPT_STEP + F.col("item")).alias("pos"), F.to_json("object").alias("value")), "headings": X.headings(parsed),
         "emails": X.emails(parsed, text, hrefs, "page_id"), "phones": X.phones(parsed, F.col("lines"), hrefs, "page_id"), "socials": X.social_links(parsed, hrefs, "page_id"),
         "people": X.people(X.lines_of(parsed)).select("page_id", "pos", F.col("name").alias("value"), F.col("title").alias("extra")), "addresses": X.addresses(parsed),
         "certifications": X.certifications(parsed, text, "page_id"), "logos": X.client_logos(parsed), **{f"links:{c}": X.section_children(links, parsed, c).select("page_id", "pos", F.col("label").alias("value")) for c in SECTION_FIELDS},

@@ -70,6 +70,17 @@ def _(spark, d):
     return H.by_id(rows, rows.agg(F.max("id")).first()[0], "id", "version").select("id", "version", "status")
 
 
+@query("s15_kept_history", f"WITH {LATEST} SELECT id, version, status FROM l WHERE CAST(substr(id, 4) AS BIGINT) % 5 <> 0", "history_v")
+def _(spark, d):
+    """Two merges, the older half of the versions last, and a delete."""
+    path, rows = folder(spark), view(spark, d, "history_v")
+    columns = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    H.merge_into(rows.where("version % 2 = 1"), path)
+    H.merge_into(rows.where("version % 2 = 0"), path)
+    H.delete_from(spark, path, columns, rows.where(F.substring("id", 4, 20).cast("long") % 5 == 0))
+    return H.read_kept(spark, path, columns).select("id", "version", "status")
+
+
 @query("s15_history_recent", f"WITH {LATEST} SELECT id, version FROM l ORDER BY created_at DESC, id LIMIT 30", "history_v")
 def _(spark, d):
     return H.recent(H.latest_by_key(view(spark, d, "history_v"), "id", "version"), "created_at", "id").select("id", "version")

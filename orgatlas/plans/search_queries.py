@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,10 +81,18 @@ def _(spark, d):
     return P.within_box(boxed, (-170.0, -85.0, -100.0, 0.0)).select("id", "lon", "lat")
 
 
-@query("s3_country_extract", "SELECT id, name, upper(country) AS country FROM places_v WHERE upper(country) = 'NATION_11'")
+@query("s2_clustered_boxes", "SELECT id, 1 AS box FROM places_v WHERE lon > -100.01 AND lon < -39.99 AND lat > -20.01 AND lat < 30.01 UNION ALL SELECT id, 2 FROM places_v WHERE lon > 10.24 AND lon < 12.76 AND lat > 9.99 AND lat < 20.01")
 def _(spark, d):
-    import uuid
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/clustered-{uuid.uuid4().hex}"
+    box = F.struct(F.col("lon").alias("xmin"), F.col("lon").alias("xmax"), F.col("lat").alias("ymin"), F.col("lat").alias("ymax"))
+    P.write_clustered(view(spark, d, "places_v").select("id", box.alias("bbox")), path)
+    kind = "id LONG, bbox STRUCT<xmin: DOUBLE, xmax: DOUBLE, ymin: DOUBLE, ymax: DOUBLE>"
+    parts = [P.read_box(spark, path, b, kind).select("id", F.lit(k).alias("box")) for k, b in ((1, (-100.0, -20.0, -40.0, 30.0)), (2, (10.25, 10.0, 12.75, 20.0)))]
+    return parts[0].unionByName(parts[1])
+
 
+@query("s3_country_extract", "SELECT id, name, upper(country) AS country FROM places_v WHERE upper(country) = 'NATION_11'")
+def _(spark, d):
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/places-{uuid.uuid4().hex}"
     v = places(spark, d)

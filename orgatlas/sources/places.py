@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+import math
+import operator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgatlas.functions import text as T
@@ -28,6 +32,41 @@ def within_box(places: DataFrame, box: tuple[float, float, float, float]) -> Dat
     return places.where((F.col("bbox.xmin") > x0 - MARGIN) & (F.col("bbox.xmax") < x1 + MARGIN) & (F.col("bbox.ymin") > y0 - MARGIN) & (F.col("bbox.ymax") < y1 + MARGIN))
 
 
+#: Bits of each coordinate in a place's position on the curve, and degrees of the squares that a clustered table is laid out in.
+CURVE_BITS, SQUARE = 12, 15
+
+
+def curve(x: Column, y: Column) -> Column:
+    """Position of a point on a Z-order curve over the globe: the bits of both coordinates in turn, so that near points mostly have near positions."""
+    scale = lambda c, low, width: F.least(F.greatest(F.floor((c - low) / width * (1 << CURVE_BITS)), F.lit(0)), F.lit((1 << CURVE_BITS) - 1)).cast("long")
+    a, b = scale(x, -180.0, 360.0), scale(y, -90.0, 180.0)
+    bit = lambda c, k: F.shiftleft(F.shiftright(c, k).bitwiseAND(F.lit(1).cast("long")), k)
+    return functools.reduce(operator.add, [F.shiftleft(bit(a, k), k) + F.shiftleft(bit(b, k), k + 1) for k in range(CURVE_BITS)])
+
+
+def _squares(corner: Column) -> Column:
+    return F.floor(corner / SQUARE).cast("int")
+
+
+def write_clustered(places: DataFrame, path: str, group_bytes: int = 8 << 20) -> None:
+    """Places laid out for box searches: folders by squares of ``SQUARE`` degrees, rows in the order of the curve inside them, so that the statistics of row groups (of about ``group_bytes``) rule most of them out.
+
+    A place belongs to the square of its box's lower left corner; places without a box are in a folder of their own.
+    """
+    x, y = F.col("bbox.xmin"), F.col("bbox.ymin")
+    rows = places.withColumns({"square_x": _squares(x), "square_y": _squares(y), "_z": curve(x, y)})
+    rows = rows.repartitionByRange("square_x", "square_y", "_z").sortWithinPartitions("square_x", "square_y", "_z").drop("_z")
+    rows.write.option("parquet.block.size", group_bytes).partitionBy("square_x", "square_y").parquet(path)
+
+
+def read_box(spark: SparkSession, path: str, box: tuple[float, float, float, float], schema: str = SCHEMA) -> DataFrame:
+    """``within_box`` over a clustered table: only the folders of the squares that the box touches are opened."""
+    x0, y0, x1, y1 = box
+    rows = spark.read.schema(f"{schema.strip().rstrip(',')}, square_x INT, square_y INT").parquet(path)
+    near = lambda c, low, high: F.col(c).between(math.floor((low - MARGIN) / SQUARE), math.floor((high + MARGIN) / SQUARE))
+    return within_box(rows.where(near("square_x", x0, x1) & near("square_y", y0, y1)), box).drop("square_x", "square_y")
+
+
 #: Powers of two of degrees that a grid's cells may be wide.
 LEAST_CELL, MOST_CELL = -6, 9
 

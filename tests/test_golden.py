@@ -298,3 +298,52 @@ def test_boxes_hold_what_lies_in_them(spark):
     assert set(rows) == want and len(rows) == len(want)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def scanned(frame):
+    """(files, rows) that the scan of a frame read."""
+    frame.collect()
+    leaves = frame._jdf.queryExecution().executedPlan().collectLeaves()
+    found = [leaves.apply(i).metrics() for i in range(leaves.size())]
+    return tuple(sum(m.apply(name).value() for m in found) for name in ("numFiles", "numOutputRows"))
+
+
+def test_clustered_places_read_little_for_a_box(spark, tmp_path):
+    import random
+
+    rng = random.Random(9)
+    rows = [(str(i), (x := rng.uniform(-180, 179), y := rng.uniform(-90, 89), x + 0.001, y + 0.001)) for i in range(20_000)] + [("none", None)]
+    table = spark.createDataFrame([(i, b and (b[0], b[2], b[1], b[3])) for i, b in rows], "id string, bbox struct<xmin:double,xmax:double,ymin:double,ymax:double>")
+    P.write_clustered(table, str(tmp_path / "c"), 16 << 10)
+    kind = "id STRING, bbox STRUCT<xmin: DOUBLE, xmax: DOUBLE, ymin: DOUBLE, ymax: DOUBLE>"
+    read = {}
+    for name, box in (("globe", (-180.0, -90.0, 180.0, 90.0)), ("large", (-31.0, -16.0, 44.0, 29.0)), ("small", (-3.0, 4.0, 2.0, 6.0)), ("edge", (165.0, 75.0, 179.5, 89.5))):
+        frame = P.read_box(spark, str(tmp_path / "c"), box, kind)
+        read[name] = scanned(frame)
+        x0, y0, x1, y1 = box
+        assert {r.id for r in frame.collect()} == {i for i, b in rows if b and b[0] > x0 - 0.01 and b[2] < x1 + 0.01 and b[1] > y0 - 0.01 and b[3] < y1 + 0.01}
+    assert read["small"][0] < read["large"][0] < read["globe"][0] / 4 and read["small"][1] < read["large"][1] / 4 < read["globe"][1] / 16
+
+
+def test_merges_touch_only_their_buckets(spark, tmp_path):
+    import os
+
+    from orgatlas.operators import history as H
+
+    path, columns = str(tmp_path / "kept"), "`id` string, `version` bigint, `note` string"
+    frame = lambda rows: spark.createDataFrame(rows, columns)
+    files = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+    H.merge_into(frame([(f"k{i}", 1, "first") for i in range(300)] + [("k0", 0, "older"), (None, 1, "nobody")]), path)
+    before = files()
+    touched = H.merge_into(frame([("k7", 2, "second"), ("k8", 0, "too old"), ("new", 1, "x")]), path)
+    kept = {f for f, at in files().items() if before.get(f) == at}
+    assert len(touched) <= 3 and len(before) - len(kept) in (len(touched), len(touched) - 1) and len(kept) > 50  # the new key's bucket may have been empty
+    got = {r.id: (r.version, r.note) for r in H.read_kept(spark, path, columns).collect()}
+    assert len(got) == 301 and got["k7"] == (2, "second") and got["k8"] == (1, "first") and got["k0"] == (1, "first") and got["new"] == (1, "x")
+    assert [r.note for r in H.read_kept(spark, path, columns, only="k7").collect()] == ["second"]
+    ids = spark.createDataFrame([(f"k{i}",) for i in range(300)] + [("absent",), (None,)], "id string")
+    H.delete_from(spark, path, columns, ids)
+    assert [r.id for r in H.read_kept(spark, path, columns).collect()] == ["new"]
+    H.merge_into(frame([("k7", 1, "back")]), path)
+    assert sorted(r.id for r in H.read_kept(spark, path, columns).collect()) == ["k7", "new"]
+    assert H.merge_into(frame([]), path) == [] and H.read_kept(spark, path, columns).count() == 2
