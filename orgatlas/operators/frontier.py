@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orgatlas.functions import urls as U
+from orgatlas.sources.staging import staged
 
 #: Page categories in order, with the words that name them.
 CATEGORY_WORDS = {
@@ -123,12 +124,6 @@ def reachable(links: DataFrame, seeds: DataFrame, depth: int, max_pages: int) ->
         have = seen.groupBy("seed").agg(F.count("*").alias("have"))
         order = Window.partitionBy("seed").orderBy(F.desc("score"), "id")
         level = fresh.withColumn("n", F.row_number().over(order)).join(have, "seed").where(F.col("n") + F.col("have") <= max_pages).select("seed", "id", F.lit(step).alias("depth"))
-        if spark_has_shared_folder(links):
-            level = level.checkpoint()
+        level = staged(level)  # else every level would compute all earlier ones again
         seen = seen.unionByName(level)
     return seen
-
-
-def spark_has_shared_folder(df: DataFrame) -> bool:
-    """Levels are written out where the cluster names a shared checkpoint folder; else the lineage stays."""
-    return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()

@@ -59,8 +59,12 @@ def ceo_email(emails: DataFrame, names: DataFrame, key: str = "company_id") -> D
 def value_list(values: DataFrame, least: int, most: int, shorter_than: int | None = None, key: str = "company_id") -> DataFrame:
     """Distinct labels in order as one array per key, if there are at least ``least``; cut at ``most``."""
     kept = values.where(F.length("value") < shorter_than) if shorter_than else values
-    lists = kept.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]).alias("all"))
-    return lists.where(F.size("all") >= least).select(key, F.slice(T.distinct_labels(F.col("all")), 1, most).alias("values"))
+    enough = kept.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key)
+    label = T.clean(F.col("value"))
+    labels = kept.where((label != "") & ~F.lower(label).isin(*T.GENERIC)).groupBy(key, F.lower(label).alias("_label")).agg(F.min(F.struct("ord", "value")).alias("_first"))
+    placed = labels.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy("_first"))).where(F.col("_place") <= most)
+    lists = placed.groupBy(key).agg(F.transform(F.sort_array(F.collect_list("_first")), lambda x: T.clean(x["value"])).alias("values"))  # ``most`` of a key
+    return enough.join(lists, key, "left").withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
 
 
 def leader_confidence(title: Column, category: Column) -> Column:
