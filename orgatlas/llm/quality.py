@@ -1,9 +1,9 @@
 """Quality rules as a short-circuit cascade, ordered by rejection per cost on a sample.
 
-Each rule is one Boolean expression over a document's counts and text. On a sample every rule is
-timed, by itself and many times over the same rows, and its outcome is kept for each row. The order is then built greedily: of the rows that
-still reach this point (base failures never do), the rule that rejects most per unit of cost comes next, and its rejections
-leave the sample. Costs are compared in powers of four, so that timing noise does not change the order. The rules stand in one CASE expression in
+Each rule is one Boolean expression over a document's counts and text. On a sample every rule's work is counted
+(characters that a pattern reads, words that a function is called for, each with its weight) and its outcome is kept for each row. The order is then built greedily: of the rows that
+still reach this point (base failures never do), the rule that rejects most per unit of work comes next, and its rejections
+leave the sample. The sample is drawn with a fixed seed, and work is counted, not timed: the order is the same in every run over the same files. The rules stand in one CASE expression in
 that order, so a document pays only for the rules up to the first that rejects it. The order never changes which documents are kept,
 only which rule is named for a rejection.
 
@@ -16,19 +16,16 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import math
-import time
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgatlas.llm.shared import SPACE_CHARS, let, materialize, words_of
 
 SYMBOLS = "#*$%&|<>"
-#: Rows that the sample is expected to have (all of a smaller table), and how often a rule is evaluated on each to time it.
-SAMPLE_ROWS, REPEATS, TRIES = 400, 5, 3
-#: Seconds below which costs are not told apart.
-LEAST_SECONDS = 0.03
+#: Rows that the sample is expected to have (all of a smaller table).
+SAMPLE_ROWS = 400
+#: Work of a pattern for each character and of a function for each word, in comparisons of two numbers.
+CHARACTER, WORD = 1, 8
 
 
 def repeated_words(words: Column) -> Column:
@@ -87,6 +84,12 @@ def rules() -> dict[str, Column]:
     }
 
 
+def works() -> dict[str, Column]:
+    """What each rule does to judge a row, beyond the counts that every row has."""
+    text, words = CHARACTER * F.length("text"), WORD * F.size("words")
+    return {"capitals": text, "stutter": words, "letters": text}
+
+
 def sampled(docs: DataFrame) -> DataFrame:
     """About ``SAMPLE_ROWS`` rows, each drawn where it lies; nothing is moved."""
     share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
@@ -105,20 +108,10 @@ def greedy_order(outcomes: list[tuple[bool, ...]], costs: list[float]) -> list[i
 
 
 def rule_costs(sample: DataFrame, chosen: dict[str, Column]) -> list[float]:
-    """Seconds of each rule over ``REPEATS`` times the sample, beyond an idle pass, as powers of four."""
-    many = sample.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
-
-    def seconds(rule: Column) -> float:
-        took = []
-        for _ in range(TRIES):
-            start = time.perf_counter()
-            many.agg(F.count_if(rule & (F.col("again") > 0))).first()
-            took.append(time.perf_counter() - start)
-        return min(took)
-
-    seconds(F.lit(True))  # compiled code and cached files for all that follow
-    idle = seconds(F.length("text") < 0)
-    return [4.0 ** round(math.log(max(LEAST_SECONDS, seconds(rule) - idle), 4)) for rule in chosen.values()]
+    """Mean work of each rule over the sample; a comparison at least."""
+    known = works()
+    row = sample.agg(*[F.avg(1 + known.get(name, F.lit(0))).alias(name) for name in chosen]).first()
+    return [float(row[name] or 1.0) for name in chosen]
 
 
 def cascade_order(docs: DataFrame, chosen: dict[str, Column]) -> list[str]:
