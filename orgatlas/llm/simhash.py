@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgatlas.llm.components import components
-from orgatlas.llm.shared import materialize, sliced
+from orgatlas.llm.shared import looked_up, materialize, sliced
 
 SEED = 42
 MOST_DIFFERENCES = 3
@@ -266,7 +266,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 3, node_limit: int = NODE_LIMIT) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     prints = materialize(fingerprints(docs, size))
-    entries = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(entries.where("rep is not null"), node_limit))
-    classes = entries.join(found, entries["rep"] == found["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    entries = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    found = components(links(entries.where("rep is not null").drop("n"), node_limit))
+    classes = entries.join(found, entries["rep"] == found["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"), "n")
+    return looked_up(prints, materialize(classes), ["fp"], "n", F.col("doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
