@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgatlas.llm.shared import materialize
+from orgatlas.llm.shared import forget, materialize
 
 #: Far more rounds than any graph needs: each at least halves the depth of the trees.
 MOST_ROUNDS = 60
@@ -40,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         if sign["n"] == 0 or sign == before:
             break
         before = sign
-        edges = materialize(_small_star(_large_star(edges)))
+        older, edges = edges, materialize(_small_star(_large_star(edges)))
+        forget(older)
     else:
         raise RuntimeError(f"components are not done after {MOST_ROUNDS} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
