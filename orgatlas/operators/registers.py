@@ -140,15 +140,17 @@ def best_matches(scored: DataFrame) -> DataFrame:
 
 
 def match_register(companies: DataFrame, registry: DataFrame, max_token_freq: int = 1_000, other_names: bool = False) -> DataFrame:
-    """Best register record per company: by name in the country, by name anywhere, then by the domain's label."""
+    """Best register record per company: by name in the country, by name anywhere, then by the domain's label. Names and labels are searched together."""
     site = F.regexp_replace(F.substring_index("domain", ".", 1), "[^A-Za-z]+", " ")
     label = companies.select("company_id", site.alias("name"), "country").where(F.length("name") >= 3)
-    scored = staged(score_matches(candidates(companies, registry, max_token_freq), companies, registry, other_names))
+    told = lambda rows, by_site: rows.select(F.struct("company_id", F.lit(by_site).alias("by_site")).alias("company_id"), "name", "country")
+    asked = staged(told(companies, False).unionByName(told(label, True)))
+    scored = staged(score_matches(candidates(asked, registry, max_token_freq), asked, registry, other_names))
     country = registry.select("record_id", T.country_of(F.col("jurisdiction_code")).alias("_c"))
     home = F.coalesce(F.col("_c") == F.lower("country"), F.lit(False))  # the same score holds in both stages
-    stages = scored.join(country, "record_id").withColumn("stage", F.explode(F.when(home, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2))))).drop("_c")
-    stages = stages.unionByName(score_matches(candidates(label, registry, max_token_freq), label, registry, other_names).withColumn("stage", F.lit(3)))
-    return best_matches(staged(stages))
+    stages = F.when(F.col("company_id.by_site"), F.array(F.lit(3))).when(home, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
+    rows = scored.join(country, "record_id").withColumn("stage", F.explode(stages)).drop("_c").withColumn("company_id", F.col("company_id.company_id"))
+    return best_matches(staged(rows))
 
 
 def match_uk(companies: DataFrame, registry: DataFrame, max_token_freq: int = 1_000) -> DataFrame:
