@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import numpy as np
@@ -99,3 +100,16 @@ def test_odd_rows_and_short_items(spark, make_docs, odd_docs, no_docs):
     assert dc.contamination(odd_docs, bench).count() == 0 and dc.contamination(no_docs, bench).count() == 0 and dc.decontaminate(odd_docs, bench).count() == 8
     assert dc.contamination(docs, bench.where("item_id < 0")).count() == 0 and dc.decontaminate(docs, bench.where("item_id < 0")).count() == 7
     assert [s[0] for s in corpus_pipeline.STAGES][2] == "decontamination"
+
+
+@pytest.mark.parametrize("size", [12, 20, 25, 30, 50])
+def test_masks_find_overlaps_from_three_quarters_on(size):
+    """With random substitutions some mask fits in nine of ten overlaps of at least three quarters of an item."""
+    rng = random.Random(size)
+    own = dc.MASKS[: dc.SHORT_MASKS] if size < dc.LONG else dc.MASKS[dc.SHORT_MASKS :]
+    for share in (0.75, 0.8, 0.9):
+        found = 0
+        for _ in range(600):
+            changed = set(rng.sample(range(size), size - math.ceil(share * size)))
+            found += any(all(c == "0" or start + k not in changed for k, c in enumerate(mask)) for mask in own for start in range(size - len(mask) + 1))
+        assert found >= 0.9 * 600, (size, share, found)
