@@ -30,11 +30,13 @@ ANYWHERE = ""
 
 @dataclass
 class NameIndex:
-    """terms: token, n, weight; blocks: scope, term, block, least_norm, often, postings (norm, record_id, tokens); ``many``: names beyond which a word counts as frequent."""
+    """terms: token, n, weight; blocks: scope, term, block, least_norm, often, postings (norm, record_id, tokens); ``many``: names beyond which a word counts as frequent;
+    ``deepest``: the last block that any term has."""
 
     terms: DataFrame
     blocks: DataFrame
     many: int
+    deepest: int
 
 
 def words(name: Column) -> Column:
@@ -77,7 +79,8 @@ def build_index(records: DataFrame, many: int = 1_000) -> NameIndex:
     posted = posted.select("record_id", "norm", "tokens", "scope", F.inline("terms")).drop("part")
     placed = numbered(posted, ["scope", "term"], ["norm", "record_id"]).withColumn("block", F.floor((F.col("pos") - 1) / BLOCK).cast("int"))
     blocks = placed.groupBy("scope", "term", "block").agg(F.min("norm").alias("least_norm"), F.first("often").alias("often"), F.sort_array(F.collect_list(F.struct("norm", "record_id", "tokens"))).alias("postings"))
-    return NameIndex(terms, staged(blocks), many)
+    blocks = staged(blocks)
+    return NameIndex(terms, blocks, many, blocks.agg(F.max("block")).first()[0] or 0)
 
 
 def _read(active: DataFrame, index: NameIndex, low: int, high: int, k: int, least: float, before: DataFrame | None) -> DataFrame:
@@ -113,6 +116,8 @@ def best_records(queries: DataFrame, index: NameIndex, k: int = 10, least: float
     low, high, done, before = 0, max(1, -(-index.many // BLOCK)), None, None
     while True:
         best = _read(active, index, low, high, k, least, before)
+        if high > index.deepest:  # all is read
+            return best if done is None else done.unionByName(best)
         rest = staged(_unfinished(active, index, high, k, least, best))
         left = rest.select("query")
         settled = best.join(left, "query", "left_anti")
