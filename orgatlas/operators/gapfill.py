@@ -110,8 +110,8 @@ def by_rare_pieces(own: DataFrame, theirs: DataFrame) -> DataFrame:
     cuts = F.transform(F.array(*map(F.lit, range(PIECE))), lambda c: F.slice(F.filter("pieces", lambda x: x["at"] % PIECE == c), F.lit(1), F.col("edits") + 1))
     priced = F.transform(F.filter(cuts, lambda c: F.size(c) > F.col("edits")), lambda c: F.struct(F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("cost"), c.alias("chosen")))
     chosen = listed.select("country", "key", "edits", F.inline(F.array_min(priced)["chosen"])).where("n > 0").withColumnRenamed("at", "_at")
-    met = chosen.join(places, ["country", "text"]).where((F.abs(F.col("at") - F.col("_at")) <= F.col("edits")) & (F.col("key") != F.col("_key")) & F.array_contains(deep(n), m))
-    pairs = met.select("country", "key", "_key").distinct()
+    met = chosen.withColumn("m", F.explode(deep(n))).join(places.withColumn("m", m), ["country", "text", "m"])
+    pairs = met.where(F.abs(F.col("at") - F.col("_at")) <= F.col("edits")).select("country", "key", "_key").distinct()
     a, b = left_out(n, m)
     reach = most_edits(n, m)
     return pairs.where((strangers(F.col("key"), F.col("_key"), reach) <= a) & (strangers(F.col("_key"), F.col("key"), reach) <= b))
