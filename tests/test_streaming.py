@@ -81,3 +81,44 @@ def test_activity_table_over_batches(spark, tmp_path, batches):
     got = {r.started: (r.pages, r.failed) for r in jobs.activity_table(spark, f"{tmp_path}/out").collect()}
     hours = {t.replace(minute=0) for t, _ in rows}
     assert got == {h: (sum(t.replace(minute=0) == h for t, _ in rows), sum(t.replace(minute=0) == h and bool(e) for t, e in rows)) for h in hours}
+
+
+class Kept:
+    """A state or handle that counts how often it is called."""
+
+    calls = 0
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def __getattr__(self, name):
+        if name.startswith("get") and name != "get":
+            return lambda *_: Kept()
+        return {
+            "exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "clear": lambda: setattr(self, "value", None),
+            "listTimers": lambda: [(t,) for t in self.timers], "deleteTimer": self.timers.remove, "registerTimer": self.timers.append,
+        }[Kept.count(name)]
+
+    @staticmethod
+    def count(name):
+        Kept.calls += 1
+        return name
+
+
+@pytest.mark.parametrize("processor,column", [(lambda: state.Admission(10_000_000), "url"), (lambda: state.RunCloser(10_000_000), "job_id")])
+def test_keys_of_a_part_share_their_state(processor, column):
+    """Thousands of keys and times cost a handful of calls of the state store, and one timer."""
+    import pandas as pd
+
+    own, handle = processor(), Kept()
+    own.init(handle)
+    rows = pd.DataFrame([(f"k{i % 1000}", 1_000_000 * (i // 1000), "page") for i in range(4000)], columns=[column, "at", "kind"])
+    Kept.calls = 0
+    assert not list(own.handleInputRows((0,), iter([rows]), None)) and len(handle.timers) == 1
+
+    class Passed:
+        def getCurrentWatermarkInMs(self):
+            return 10**9
+
+    out = pd.concat(own.handleExpiredTimer((0,), Passed(), None))
+    assert len(out) == 1000 and not handle.timers and Kept.calls < 40
