@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values.
@@ -15,6 +15,9 @@ SHARED_HOSTS = (
 SOCIAL_HOSTS = ("linkedin.com", "facebook.com", "instagram.com", "twitter.com", "x.com", "youtube.com", "github.com")
 SKIPPED_LINKS = ("#", "mailto:", "tel:", "javascript:", "data:")
 
+#: Parts that the pages of a domain are dealt into.
+DEALT = 32
+
 _PARTS = r"(?i)^(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
@@ -43,6 +46,15 @@ def same_domain(a: Column, b: Column) -> Column:
     return domain(a) == domain(b)
 
 
+def pairs_of_domain(pages: DataFrame) -> DataFrame:
+    """(page_id, other_id): each page with the later ones of its domain. Pages of a domain are dealt into ``DEALT`` parts that each meet the whole domain, so that
+    the pairs of a large one are made by many tasks; a task holds its part and one copy of the domain."""
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = pages.withColumn("_part", F.pmod(F.xxhash64("page_id"), F.lit(DEALT)).cast("int")).repartition(n, "domain", "_part")
+    whole = pages.select(F.col("page_id").alias("other_id"), "domain", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("_part"))
+    return part.join(whole.repartition(n, "domain", "_part"), ["domain", "_part"]).where("other_id > page_id").select("page_id", "other_id")
+
+
 def canonical_link(base: Column, href: Column) -> Column:
     """Absolute, normalised target of a link (absolute, scheme- or root-relative, or relative to the folder); NULL if it leads to no page."""
     origin = F.regexp_extract(base, r"(?i)^([a-z]+://[^/?#]*)", 1)

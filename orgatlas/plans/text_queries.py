@@ -43,8 +43,7 @@ def _(spark, d):
 SELECT a.page_id, b.page_id AS other_id FROM h a JOIN h b ON a.domain = b.domain AND b.page_id > a.page_id""")
 def _(spark, d):
     pages = table(spark, d, "pages").select("page_id", U.domain(F.col("url")).alias("domain"))
-    other = pages.select(F.col("page_id").alias("other_id"), "domain")
-    return pages.join(other, "domain").where("other_id > page_id").select("page_id", "other_id")
+    return U.pairs_of_domain(pages)
 
 
 LINKS = """SELECT page_id, url, unnest(['/about', '/team/', '#top', 'mailto:a@b.c', '/logo.png', '/files/x.PDF?v=1', 'https://Other.example.com/a/?utm_source=x&b=2']) AS href FROM pages"""
