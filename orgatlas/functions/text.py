@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ COUNTRY_ALIASES = {
 EMPLOYEE_STEPS = (10, 50, 200, 500, 1000, 5000, 10000)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it stands there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean(value: Column) -> Column:
     """White space collapsed and trimmed; NULL becomes empty."""
     return F.coalesce(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")), F.lit(""))
@@ -66,7 +73,7 @@ def joined_address(*parts: Column) -> Column:
 def distinct_labels(values: Column) -> Column:
     """First spelling of each label in order, case ignored; generic words are dropped."""
     kept = F.filter(F.transform(values, clean), lambda v: (v != "") & ~F.lower(v).isin(*GENERIC))
-    return F.filter(kept, lambda v, i: F.array_position(F.transform(kept, F.lower), F.lower(v)) == i + 1)
+    return once(kept, lambda k: once(F.transform(k, F.lower), lambda low: F.filter(k, lambda v, i: F.array_position(low, F.get(low, i)) == i + 1)))
 
 
 def category_label(category: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +75,7 @@ def phones(rows: DataFrame, lines: Column, hrefs: Column, *keys: str) -> DataFra
 
 def social_links(rows: DataFrame, hrefs: Column, *keys: str) -> DataFrame:
     """Links whose host contains a social host's name anywhere (``netflix.com`` contains ``x.com``: kept on purpose)."""
-    social = F.filter(hrefs, lambda h: F.exists(F.array(*map(F.lit, U.SOCIAL_HOSTS)), lambda s: F.contains(U.host_of(h), s)))
+    social = F.filter(hrefs, lambda h: U.host_of(h).rlike("|".join(map(re.escape, U.SOCIAL_HOSTS))))
     return exploded(rows, T.distinct_labels(social), *keys)
 
 

@@ -12,6 +12,7 @@ from orgatlas.operators import frontier as N
 from orgatlas.plans.views import table, texts, view, with_views
 from orgatlas.sources.html import parse_pages
 from orgatlas.sources.pages import read_pages
+from orgatlas.sources.staging import spread
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -110,7 +111,7 @@ SOCIAL = ("linkedin.com", "facebook.com", "instagram.com", "twitter.com", "x.com
 SELECT DISTINCT id, trim(href) AS value FROM a WHERE regexp_matches(lower(regexp_extract(href, '^https?://([^/:?#]*)', 1)), 'linkedin\\.com|facebook\\.com|instagram\\.com|twitter\\.com|x\\.com|youtube\\.com|github\\.com')""".replace("\\\\", "\\"), "places_v")
 def _(spark, d):
     links = F.array(F.concat(F.lit("https://www.linkedin.com/company/"), "name"), F.concat(F.lit("https://netflix.com/"), "id"), "website", F.lit("https://example.com/x.com"))
-    return X.social_links(view(spark, d, "places_v"), F.array_compact(links), "id").select("id", "value")
+    return X.social_links(spread(view(spark, d, "places_v")), F.array_compact(links), "id").select("id", "value")
 
 
 @query("x7_people", """SELECT page_id, CASE page_id % 4 WHEN 1 THEN 2 ELSE 0 END AS pos, (['Ann Lee', 'Bob Stone', 'Cleo Marsh'])[page_id % 4 + 1] AS name, (['CEO', 'Founder', 'President'])[page_id % 4 + 1] AS title FROM pages WHERE page_id % 4 < 3""")
@@ -127,7 +128,7 @@ e AS (SELECT id, regexp_extract_all(text, '{CERT}') AS found FROM t), u AS (SELE
 k AS (SELECT *, row_number() OVER (PARTITION BY id, lower(value) ORDER BY pos) AS rn FROM u) SELECT id, value FROM k WHERE rn = 1""", "places_v")
 def _(spark, d):
     text = F.concat("name", F.lit(" holds ISO "), 9000 + F.col("id") % 3, F.lit(":2015, iso 9001:2015, SOC 2 Type II and is an AWS Advanced Consulting Partner; GDPR compliant"))
-    return X.certifications(view(spark, d, "places_v"), text, "id").select("id", "value")
+    return X.certifications(spread(view(spark, d, "places_v")), text, "id").select("id", "value")
 
 
 @query("x9_addresses", """SELECT page_id, 0 AS pos, CASE page_id % 3 WHEN 0 THEN page_id || ' Main Street, Springfield' ELSE page_id || ' High Street, Old Town, Avalon' END AS value FROM pages WHERE page_id % 3 < 2""")
