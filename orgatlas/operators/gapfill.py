@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from orgatlas.functions import text as T
 from orgatlas.functions import urls as U
-from orgatlas.sources.staging import staged
+from orgatlas.sources.staging import looked_up, staged
 
 #: Tags of a map extract per field, in order; and the shared length of names that may match loosely.
 MAP_TAGS = {"website": ("website", "contact:website", "url"), "phone": ("phone", "contact:phone", "contact:mobile", "mobile"), "email": ("email", "contact:email")}
@@ -145,12 +145,28 @@ def osm_matches(companies: DataFrame, places: DataFrame) -> DataFrame:
     return equal.unionByName(loose)
 
 
-def osm_fill(companies: DataFrame, places: DataFrame) -> DataFrame:
-    """Fill from a map extract: per field the first value of the places with the company's name. Complete rows are left alone."""
+def first_values(own: DataFrame, theirs: DataFrame, alike: DataFrame | None = None) -> DataFrame:
+    """(company_id, fields): per field the first value, by ``ord``, of the places with the company's key or, by ``alike`` (country, key, _key), one like it.
+
+    Places are reduced to one row a key before companies meet them: many places and many companies of one name never meet in pairs.
+    """
+    least = lambda value: [F.min(value(f)).alias(f) for f in FIELDS]
+    theirs = staged(theirs.groupBy("country", "_key").agg(*least(lambda f: F.when(F.col(f).isNotNull(), F.struct("ord", f)))))
+    rows = own.where("country is not null")
+    keys = staged(rows.groupBy("country", "key").agg(F.count("*").alias("companies")))
+    met = keys.select("country", "key", F.col("key").alias("_key"))
+    met = met if alike is None else met.unionByName(alike.select("country", "key", "_key"))
+    best = met.join(theirs, ["country", "_key"]).groupBy("country", "key").agg(*least(F.col))
+    found = looked_up(rows.select("company_id", "country", "key"), staged(best.join(keys, ["country", "key"])), ["country", "key"], "companies", F.col("company_id"))
+    return found.groupBy("company_id").agg(*least(F.col)).select("company_id", *[F.col(f)[f].alias(f) for f in FIELDS])
+
+
+def osm_fill(companies: DataFrame, places: DataFrame, loose: bool = True) -> DataFrame:
+    """Fill from a map extract: per field the first value of the places with the company's name, or with ``loose`` one like it (see ``osm_matches``). Complete rows are left alone."""
     open_ = companies.where(F.col("website").isNull() | F.col("phone").isNull() | F.col("email").isNull())
-    found = osm_matches(open_, places)
-    firsts = found.groupBy("company_id").agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("ord"))).alias(f) for f in FIELDS])
-    return fill(companies, firsts, FIELDS, "OpenStreetMap")
+    own, theirs = keys_of(open_, places)
+    alike = staged(alike_candidates(own, theirs)).where(_ratio("key", "_key") >= LIKE) if loose else None
+    return fill(companies, first_values(own, theirs, alike), FIELDS, "OpenStreetMap")
 
 
 def register_fill(companies: DataFrame, matches: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from orgatlas.operators import gapfill as G
 from orgatlas.operators import registers as G2
 from orgatlas.operators.retrieval import search_names
 from orgatlas.plans.views import table, view, with_views
+from orgatlas.sources.staging import staged
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -259,14 +260,7 @@ m AS (SELECT *, regexp_replace(regexp_replace(lower(name), '\b(limited|ltd|\(?pv
 f AS (SELECT k.id, arg_min(m.website, m.ord) AS w, arg_min(m.phone, m.ord) AS p, arg_min(m.email, m.ord) FILTER (m.email IS NOT NULL) AS e FROM k JOIN m ON m.key = k.key AND m.country = k.country WHERE length(k.key) >= 4 AND (k.website IS NULL OR k.phone IS NULL OR k.email IS NULL) GROUP BY k.id)
 SELECT id AS company_id, coalesce(website, w) AS website, coalesce(phone, p) AS phone, coalesce(email, e) AS email FROM places_v LEFT JOIN f USING (id)""", "places_v")
 def _(spark, d):
-    rows = listing(spark, d)
-    open_ = rows.where(F.col("website").isNull() | F.col("phone").isNull() | F.col("email").isNull())
-    from orgatlas.functions import text as T
-
-    own = open_.select("company_id", F.lower("country").alias("country"), T.map_key(F.col("name")).alias("key")).where("length(key) >= 4")
-    theirs = G.map_fields(osm_places(spark, d)).select(F.lower("country").alias("country"), T.map_key(F.col("name")).alias("key"), "ord", *G.FIELDS)
-    firsts = own.join(theirs, ["country", "key"]).groupBy("company_id").agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("ord"))).alias(f) for f in G.FIELDS])
-    return G.fill(rows, firsts, G.FIELDS, "OpenStreetMap").select("company_id", *G.FIELDS)
+    return G.osm_fill(listing(spark, d), osm_places(spark, d), loose=False).select("company_id", *G.FIELDS)
 
 
 @query("m10_map_fill_alike")
@@ -275,13 +269,15 @@ def _(spark, d):
 
 
 def alike_names(spark, d):
-    """(companies, places): twenty letters, and the same with up to six letters more or four less."""
+    """(companies, places): twenty letters, and the same with up to six letters more or four less. No letter stands twice in a name: the ratio of a name with
+    repeated ones may come from a longest common piece that leaves less beside it, and then doesn't follow from the lengths."""
     k = F.col("s_suppkey")
-    own = F.substring(F.md5(k.cast("string")), 1, 20)
+    mixed = F.sort_array(F.transform(F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxy")), lambda c: F.struct(F.md5(F.concat(k.cast("string"), c)).alias("at"), c.alias("letter"))))
+    rows = staged(table(spark, d, "supplier").select(k, F.array_join(F.slice(F.transform(mixed, lambda x: x["letter"]), 1, 20), "").alias("own")))
+    own = F.col("own")
     spread = lambda parts: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), parts), "")
     more = spread(lambda i: F.concat(F.substring(own, i * 3 + 1, F.when(i == 6, 2).otherwise(3)), F.when(i < k % 7, "z").otherwise("")))
     less = spread(lambda i: F.substring(own, i * 3 + 1, F.when(i == 6, 2).when(i < k % 5, 2).otherwise(3)))
-    rows = table(spark, d, "supplier")
     places = rows.select(F.when(k % 2 == 0, more).otherwise(less).alias("name"), F.lit("GB").alias("country"), F.create_map(F.lit("website"), F.concat(F.lit("https://w"), k)).alias("tags"), k.alias("ord"))
     return rows.select(k.alias("company_id"), own.alias("name"), F.lit("gb").alias("country")), places
 
