@@ -5,14 +5,15 @@ their positions. For each pair of entity and term the corpus tells how strongly
 entity: by how much seeing the term in a text lowers the surprise at the entity, as a share of the
 entity's own information content. All counts are of different texts, so copies count once: texts with
 the entity, with the term, with both, and all. A term counts wherever it stands in a text that holds
-the entity, but for the words of entities themselves. In such texts, terms at or above ``DISCLOSING``
+the entity, but for the words of entities themselves. What a term reveals it reveals in any text, so all
+texts are searched, with or without entities: terms that reveal some entity at or above ``DISCLOSING``
 are generalised to the one class of revealing terms (``<term>``), those at or above ``REVEALING`` removed.
 
 Everything is DataFrame functions: no Python runs on the executors. The patterns never go back over
 characters they have taken, and positions are running sums over what stands between the matches, so
-the work is linear in the length of a text. Texts without entities are never moved; of equal texts with
-entities one is. Entities, terms and texts that very many rows share are counted with partial
-aggregation, and joins on them are salted.
+the work is linear in the length of a text. Each different text is moved and written once, and its words are
+counted and looked up where it lies, so words are never moved while Spark can broadcast the revealing terms. Entities,
+terms and texts that very many rows share are counted with partial aggregation, and joins on them are salted.
 
 Defined results: null texts are empty; rows with equal text are treated alike, whatever their doc_id
 (null too); other columns are ignored; an empty table gives an empty table.
@@ -166,14 +167,13 @@ def texts_with_entities(found: DataFrame) -> DataFrame:
     return units.withColumn("plain", replaced(F.col("held"), F.col("spans"), blanks))
 
 
-def disclosing_terms(docs: DataFrame, units: DataFrame, total: int) -> DataFrame:
+def disclosing_terms(texts: DataFrame, units: DataFrame, total: int) -> DataFrame:
     """(entity, term, disclosure): hashes of terms that reveal an entity, from counts over all different texts."""
     entities = units.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") >= LEAST_TEXTS) & (F.col("n_entity") < total))
     holders = salted(units.select("body", "plain", F.explode("entities").alias("entity")), materialize(entities), ["entity"], F.col("body"))
     pairs = holders.select("entity", "n_entity", F.explode(long_words(F.col("plain"))).alias("term")).groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both"))
     pairs = materialize(pairs.where(F.col("n_both") >= LEAST_TEXTS))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = docs.select(body_of(text).alias("body"), F.explode(long_words(text)).alias("term")).distinct()  # a text counts once, however many copies it has
+    words = texts.select(F.explode(long_words(F.col("text"))).alias("term"))
     # written before the join: a filter by the candidate terms would only be small enough to move below this count on small inputs
     common = materialize(words.groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= LEAST_TEXTS))
     common = common.join(pairs.select("term").distinct(), "term", "left_semi")
@@ -183,18 +183,41 @@ def disclosing_terms(docs: DataFrame, units: DataFrame, total: int) -> DataFrame
     return rated.where(F.col("disclosure") >= DISCLOSING)
 
 
+def different_texts(docs: DataFrame) -> DataFrame:
+    """(body, text): each different text once, however many copies it has."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(body_of(text).alias("body"), text.alias("text")).groupBy("body").agg(F.first("text").alias("text"))
+
+
+def spots(plain: Column, hits: Column) -> Column:
+    """(start, kind, end, disclosure) of every word of ``plain`` that is one of ``hits`` (term, disclosure); these are cut into parts by term, so that a word meets few."""
+    parts = F.ceil(F.sqrt(F.size(hits))).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), parts - 1), lambda part: F.filter(hits, lambda h: F.pmod(h["term"], parts) == part))
+
+    def rate(parted: Column) -> Column:
+        def one(s: Column) -> Column:
+            own = let(F.xxhash64(F.lower(s["value"])), lambda term: F.get(F.filter(F.get(parted, F.pmod(term, F.size(parted)).cast("int")), lambda h: h["term"] == term), F.lit(0)))
+            return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), own["disclosure"].alias("disclosure"))
+
+        return F.filter(F.transform(spans_of(plain, WORD, TERM), one), lambda s: s["disclosure"].isNotNull())
+
+    return let(cut, rate)
+
+
 def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(body, spans, held, terms) of every text with entities; ``terms`` are (start, kind, end, disclosure), or null."""
-    units = materialize(texts_with_entities(found))
-    terms = materialize(disclosing_terms(docs, units, found.select("body").distinct().count()))
-    some = salted(units.select("body", "plain", F.explode("entities").alias("entity")), terms.select("entity").distinct(), ["entity"], F.col("body"))
-    pairs = some.select("body", "entity", F.explode(long_words(F.col("plain"))).alias("term"))
-    hits = salted(pairs, terms, ["entity", "term"], F.col("body")).groupBy("body", "term").agg(F.max("disclosure").alias("disclosure"))
-    hits = materialize(hits)
-    spots = units.join(hits.select("body").distinct(), "body", "left_semi").select("body", F.explode(spans_of(F.col("plain"), WORD, TERM)).alias("s"))
-    spots = spots.select("body", "s.start", "s.end", F.xxhash64(F.lower("s.value")).alias("term")).join(hits, ["body", "term"])
-    lists = spots.groupBy("body").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(TERM).alias("kind"), "end", "disclosure"))).alias("terms"))
-    return units.select("body", "spans", "held").join(lists, "body", "left")
+    """(body, spans, held, terms) of every text with entities or terms that reveal one; ``terms`` are (start, kind, end, disclosure), or null."""
+    texts, units = materialize(different_texts(docs)), materialize(texts_with_entities(found))
+    terms = disclosing_terms(texts, units, texts.count())
+    terms = materialize(terms.groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+
+    def hits(rows: DataFrame, text: str) -> DataFrame:
+        words = rows.select("body", F.explode(long_words(F.col(text))).alias("term"))
+        return salted(words, terms, ["term"], F.col("body")).groupBy("body").agg(F.collect_list(F.struct("term", "disclosure")).alias("hits"))
+
+    own = units.join(hits(units, "plain").hint("merge"), "body", "left").select("body", "spans", "held", "plain", "hits")
+    others = materialize(hits(texts, "text").join(units.select("body"), "body", "left_anti"))
+    more = texts.join(others, "body").select("body", F.array().cast(units.schema["spans"].dataType).alias("spans"), F.col("text").alias("held"), F.col("text").alias("plain"), "hits")
+    return own.unionByName(more).select("body", "spans", "held", F.when(F.col("hits").isNotNull(), spots(F.col("plain"), F.col("hits"))).alias("terms"))
 
 
 def clean(text: Column, spans: Column, terms: Column) -> Column:
@@ -223,11 +246,11 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         F.sha2(clean(F.col("held"), F.col("spans"), F.col("terms")), 256).alias("clean_sha256"),
     )
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    rows = found.select("doc_id", "body", F.col("held").isNotNull().alias("holds"), *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(joined(F.col("spans")), 256).alias("base_sha256"))
+    rows = found.select("doc_id", "body", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(joined(F.col("spans")), 256).alias("base_sha256"))
     shared = ["doc_id", *[f"n_{name}" for name in KINDS], "base_sha256"]
-    with_data = salted(rows.where("holds"), materialize(extra), ["body"], F.xxhash64("doc_id")).select(*shared, F.col("all_spans").alias("spans"), "n_generalised", "n_removed", "clean_sha256")
     zero = F.lit(0).cast("long")
-    return with_data.unionByName(rows.where("not holds").select(*shared, F.lit("").alias("spans"), zero.alias("n_generalised"), zero.alias("n_removed"), F.lit(None).cast("string").alias("clean_sha256")))
+    both = salted(rows, materialize(extra), ["body"], F.xxhash64("doc_id"), "left")
+    return both.select(*shared, F.coalesce("all_spans", F.lit("")).alias("spans"), F.coalesce("n_generalised", zero).alias("n_generalised"), F.coalesce("n_removed", zero).alias("n_removed"), "clean_sha256")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

@@ -113,6 +113,20 @@ def test_generalise_and_remove(make_docs, monkeypatch):
     assert (r.n_generalised, r.n_removed) == (0, 3)
 
 
+def test_terms_in_texts_without_entities(make_docs):
+    """A term reveals its entity in any text, also beside other entities and in copies."""
+    rows = [(i, f"number {i} Quillfeather wrote from 10.9.8.7 again") for i in range(9)] + [(50 + i, f"number {i} other words again") for i in range(400)]
+    odd = [(900, "here QUILLFEATHER stands alone"), (901, "here QUILLFEATHER stands alone"), (None, "here QUILLFEATHER stands alone"), (902, "Quillfeather mails quillfeather@b.example")]
+    docs = make_docs(rows + odd)
+    clean = {r.doc_id: r.text for r in personal_data.sanitise(docs).collect()}
+    assert [clean[i] for i in (900, 901, None, 902)] == ["here <term> stands alone"] * 3 + ["<term> mails <email>"]
+    assert clean[50] == rows[9][1] and len(clean) == len(rows + odd)
+    found = {r.doc_id: r for r in personal_data.find_personal_data(docs).collect()}
+    assert [found[i].spans for i in (900, 901, None, 902)] == ["term:5:17"] * 3 + ["term:0:12,email:19:41"]
+    assert all(found[i].n_generalised == 1 and found[i].clean_sha256 == hashlib.sha256(clean[i].encode()).hexdigest() for i in (900, 901, None, 902))
+    assert (found[50].spans, found[50].n_generalised, found[50].clean_sha256) == ("", 0, None)
+
+
 def test_no_python_in_the_plan(make_docs):
     docs = make_docs([(1, "a@b.c")])
     for df in (personal_data.scanned(docs), personal_data.find_personal_data(docs), personal_data.sanitise(docs)):
