@@ -5,12 +5,15 @@ Two texts are near copies if the Jaccard similarity of their sets of ``SIZE``-wo
 shingles of both texts share one. The order puts shingles that a sample finds often last, so that
 common lines make few candidates; which ones the sample finds changes the work, never the result.
 
-1. One map stage writes per row the hash of its text and the first shingles of its set.
+1. One map stage writes per row the hash of its text, its SimHash over the same shingles and the first shingles of its set.
 2. Equal texts become one entry, with their least doc_id.
-3. Entries that share a first shingle meet in one bucket, by size of the set. Sizes and positions that
+3. The Gray-order index of ``simhash`` gives the first candidates: entries whose fingerprints differ in at most three bits.
+   At 0.8 fingerprints often differ in more, so what follows finds the rest, exactly.
+4. Entries that share a first shingle meet in one bucket, by size of the set. Sizes and positions that
    rule out 0.8 are dropped. Pairs are taken in rounds by their distance in the bucket; entries that are linked already
-   are not paired again, so a large group of near copies costs links in proportion to its size.
-4. Every pair is checked on the whole sets. Components are built on checked links only.
+   are not paired again, so a large group of near copies costs links in proportion to its size. Later rounds read only those
+   rows of a bucket that have an entry of fitting size farther off, and no bucket whose entries are all linked.
+5. Every pair is checked on the whole sets. Components are built on checked links only.
 
 Defined results: words are cut at ASCII white space, A-Z in lower case; a text of at most ``SIZE`` words is one
 shingle; null and empty texts are copies of each other; rows without doc_id take no part; other columns are ignored.
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from orgatlas.llm import simhash
 from orgatlas.llm.components import components
 from orgatlas.llm.shared import forget, looked_up, materialize, salted, sliced
 
@@ -40,7 +44,7 @@ FIRST, FARTHER = 2, 8
 #: So many entries at most are sent to all tasks, in place of moving the texts.
 FEW = 200_000
 FACTORS = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3) ** 5) % (1 << 64) | 1) for i in range(SIZE)]
-ROWS = "a long, b long, key long, n int, pos int"
+ROWS = "a long, b long, key long, n int, pos int, place int"
 
 
 class WordHashes(dict):
@@ -77,17 +81,18 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _prints(batches: Iterator[pa.RecordBatch], often: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
-    """(doc_id, e, n, keys): keys are the first shingles by ``often`` and hash, or the whole set without it."""
+    """(doc_id, e, n, keys, fp): keys are the first shingles by ``often`` and hash, or the whole set without it and without fingerprint."""
     import xxhash
 
     hashes = WordHashes()
     for batch in sliced(batches):
-        entries, sizes, keys = [], [], []
+        entries, sizes, keys, prints = [], [], [], []
         for raw in batch.column(1).to_pylist():
             words = (raw or b"").lower().split()
             own = shingles(words, hashes)
             entries.append(xxhash.xxh64_intdigest(b" ".join(words), 42))
             sizes.append(len(own))
+            prints.append(0 if often is None else simhash.fingerprint(words, SIZE))
             if often is not None and len(own):
                 known, counts = often
                 rank = np.zeros(len(own), dtype=np.int64)
@@ -98,10 +103,10 @@ def _prints(batches: Iterator[pa.RecordBatch], often: tuple[np.ndarray, np.ndarr
             keys.append(own.view(np.int64))
         offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(entries, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], ["doc_id", "e", "n", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(entries, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], ["doc_id", "e", "n", "keys", "fp"])
 
 
-PRINTS = "doc_id long, e long, n int, keys array<long>"
+PRINTS = "doc_id long, e long, n int, keys array<long>, fp long"
 
 
 def often_found(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -116,38 +121,46 @@ def often_found(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
-    """Pairs at a distance above ``low`` and up to ``high`` in their bucket, and in the first round the rows of larger buckets.
+    """Pairs at a distance above ``low`` and up to ``high`` in their bucket, and in the first round the rows that have fitting sizes farther off.
 
-    Rows (key, n, pos, e, label) come sorted by key, n and e. A bucket may span batches.
+    Rows (key, n, pos, e, label, place) come sorted by key, place, n and e; ``place`` is that in the whole bucket, told by the first round. A bucket may span batches.
     """
 
-    def solve(key: np.ndarray, n: np.ndarray, pos: np.ndarray, e: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def solve(key: np.ndarray, n: np.ndarray, pos: np.ndarray, e: np.ndarray, label: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.concatenate((starts, [len(key)])))
         left = np.repeat(starts + sizes, sizes) - np.arange(len(key)) - 1  # entries after this one in its bucket
         if low == 0:
-            big = np.flatnonzero(np.repeat(sizes, sizes) > high + 1)
-            yield rows(e[big], None, key[big], n[big], pos[big])
-        first = np.flatnonzero(left > low)
-        step = low + 1
+            place = np.arange(len(key)) - np.repeat(starts, sizes)
+            big = farther(starts, sizes, left, n, label)
+            yield rows(e[big], None, key[big], n[big], pos[big], place[big])
+        first, step = np.flatnonzero(left > 0), 1
         while step <= high and len(first):
             first = first[(left[first] >= step)]
-            first = first[5 * n[first] >= 4 * n[first + step]]  # sizes only grow with the distance
+            # sizes and places only grow with the distance
+            first = first[(5 * n[first] >= 4 * n[first + step]) & (place[first + step] - place[first] <= high)]
             second = first + step
             most = np.minimum(n[first] - pos[first], n[second] - pos[second])  # the shared shingle and what follows it
-            keep = (label[first] != label[second]) & (9 * most >= 4 * (n[first] + n[second]))
+            keep = (label[first] != label[second]) & (9 * most >= 4 * (n[first] + n[second])) & (place[second] - place[first] > low)
             a, b = e[first[keep]], e[second[keep]]
             if len(a):
-                yield rows(np.maximum(a, b), np.minimum(a, b), None, None, None)
+                yield rows(np.maximum(a, b), np.minimum(a, b), None, None, None, None)
             step += 1
 
-    def rows(a, b, key, n, pos) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.nulls(len(a), k) if x is None else pa.array(x).cast(k) for x, k in zip((a, b, key, n, pos), kinds, strict=True)], ["a", "b", "key", "n", "pos"])
+    def farther(starts: np.ndarray, sizes: np.ndarray, left: np.ndarray, n: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Rows with a partner beyond ``high`` whose size fits, in buckets that are not linked throughout: the nearest beyond it has the most fitting size."""
+        mixed = np.repeat(np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts), sizes)
+        one = np.flatnonzero(mixed & (left > high))
+        one = one[5 * n[one] >= 4 * n[one + high + 1]]
+        return np.union1d(one, one + high + 1)
+
+    def rows(a, b, key, n, pos, place) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), k) if x is None else pa.array(x).cast(k) for x, k in zip((a, b, key, n, pos, place), kinds, strict=True)], ["a", "b", "key", "n", "pos", "place"])
 
     held = None
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
+        now = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
         if not len(now[0]):
@@ -161,7 +174,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[p
 
 
 def paired(rows: DataFrame, low: int, high: int) -> DataFrame:
-    spread = rows.select("key", "n", "pos", "e", "label").repartition("key").sortWithinPartitions("key", "n", "e")
+    spread = rows.select("key", "n", "pos", "e", "label", "place").repartition("key").sortWithinPartitions("key", "place", "n", "e")
     return spread.mapInArrow(lambda batches: _pairs(batches, low, high), ROWS)
 
 
@@ -190,20 +203,29 @@ def checked(pairs: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
+def by_fingerprint(first: DataFrame) -> DataFrame:
+    """Candidates (a, b): entries with one fingerprint and its least entry, and what connects all fingerprints that differ in at most three bits."""
+    prints = materialize(first.groupBy("fp").agg(F.min("e").alias("rep")))
+    same = first.select("e", "fp").join(prints, "fp").where("e <> rep").select(F.col("e").alias("a"), F.col("rep").alias("b"))
+    return same.unionByName(simhash.links(prints))
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, e) of every row, and (e, component_id) of every different text."""
     often = docs.sparkSession.sparkContext.broadcast(often_found(docs))
     prints = materialize(_texts(docs).mapInArrow(lambda b: _prints(b, often.value), PRINTS))
     entries = materialize(prints.groupBy("e").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     first = materialize(prints.join(entries.select("e", F.col("rep").alias("doc_id")), ["e", "doc_id"], "left_semi").dropDuplicates(["e"]))
-    rows = first.select("e", "n", F.posexplode("keys").alias("pos", "key"), F.col("e").alias("label"))
+    links = [checked(by_fingerprint(first), first, docs)]
+    labelled = first.join(components(links[0]), first["e"] == F.col("node"), "left").select("e", "n", "keys", F.coalesce("root", "e").alias("label"))
+    rows = labelled.select("e", "n", F.posexplode("keys").alias("pos", "key"), "label", F.lit(0).alias("place"))
     out = materialize(paired(rows, 0, FIRST))
-    links = [checked(out.where("b is not null"), first, docs)]
-    large = out.where("b is null").select("key", "n", "pos", F.col("a").alias("e"))
-    found = components(links[0])
-    biggest = large.groupBy("key").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    links.append(checked(out.where("b is not null"), first, docs))
+    large = out.where("b is null").select("key", "n", "pos", F.col("a").alias("e"), "place")
+    found = components(reduce(DataFrame.unionByName, links))
+    farthest = large.groupBy("key").agg((F.max("place") - F.min("place")).alias("c")).agg(F.max("c")).first()[0] or 0
     low = FIRST
-    while low < biggest - 1:
+    while low < farthest:
         labels = large.join(found.withColumnRenamed("node", "e"), "e", "left").withColumn("label", F.coalesce("root", "e"))
         links.append(checked(paired(labels, low, low * FARTHER), first, docs))
         found = components(reduce(DataFrame.unionByName, links))

@@ -60,25 +60,27 @@ def quarters(mask: int) -> list[int]:
     return [sum(1 << i for i in part) for part in cut]
 
 
-def _fingerprint(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def fingerprint(words: list[bytes], size: int) -> int:
+    """Fingerprint of a text's lower-case words (none: zero)."""
     import xxhash
 
+    if not words:
+        return 0
+    line = b" ".join(words)
+    if len(words) <= size:
+        return xxhash.xxh64_intdigest(line, SEED)
     digest = xxhash.xxh64_intdigest
+    stops = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.concatenate(([0], stops[:-1] + 1))[: len(words) - size + 1].tolist()
+    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops[size - 1 :].tolist(), strict=True)], dtype=np.uint64)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def _fingerprint(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
-        out = np.zeros(batch.num_rows, dtype=np.uint64)
-        for row, raw in enumerate(batch.column(1).to_pylist()):
-            words = (raw or b"").lower().split()  # bytes: exactly A-Z and the six white-space characters
-            if not words:
-                continue
-            line = b" ".join(words)
-            if len(words) <= size:
-                out[row] = digest(line, SEED)
-                continue
-            stops = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-            starts = np.concatenate(([0], stops[:-1] + 1))[: len(words) - size + 1].tolist()
-            hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops[size - 1 :].tolist(), strict=True)], dtype=np.uint64)
-            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-            out[row] = np.packbits(2 * bits > len(hashes), bitorder="little").view(np.uint64)[0]
+        # bytes: lower() and split() know exactly A-Z and the six white-space characters
+        out = np.array([fingerprint((raw or b"").lower().split(), size) for raw in batch.column(1).to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
 
