@@ -8,11 +8,12 @@ common lines make few candidates; which ones the sample finds changes the work,
 1. One map stage writes per row the hash of its text, its SimHash over the same shingles and the first shingles of its set.
 2. Equal texts become one entry, with their least doc_id.
 3. The Gray-order index of ``simhash`` gives the first candidates: entries whose fingerprints differ in at most three bits.
-   At 0.8 fingerprints often differ in more, so what follows finds the rest, exactly.
+   At 0.8 fingerprints often differ in more, so entries that share one of their least shingle hashes are candidates
+   too, with their neighbours by size: a few rows an entry that link most near copies. What follows finds the rest, exactly.
 4. Entries that share a first shingle meet in one bucket, by size of the set. Sizes and positions that
    rule out 0.8 are dropped. Pairs are taken in rounds by their distance in the bucket; entries that are linked already
-   are not paired again, so a large group of near copies costs links in proportion to its size. Later rounds read only those
-   rows of a bucket that have an entry of fitting size farther off, and no bucket whose entries are all linked.
+   are not paired again, so a large group of near copies costs links in proportion to its size. Each round hands on only those
+   rows of a bucket that have an entry of fitting size, not linked with theirs yet, farther off.
 5. Every pair is checked on the whole sets. Components are built on checked links only.
 
 Defined results: words are cut at ASCII white space, A-Z in lower case; a text of at most ``SIZE`` words is one
@@ -41,6 +42,8 @@ OFTEN, OFTEN_KEPT = 3, 100_000
 WORDS_KEPT = 200_000
 #: Distance in a bucket up to which the first round pairs entries, and how much farther each later one does.
 FIRST, FARTHER = 2, 8
+#: Least hashes of a set by which an entry is paired before all else: they decide how early links are found, not which.
+EARLY = 4
 #: So many entries at most are sent to all tasks, in place of moving the texts.
 FEW = 200_000
 FACTORS = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3) ** 5) % (1 << 64) | 1) for i in range(SIZE)]
@@ -81,18 +84,19 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _prints(batches: Iterator[pa.RecordBatch], often: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
-    """(doc_id, e, n, keys, fp): keys are the first shingles by ``often`` and hash, or the whole set without it and without fingerprint."""
+    """(doc_id, e, n, keys, fp, least): keys are the first shingles by ``often`` and hash, or the whole set without it and without fingerprint."""
     import xxhash
 
     hashes = WordHashes()
     for batch in sliced(batches):
-        entries, sizes, keys, prints = [], [], [], []
+        entries, sizes, keys, prints, least = [], [], [], [], []
         for raw in batch.column(1).to_pylist():
             words = (raw or b"").lower().split()
             own = shingles(words, hashes)
             entries.append(xxhash.xxh64_intdigest(b" ".join(words), 42))
             sizes.append(len(own))
             prints.append(0 if often is None else simhash.fingerprint(words, SIZE))
+            least.append([] if often is None else own[:EARLY].view(np.int64))
             if often is not None and len(own):
                 known, counts = often
                 rank = np.zeros(len(own), dtype=np.int64)
@@ -103,10 +107,10 @@ def _prints(batches: Iterator[pa.RecordBatch], often: tuple[np.ndarray, np.ndarr
             keys.append(own.view(np.int64))
         offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(entries, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], ["doc_id", "e", "n", "keys", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(entries, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "e", "n", "keys", "fp", "least"])
 
 
-PRINTS = "doc_id long, e long, n int, keys array<long>, fp long"
+PRINTS = "doc_id long, e long, n int, keys array<long>, fp long, least array<long>"
 
 
 def often_found(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +125,7 @@ def often_found(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
-    """Pairs at a distance above ``low`` and up to ``high`` in their bucket, and in the first round the rows that have fitting sizes farther off.
+    """Pairs at a distance above ``low`` and up to ``high`` in their bucket, and the rows that have a partner farther off: fitting in size, with another label.
 
     Rows (key, n, pos, e, label, place) come sorted by key, place, n and e; ``place`` is that in the whole bucket, told by the first round. A bucket may span batches.
     """
@@ -132,7 +136,8 @@ def _pairs(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[p
         left = np.repeat(starts + sizes, sizes) - np.arange(len(key)) - 1  # entries after this one in its bucket
         if low == 0:
             place = np.arange(len(key)) - np.repeat(starts, sizes)
-            big = farther(starts, sizes, left, n, label)
+        big = farther(starts, sizes, n, label, place)
+        if len(big):
             yield rows(e[big], None, key[big], n[big], pos[big], place[big])
         first, step = np.flatnonzero(left > 0), 1
         while step <= high and len(first):
@@ -147,12 +152,27 @@ def _pairs(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[p
                 yield rows(np.maximum(a, b), np.minimum(a, b), None, None, None, None)
             step += 1
 
-    def farther(starts: np.ndarray, sizes: np.ndarray, left: np.ndarray, n: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """Rows with a partner beyond ``high`` whose size fits, in buckets that are not linked throughout: the nearest beyond it has the most fitting size."""
-        mixed = np.repeat(np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts), sizes)
-        one = np.flatnonzero(mixed & (left > high))
-        one = one[5 * n[one] >= 4 * n[one + high + 1]]
-        return np.union1d(one, one + high + 1)
+    def farther(starts: np.ndarray, sizes: np.ndarray, n: np.ndarray, label: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Rows with a partner beyond ``high`` in their bucket: of another label, and of a size that fits. Of such partners the nearest fits best."""
+        at, bucket = np.arange(len(n)), np.repeat(np.arange(len(starts)), sizes)
+        begin, end = starts[bucket], (starts + sizes)[bucket]
+        line = bucket * (int(place.max()) + high + 2) + place
+        breaks = np.concatenate(([0], np.flatnonzero((label[1:] != label[:-1]) | (bucket[1:] != bucket[:-1])) + 1, [len(n)]))
+        run = np.repeat(np.arange(len(breaks) - 1), np.diff(breaks))  # neighbours of one label
+
+        after = np.searchsorted(line, line + high + 1)
+        one = at[after < end]
+        near = after[one]
+        near = np.where(label[near] == label[one], breaks[run[near] + 1], near)
+        one, near = one[near < end[one]], near[near < end[one]]
+        ahead = one[5 * n[one] >= 4 * n[near]]
+
+        before = np.searchsorted(line, line - high - 1, "right") - 1
+        one = at[before >= begin]
+        near = before[one]
+        near = np.where(label[near] == label[one], breaks[run[near]] - 1, near)
+        one, near = one[near >= begin[one]], near[near >= begin[one]]
+        return np.union1d(ahead, one[5 * n[near] >= 4 * n[one]])
 
     def rows(a, b, key, n, pos, place) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
@@ -216,20 +236,21 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prints = materialize(_texts(docs).mapInArrow(lambda b: _prints(b, often.value), PRINTS))
     entries = materialize(prints.groupBy("e").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     first = materialize(prints.join(entries.select("e", F.col("rep").alias("doc_id")), ["e", "doc_id"], "left_semi").dropDuplicates(["e"]))
-    links = [checked(by_fingerprint(first), first, docs)]
+    early = first.select("e", "n", F.lit(0).alias("pos"), F.explode("least").alias("key"), F.col("e").alias("label"), F.lit(0).alias("place"))
+    near = paired(early, 0, FIRST).where("b is not null").select("a", "b")
+    links = [checked(by_fingerprint(first).unionByName(near), first, docs)]
     labelled = first.join(components(links[0]), first["e"] == F.col("node"), "left").select("e", "n", "keys", F.coalesce("root", "e").alias("label"))
     rows = labelled.select("e", "n", F.posexplode("keys").alias("pos", "key"), "label", F.lit(0).alias("place"))
-    out = materialize(paired(rows, 0, FIRST))
-    links.append(checked(out.where("b is not null"), first, docs))
-    large = out.where("b is null").select("key", "n", "pos", F.col("a").alias("e"), "place")
-    found = components(reduce(DataFrame.unionByName, links))
-    farthest = large.groupBy("key").agg((F.max("place") - F.min("place")).alias("c")).agg(F.max("c")).first()[0] or 0
-    low = FIRST
-    while low < farthest:
-        labels = large.join(found.withColumnRenamed("node", "e"), "e", "left").withColumn("label", F.coalesce("root", "e"))
-        links.append(checked(paired(labels, low, low * FARTHER), first, docs))
+    low, high = 0, FIRST
+    while True:
+        out = materialize(paired(rows, low, high))
+        links.append(checked(out.where("b is not null"), first, docs))
         found = components(reduce(DataFrame.unionByName, links))
-        low *= FARTHER
+        large = out.where("b is null").select("key", "n", "pos", F.col("a").alias("e"), "place")
+        if large.isEmpty():
+            break
+        rows = large.join(found.withColumnRenamed("node", "e"), "e", "left").withColumn("label", F.coalesce("root", "e"))
+        low, high = high, high * FARTHER
     classes = entries.join(found, entries["e"] == found["node"], "left").select("e", "rep", "n", F.coalesce("root", "e").alias("root"))
     least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
     return prints.select("doc_id", "e"), materialize(classes.join(least, "root").select("e", "component_id", "n"))

@@ -105,3 +105,32 @@ def test_rows_without_a_fitting_partner_are_read_once():
 
     assert later([2**i for i in range(12)], range(12)) == [] and later([100] * 12, [0] * 12) == []
     assert later([10, 100, 101, 102, 103, 500, 900], range(7)) == [(1, 1), (4, 4)] and len(later([100] * 12, range(12))) == 12
+
+
+def test_linked_partners_are_not_handed_on():
+    """Only rows with a partner of another label farther off go to later rounds, and each round tells which are left."""
+    import pyarrow as pa
+
+    def later(labels, places, low, high):
+        n = len(labels)
+        batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([7] * n, [100] * n, [0] * n, range(n), labels, places)], ["key", "n", "pos", "e", "label", "place"])
+        return sorted(r["place"] for b in near_copies._pairs(iter([batch]), low, high) for r in b.to_pylist() if r["b"] is None)
+
+    assert later([0] * 11 + [1], [0] * 12, 0, 2) == [*range(9), 11] and later([0] * 9 + [1] * 3, [0] * 12, 0, 8) == [0, 1, 2, 9, 10, 11]
+    assert later([0, 1, 2, 3], [0, 5, 16, 40], 2, 16) == [0, 5, 16, 40] and later([0, 1, 2, 3], [0, 5, 14, 16], 2, 16) == [] and later([0, 1, 1, 0], [0, 5, 16, 40], 2, 16) == [5, 16, 40]
+
+
+def test_close_groups_are_linked_before_rows_are_handed_on(make_docs, monkeypatch):
+    """A group of near copies makes no rows for later rounds, however large: its least shingles link it before."""
+    rng, handed, write = random.Random(4), [], near_copies.materialize
+
+    def counted(df):
+        out = write(df)
+        if "place" in out.columns:
+            handed.append(out.where("b is null").count())
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    base = [f"g{i}" for i in range(400)]
+    rows = [(i, edited(rng, base, 1)) for i in range(40)]
+    assert {r.component_id for r in near_copies.near_copies(make_docs(rows)).collect()} == {0} and handed == [0]
