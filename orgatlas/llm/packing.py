@@ -38,13 +38,16 @@ CAPACITY = 2048
 #: Windows of a block, ids of a window that a block leaves free, and ids of a tail's piece at most.
 BLOCK, SLACK, LARGEST = 16, 14, 512
 END_ID = 1
-#: Entries that a worker's cache of encoded words holds at most; it is emptied when full.
-CACHE_ENTRIES = 300_000
+#: Entries of a worker's cache of encoded parts from which on only those of the current batch stay.
+CACHE_ENTRIES = 500_000
 #: Documents that are encoded together.
 STEP = 512
 #: Characters that Python's split() takes for white space, but the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([!#$%&*+,./:;<=>?@|~-]*)")
+#: Lower-case letters of ASCII and Latin-1; parts of lower-case texts made of these and of ASCII, as the tokenizer cuts them; and all other characters.
+LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+PART = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ \\t-\\ra-z0-9\xdf-\xf6\xf8-\xff]+")
+OTHER = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -102,20 +105,23 @@ def evenly(size: int, largest: int) -> list[int]:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; words are encoded once and remembered.
+    """Ids of texts as little-endian unsigned 32-bit bytes; parts of texts are encoded once and remembered.
 
-    The tokenizer splits at white space and between letters and punctuation, so the ids of a text
-    are those of its parts. Unknown words of letters are encoded together, and told apart by the
-    ids that end a word.
+    The tokenizer lower-cases, then splits at white space and between letters, digits and other characters, so the ids of
+    a text are those of its parts. Texts of ASCII and Latin-1 letters alone are cut the same way by ``PART``; of others, words
+    are remembered. Unknown runs of letters are encoded together without the tokenizer's own cutting, and told apart by
+    the ids that end a word.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.tokenizer.model)  # the same merges, for lower-case letters
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -124,44 +130,37 @@ class Encoder:
     def raw(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        known, whole = self.known, {}
-        for word in words:
-            match = PLAIN.fullmatch(word.lower())
-            if match:
-                whole[word] = match.groups()
+    def learn(self, parts: set[str]) -> None:
+        known = self.known
+        letters = []
+        for part in parts:
+            if LETTERS.fullmatch(part):
+                letters.append(part)
             else:
-                known[word] = self.raw(word)
-        letters = [w for w in {m[0] for m in whole.values()} if w not in known]
+                known[part] = self.raw(part)
         for at in range(0, len(letters), 64):
             some = letters[at : at + 64]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.asarray(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):
                 raw, start = ids.tobytes(), 0
-                for word, stop in zip(some, (4 * cuts).tolist(), strict=True):
-                    known[word] = raw[start:stop]
+                for part, stop in zip(some, (4 * cuts).tolist(), strict=True):
+                    known[part] = raw[start:stop]
                     start = stop
             else:
                 known.update((w, self.raw(w)) for w in some)
-        for word, (head, tail) in whole.items():
-            if tail:
-                if tail not in known:
-                    known[tail] = self.raw(tail)
-                known[word] = known[head] + known[tail]
-            elif word not in known:
-                known[word] = known[head]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
         odd = ["<|" in t or ODD_SPACE.search(t) is not None for t in texts]
-        split = [() if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        missing = set().union(*split).difference(self.known)
+        split = [() if o else t.split() if not t.isascii() and OTHER.search(t) else PART.findall(t.lower()) for t, o in zip(texts, odd, strict=True)]
+        needed = set().union(*split)
+        if len(self.known) > CACHE_ENTRIES:  # what this batch has again stays
+            self.known = {w: self.known[w] for w in needed.intersection(self.known)}
+        missing = needed.difference(self.known)
         if missing:
             self.learn(missing)
-        known = self.known
-        return [self.raw(t) if o else b"".join([known[w] for w in s]) for t, o, s in zip(texts, odd, split, strict=True)]
+        get = self.known.__getitem__
+        return [self.raw(t) if o else b"".join(map(get, s)) for t, o, s in zip(texts, odd, split, strict=True)]
 
 
 @functools.cache

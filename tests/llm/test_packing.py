@@ -64,3 +64,17 @@ def test_round_trip(spark, make_docs, odd_docs, no_docs):
     padding = 2048 * found.sequence_id.nunique() - found.length.sum()
     assert padding < 0.02 * found.length.sum() + 3 * 2048
     assert packing.pack(odd_docs, PATH).where("doc_id = 5").count() >= 2 and packing.pack(no_docs, PATH).count() == 0
+
+
+def test_parts_are_encoded_as_whole_texts(monkeypatch):
+    """Endings, digits and signs are cut off words before these are remembered; a full cache keeps what a batch has again."""
+    encoder, tokenizer = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = ["It's we'll THEY'RE I'd 'tis '' 's'S '5 a1b22 x!'s o'clock y'all're ''re", "ÄÖÜ ß Éé ÿ × ÷ ª µ «a» naïve", "a\x0bb\x0cc\rd\x00g \x7f\x1ca", "a\xa0b\x85c e\u0301", "İI ſ 日本 語 кот 😀 ½", "<|endoftext|> a|b", ""]
+    want = [np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == want
+    encoder = packing.Encoder(PATH)
+    encoder.encode(["word, word. WORD!! word"])
+    assert set(encoder.known) == {"word", ",", ".", "!!"}
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 3)
+    encoder.encode(["word other"])
+    assert set(encoder.known) == {"word", "other"}
