@@ -134,3 +134,58 @@ def test_close_groups_are_linked_before_rows_are_handed_on(make_docs, monkeypatc
     base = [f"g{i}" for i in range(400)]
     rows = [(i, edited(rng, base, 1)) for i in range(40)]
     assert {r.component_id for r in near_copies.near_copies(make_docs(rows)).collect()} == {0} and handed == [0]
+
+
+def shared_bucket(sets, keys=((7,),), last=False):
+    """Rows that a round with maps makes of ``sets`` with a label each, which meet in the buckets ``keys`` names: of all rows, or of each."""
+    import numpy as np
+    import pyarrow as pa
+
+    keys = list(keys) * (len(sets) // len(keys))
+    rows = sorted((k, len(s), i) for i, s in enumerate(sets) for k in keys[i])
+    maps = [near_copies.parity(np.array(sorted(s), dtype=np.uint64)) for s in sets]
+    columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[2] for r in rows]]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), *(pa.array(c, pa.list_(pa.int64())) for c in ([maps[r[2]] for r in rows], [keys[r[2]] if last else None for r in rows]))], ["key", "n", "e", "label", "map", "keys"])
+    parts = [batch.slice(at, 7) for at in range(0, batch.num_rows, 7)]  # buckets span batches
+    return [r for b in near_copies._met(iter(parts), last) for r in b.to_pylist()]
+
+
+def test_a_large_bucket_makes_rows_in_proportion():
+    """Unlike sets make none; of like ones each is paired with one, and handed on while it has others."""
+    rng = random.Random(9)
+    draw = lambda n: {rng.randrange(1 << 62) for _ in range(n)}
+    base = draw(300)
+    assert shared_bucket([{*draw(300), 7} for _ in range(60)]) == []
+    for n in (60, 120):
+        out = shared_bucket([base | draw(3) for _ in range(n)])
+        assert n / 2 <= sum(r["b"] is not None for r in out) <= n and sum(r["b"] is None for r in out) == n
+    assert {(r["a"], r["b"]) for r in shared_bucket([base | draw(3), draw(300), base | draw(3)])} == {(2, 0)}
+
+
+def test_the_last_round_pairs_once():
+    """All partners that are left meet, each pair in the least bucket that both share."""
+    rng = random.Random(10)
+    base = {rng.randrange(1 << 62) for _ in range(300)}
+    sets = [base | {rng.randrange(1 << 62) for _ in range(3)} for _ in range(30)]
+    out = shared_bucket(sets, [(3, 7, 9), (-4, 7, 9)], last=True)
+    assert len(out) == 30 * 29 // 2 and {(r["a"], r["b"]) for r in out} == {(a, b) for a in range(30) for b in range(a)}
+
+
+def test_a_group_short_of_similar_is_not_paired_in_full(make_docs, monkeypatch):
+    """Texts of one family, each similar to few others: rows of all rounds grow with the family, not with its square."""
+    made, write = [], near_copies.materialize
+
+    def counted(df):
+        out = write(df)
+        if "place" in out.columns:
+            made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    for size in (40, 120):
+        rng = random.Random(11)
+        base = [f"g{i}" for i in range(300)]
+        rows = [(i, edited(rng, base, 12)) for i in range(size)]
+        made.append(0)
+        assert {r.doc_id: r.component_id for r in near_copies.near_copies(make_docs(rows)).collect()} == brute(rows)
+    assert made[0] and made[1] < 4.5 * made[0]
