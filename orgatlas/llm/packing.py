@@ -40,13 +40,13 @@ BLOCK, SLACK, LARGEST = 16, 14, 512
 END_ID = 1
 #: Entries of a worker's cache of encoded parts from which on only those of the current batch stay.
 CACHE_ENTRIES = 500_000
-#: Documents that are encoded together.
-STEP = 512
+#: Documents, and unknown words, that are encoded together.
+STEP, WORDS_AT_ONCE = 512, 256
 #: Characters that Python's split() takes for white space, but the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Lower-case letters of ASCII and Latin-1; parts of lower-case texts made of these and of ASCII, as the tokenizer cuts them; and all other characters.
 LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
-PART = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ \\t-\\ra-z0-9\xdf-\xf6\xf8-\xff]+")
+PART = re.compile("[ \\t-\\r]*+([a-z\xdf-\xf6\xf8-\xff]++|'(?:[stmd]|re|ve|ll)|[^ \\t-\\ra-z0-9\xdf-\xf6\xf8-\xff]++|[0-9])")
 OTHER = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -68,7 +68,7 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
         _, _, b, b_items = heapq.heappop(heap)
         both = a + b[::-1]
         order = np.argsort(both, kind="stable")
-        items = [(a_items[i], b_items[windows - 1 - i]) for i in order.tolist()]
+        items = [joined(a_items[i], b_items[windows - 1 - i]) for i in order.tolist()]
         both = both[order]
         both -= both[0]  # only imbalances matter from here on
         heapq.heappush(heap, (-int(both[-1]), tick, both, items))
@@ -76,6 +76,11 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     return [flat(group) for group in heap[0][3]] if heap else []
 
 
+def joined(a: tuple, b: tuple) -> tuple:
+    """The items of two windows as one tree; empty ones leave no trace in it."""
+    return (a, b) if a and b else a or b
+
+
 def flat(tree) -> list[int]:
     out, stack = [], [tree]
     while stack:
@@ -138,8 +143,8 @@ class Encoder:
                 letters.append(part)
             else:
                 known[part] = self.raw(part)
-        for at in range(0, len(letters), 64):
-            some = letters[at : at + 64]
+        for at in range(0, len(letters), WORDS_AT_ONCE):
+            some = letters[at : at + WORDS_AT_ONCE]
             ids = np.asarray(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):

@@ -78,3 +78,17 @@ def test_parts_are_encoded_as_whole_texts(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_ENTRIES", 3)
     encoder.encode(["word other"])
     assert set(encoder.known) == {"word", "other"}
+
+
+def test_empty_windows_leave_no_trace_in_partitions(monkeypatch):
+    """Merged partitions hold their items only, so a tree is no larger than its items need."""
+    trees = []
+    monkeypatch.setattr(packing, "flat", lambda tree: trees.append(tree) or [])
+    packing.differencing([int(x) for x in np.random.default_rng(3).integers(1, 512, 90)], 16)
+    nodes, count = list(trees), 0
+    while nodes:
+        top = nodes.pop()
+        assert top != ()
+        count += 1
+        nodes += [x for x in top if isinstance(x, tuple)]
+    assert len(trees) == 16 and count <= 2 * 90
