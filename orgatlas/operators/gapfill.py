@@ -75,6 +75,11 @@ def variants(key: Column, count: Column) -> Column:
     return F.transform(F.array_distinct(F.when(count == 0, F.array(key)).when(count == 1, one).otherwise(two)), lambda t: F.xxhash64(t))
 
 
+def unbroadcast(rows: DataFrame) -> DataFrame:
+    """``rows`` as the side of a join that deals out both sides: what is exploded is estimated by what it came from, and hundreds of rows a key would be sent to the driver."""
+    return rows.hint("merge")
+
+
 def by_variants(own: DataFrame, theirs: DataFrame) -> DataFrame:
     """(country, key, _key): keys that are the same without one or two letters each; only pairs that the bound allows meet."""
 
@@ -83,7 +88,7 @@ def by_variants(own: DataFrame, theirs: DataFrame) -> DataFrame:
         depth = F.transform(F.filter(other_lengths(n), lambda m: shallow(n, m)), lambda m: left_out(n, m)[0])
         return table.select("country", key, F.explode(F.array_distinct(depth)).alias(count)).select("country", key, count, F.explode(variants(F.col(key), F.col(count))).alias("rest"))
 
-    met = rows(own, "key", "out").join(rows(theirs, "_key", "_out"), ["country", "rest"])
+    met = rows(own, "key", "out").join(unbroadcast(rows(theirs, "_key", "_out")), ["country", "rest"])
     a, b = left_out(F.length("key"), F.length("_key"))
     return met.where((F.col("out") == a) & (F.col("_out") == b) & (F.col("key") != F.col("_key"))).select("country", "key", "_key").distinct()
 
@@ -105,12 +110,12 @@ def by_rare_pieces(own: DataFrame, theirs: DataFrame) -> DataFrame:
     places = staged(theirs.where((m >= PIECE) & (F.size(deep(m)) > 0)).select("country", "_key", F.inline(grams("_key"))))
     often = places.groupBy("country", "text").agg(F.count("*").alias("n"))
     ours = own.where((n >= PIECE) & (F.size(deep(n)) > 0)).withColumn("edits", F.array_max(F.transform(deep(n), lambda b: most_edits(n, b))))
-    counted = ours.select("country", "key", "edits", F.inline(grams("key"))).join(often, ["country", "text"], "left")
+    counted = ours.select("country", "key", "edits", F.inline(grams("key"))).join(unbroadcast(often), ["country", "text"], "left")
     listed = counted.groupBy("country", "key", "edits").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "at", "text"))).alias("pieces"))
     cuts = F.transform(F.array(*map(F.lit, range(PIECE))), lambda c: F.slice(F.filter("pieces", lambda x: x["at"] % PIECE == c), F.lit(1), F.col("edits") + 1))
     priced = F.transform(F.filter(cuts, lambda c: F.size(c) > F.col("edits")), lambda c: F.struct(F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("cost"), c.alias("chosen")))
     chosen = listed.select("country", "key", "edits", F.inline(F.array_min(priced)["chosen"])).where("n > 0").withColumnRenamed("at", "_at")
-    met = chosen.withColumn("m", F.explode(deep(n))).join(places.withColumn("m", m), ["country", "text", "m"])
+    met = chosen.withColumn("m", F.explode(deep(n))).join(unbroadcast(places.withColumn("m", m)), ["country", "text", "m"])
     pairs = met.where(F.abs(F.col("at") - F.col("_at")) <= F.col("edits")).select("country", "key", "_key").distinct()
     a, b = left_out(n, m)
     reach = most_edits(n, m)
@@ -138,10 +143,11 @@ def osm_matches(companies: DataFrame, places: DataFrame) -> DataFrame:
     whatever number of companies and places have them.
     """
     own, theirs = keys_of(companies, places)
+    theirs = unbroadcast(theirs)
     equal = own.join(theirs, (own["country"] == theirs["country"]) & (own["key"] == theirs["_key"])).select("company_id", "ord", *FIELDS)
     pairs = staged(alike_candidates(own, theirs))
     alike = pairs.where(_ratio("key", "_key") >= LIKE).drop("way")
-    loose = own.join(alike, ["country", "key"]).join(theirs, ["country", "_key"]).select("company_id", "ord", *FIELDS)
+    loose = own.join(unbroadcast(alike), ["country", "key"]).join(theirs, ["country", "_key"]).select("company_id", "ord", *FIELDS)
     return equal.unionByName(loose)
 
 

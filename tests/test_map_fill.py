@@ -19,3 +19,10 @@ def test_made_up_names_have_no_letter_twice(spark):
     firms, places = R.alike_names(spark, "/root/testdata/sf0.001")
     assert all(len(set(r.name)) == 20 for r in firms.collect())
     assert firms.select("name").distinct().count() == firms.count() and places.where(F.length("name") > 20).count() > 0
+
+
+def test_alike_names_never_go_through_the_driver(spark):
+    """However small the names look to the planner, what is made of them (hundreds of rows a name) is not broadcast."""
+    firms, places = R.alike_names(spark, "/root/testdata/sf0.001")
+    for rows in (G.alike_candidates(*G.keys_of(firms, places)), G.osm_matches(firms, places)):
+        assert "Broadcast" not in rows._jdf.queryExecution().sparkPlan().toString()
