@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from orgatlas.functions import text as T
 from orgatlas.functions import urls as U
-from orgatlas.sources.staging import looked_up, staged
+from orgatlas.sources.staging import looked_up, spread, staged
 
 #: Tags of a map extract per field, in order; and the shared length of names that may match loosely.
 MAP_TAGS = {"website": ("website", "contact:website", "url"), "phone": ("phone", "contact:phone", "contact:mobile", "mobile"), "email": ("email", "contact:email")}
@@ -99,25 +99,36 @@ def strangers(a: Column, b: Column, reach: Column) -> Column:
     return F.size(F.filter(F.sequence(F.lit(1), F.length(a)), lambda p: ~F.contains(near(p), F.substring(a, p, F.lit(1)))))
 
 
+def letters(key: Column) -> Column:
+    """Which letters a key has, as 64 bits; letters may share one."""
+    return F.aggregate(F.transform(F.split(key, ""), lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
+
+
+def only(a: Column, b: Column) -> Column:
+    """Bits of ``a`` that ``b`` lacks: at most as many as ``strangers``, and much cheaper to count."""
+    return F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
+
+
 def by_rare_pieces(own: DataFrame, theirs: DataFrame) -> DataFrame:
     """(country, key, _key): the other alike keys, whose lengths differ much or are great. Of one separate piece more than there may be edits at least one stands in both.
 
-    A key's pieces are those three letters long that the fewest keys of the other side have, from the best of three ways to cut it; what meets must also stay within the bound on the common letters in a band.
+    A key's pieces are those three letters long that the fewest keys of the other side have, from the best of three ways to cut it; what meets must also stay within the bound on the common letters, anywhere and then in a band.
     """
     n, m = F.length("key"), F.length("_key")
     deep = lambda a: F.filter(other_lengths(a), lambda b: ~shallow(a, b))
     grams = lambda key: F.transform(F.sequence(F.lit(1), F.length(key) - (PIECE - 1)), lambda p: F.struct(p.alias("at"), F.substring(key, p, F.lit(PIECE)).alias("text")))
-    places = staged(theirs.where((m >= PIECE) & (F.size(deep(m)) > 0)).select("country", "_key", F.inline(grams("_key"))))
+    places = staged(theirs.where((m >= PIECE) & (F.size(deep(m)) > 0)).select("country", "_key", letters(F.col("_key")).alias("_letters"), F.inline(grams("_key"))))
     often = places.groupBy("country", "text").agg(F.count("*").alias("n"))
     ours = own.where((n >= PIECE) & (F.size(deep(n)) > 0)).withColumn("edits", F.array_max(F.transform(deep(n), lambda b: most_edits(n, b))))
     counted = ours.select("country", "key", "edits", F.inline(grams("key"))).join(unbroadcast(often), ["country", "text"], "left")
     listed = counted.groupBy("country", "key", "edits").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "at", "text"))).alias("pieces"))
     cuts = F.transform(F.array(*map(F.lit, range(PIECE))), lambda c: F.slice(F.filter("pieces", lambda x: x["at"] % PIECE == c), F.lit(1), F.col("edits") + 1))
     priced = F.transform(F.filter(cuts, lambda c: F.size(c) > F.col("edits")), lambda c: F.struct(F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("cost"), c.alias("chosen")))
-    chosen = listed.select("country", "key", "edits", F.inline(F.array_min(priced)["chosen"])).where("n > 0").withColumnRenamed("at", "_at")
+    chosen = listed.select("country", "key", "edits", letters(F.col("key")).alias("letters"), F.inline(F.array_min(priced)["chosen"])).where("n > 0").withColumnRenamed("at", "_at")
     met = chosen.withColumn("m", F.explode(deep(n))).join(unbroadcast(places.withColumn("m", m)), ["country", "text", "m"])
-    pairs = met.where(F.abs(F.col("at") - F.col("_at")) <= F.col("edits")).select("country", "key", "_key").distinct()
     a, b = left_out(n, m)
+    near = (F.abs(F.col("at") - F.col("_at")) <= F.col("edits")) & (only(F.col("letters"), F.col("_letters")) <= a) & (only(F.col("_letters"), F.col("letters")) <= b)
+    pairs = met.where(near).select("country", "key", "_key").distinct()
     reach = most_edits(n, m)
     return pairs.where((strangers(F.col("key"), F.col("_key"), reach) <= a) & (strangers(F.col("_key"), F.col("key"), reach) <= b))
 
@@ -131,7 +142,7 @@ def keys_of(companies: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFra
 
 def alike_candidates(own: DataFrame, theirs: DataFrame) -> DataFrame:
     """(country, key, _key, way): the pairs of different keys that are compared letter by letter. Both tables: country and key or _key."""
-    a, b = staged(own.select("country", "key").distinct()), staged(theirs.select("country", "_key").distinct())
+    a, b = spread(staged(own.select("country", "key").distinct())), spread(staged(theirs.select("country", "_key").distinct()))
     return by_variants(a, b).withColumn("way", F.lit("variants")).unionByName(by_rare_pieces(a, b).withColumn("way", F.lit("pieces")))
 
 

@@ -26,3 +26,11 @@ def test_alike_names_never_go_through_the_driver(spark):
     firms, places = R.alike_names(spark, "/root/testdata/sf0.001")
     for rows in (G.alike_candidates(*G.keys_of(firms, places)), G.osm_matches(firms, places)):
         assert "Broadcast" not in rows._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_letters_rule_out_no_more_than_strangers(spark):
+    pairs = [("abcdefgh", "abxdefgh"), ("aab", "b"), ("textile77", "p7extile"), ("straße9", "strasse9"), ("abc", "abc")]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    got = rows.select(G.only(G.letters(a), G.letters(b)).alias("few"), G.strangers(a, b, F.lit(100)).alias("all")).collect()
+    assert [r.few for r in got] == [1, 1, 0, 1, 0] and all(r.few <= r["all"] for r in got)
